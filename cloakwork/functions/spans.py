@@ -61,37 +61,46 @@ def guard(text: Column, d: Detector, digit: Column | None = None) -> Column:
     return digit
 
 
-def _matches(text: Column, d: Detector) -> Column:
-    """All leftmost non-overlapping matches as (start, end); call it on matching texts only."""
-    regex = F.lit(java_regex(d))
+def _hit(text: Column, d: Detector, wanted: Column | None, digit: Column | None = None) -> Column:
+    """struct<label, gaps, hits> where the detector matches, else null: the matches and the text between them."""
+    regex = java_regex(d)
+    matching = guard(text, d, digit) & text.rlike(regex)
+    return F.when(
+        matching if wanted is None else wanted & matching,
+        F.struct(
+            F.lit(d.label).alias("label"),
+            F.split(text, regex, -1).alias("gaps"),
+            F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hits"),
+        ),
+    )
+
+
+def _places(hit: Column) -> Column:
+    """array<struct<start,end>> of one `_hit`, from the running lengths of gaps and matches."""
     lengths = F.zip_with(
-        F.split(text, java_regex(d), -1),
-        F.regexp_extract_all(text, regex, F.lit(0)),
-        lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")),
+        hit["gaps"], hit["hits"], lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"))
     )
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+    zero = F.expr("cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:array<struct<start:int,end:int>>>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + x["hit"]
-        return F.when(x["hit"].isNull(), acc).otherwise(
-            F.struct(
-                end.alias("at"),
-                F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"),
-            )
-        )
+        grown = F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end")))
+        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), grown.alias("out")))
 
     return F.aggregate(lengths, zero, step, lambda acc: acc["out"])
 
 
 def detect(text: Column, key: str) -> Column:
     """array<span> of one detector."""
-    d = BY_KEY[key]
-    found = F.transform(
-        _matches(text, d),
-        lambda m: F.struct(F.lit(d.label).alias("label"), m["start"].alias("start"), m["end"].alias("end")),
+    found = let(
+        _hit(text, BY_KEY[key], None),
+        lambda hit: F.transform(
+            _places(hit),
+            lambda m: F.struct(hit["label"].alias("label"), m["start"].alias("start"), m["end"].alias("end")),
+        ),
     )
-    return F.when(guard(text, d) & text.rlike(java_regex(d)), found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    return F.coalesce(found, F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
 def raw_findings(text: Column, plan: Column) -> Column:
@@ -101,48 +110,50 @@ def raw_findings(text: Column, plan: Column) -> Column:
     spans would come to the same, so the duplicates are never built.
     """
 
-    def one(d: Detector, digit: Column) -> Column:
-        rule = F.try_element_at(plan, F.lit(d.label))
-        found = F.transform(
-            _matches(text, d),
-            lambda m: F.struct(
-                m["start"].alias("start"),
-                (-m["end"]).alias("neg_end"),
-                rule["ord"].alias("ord"),
-                F.lit(d.label).alias("label"),
-                rule["rank"].alias("rank"),
+    def spans_of(hit: Column) -> Column:
+        return let(
+            F.element_at(plan, hit["label"]),
+            lambda rule: F.transform(
+                _places(hit),
+                lambda m: F.struct(
+                    m["start"].alias("start"),
+                    (-m["end"]).alias("neg_end"),
+                    rule["ord"].alias("ord"),
+                    hit["label"].alias("label"),
+                    rule["rank"].alias("rank"),
+                ),
             ),
         )
-        return F.when(rule.isNotNull() & guard(text, d, digit) & text.rlike(java_regex(d)), found).otherwise(
-            F.expr(f"cast(array() as array<{RAW}>)")
-        )
 
-    return let(has_digit(text), lambda digit: F.flatten(F.array(*[one(d, digit) for d in BY_LABEL.values()])))
+    def found(digit: Column, asked: Column) -> Column:
+        hits = F.array(*[_hit(text, d, F.array_contains(asked, d.label), digit) for d in BY_LABEL.values()])
+        return F.flatten(F.transform(F.array_compact(hits), spans_of))
+
+    # an organisation without a plan has no keys, so no expression runs on its texts
+    asked = F.coalesce(F.map_keys(plan), F.expr("cast(array() as array<string>)"))
+    return let(has_digit(text), lambda digit: let(asked, lambda keys: found(digit, keys)))
 
 
 def collect_findings(text: Column, entries: Column) -> Column:
     """array<FINDING>: for each (label, rank) entry of the policy list all matches, duplicates kept."""
-    labels = list(BY_LABEL)
-    found = F.map_from_arrays(
-        F.array(*[F.lit(label) for label in labels]), F.array(*[detect(text, BY_LABEL[label].key) for label in labels])
-    )
-    return let(
-        found,
-        lambda by_label: F.flatten(
+    hits = F.array_compact(F.array(*[_hit(text, d, None) for d in BY_LABEL.values()]))
+
+    def of_entry(found: Column, e: Column) -> Column:
+        same = F.filter(found, lambda h: h["label"] == e["label"])
+        return F.flatten(
             F.transform(
-                entries,
-                lambda e: F.transform(
-                    F.try_element_at(by_label, e["label"]),
-                    lambda s: F.struct(
-                        s["label"].alias("label"),
-                        s["start"].alias("start"),
-                        s["end"].alias("end"),
-                        e["rank"].alias("rank"),
+                same,
+                lambda h: F.transform(
+                    h["at"],
+                    lambda m: F.struct(
+                        h["label"].alias("label"), m["start"].alias("start"), m["end"].alias("end"), e["rank"].alias("rank")
                     ),
                 ),
             )
-        ),
-    )
+        )
+
+    placed = F.transform(hits, lambda h: F.struct(h["label"].alias("label"), _places(h).alias("at")))
+    return let(placed, lambda found: F.flatten(F.transform(entries, lambda e: of_entry(found, e))))
 
 
 def blocked(raw: Column) -> Column:
