@@ -171,3 +171,15 @@ def seed_policies(orgs: DataFrame) -> DataFrame:
         F.lit("redact").alias("action"),
         F.lit("cloud").alias("route"),
     )
+
+
+def with_adoption(catalog: DataFrame, policies: DataFrame) -> DataFrame:
+    """A catalogue with the number of organisations that have each detector key switched on."""
+    adopted = (
+        policies.filter("enabled")
+        .select("org_id", F.explode("patterns").alias("pattern"))
+        .distinct()
+        .groupBy("pattern")
+        .agg(F.count("*").alias("orgs_enabled"))
+    )
+    return catalog.join(adopted, "pattern", "left").withColumn("orgs_enabled", F.coalesce("orgs_enabled", F.lit(0)).cast("bigint"))

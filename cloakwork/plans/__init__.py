@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries when imported.
-QUERY_MODULES = ("detection",)
+QUERY_MODULES = ("detection", "policy", "audit")
 
 
 def load_queries() -> dict:

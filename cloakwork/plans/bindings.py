@@ -134,6 +134,17 @@ SPECS: dict[str, tuple[tuple[str, ...], str]] = {
         + _PLANT.format(k="(conv_id * 3 + turn)")
         + ", ' end') as content from conversations",
     ),
+    # a chat request per conversation, and the answers it got
+    "request_headers": (
+        ("conversations",),
+        "select conv_id as request_id, conv_id % 25 as org_id, conv_id % 150 as user_id, concat('model-', cast(conv_id % 3 as varchar(8))) as model, "
+        "conv_id % 3 = 0 as stream, conv_id % 97 * 10 as latency_ms, concat('2024-01-', lpad(cast(conv_id % 28 + 1 as varchar(2)), 2, '0')) as day "
+        "from conversations group by conv_id",
+    ),
+    "choices": (
+        ("messages",),
+        "select message_id, conv_id as request_id, turn as idx, concat('Answer. ', content) as content from messages where role = 'assistant'",
+    ),
     "headers": (
         ("conversations",),
         "select conv_id, conv_id % 25 as org_id, conv_id % 150 as user_id, count(*) as turns, "

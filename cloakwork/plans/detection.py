@@ -95,23 +95,17 @@ def sort_with_ties(t: Inputs):
     return _raw(t).filter(F.size("raw") > 0).select("doc_id", F.array_join(in_order, ";").alias("in_order"))
 
 
-# Two policies per document, by id: what happens when both hit the same span.
 @register(
     "stronger_action",
-    "select x.policy_id as a_id, y.policy_id as b_id, cast(greatest(case x.action when 'block' then 3 when 'flag' then 1 else 2 end, "
-    "case y.action when 'block' then 3 when 'flag' then 1 else 2 end) as bigint) as rank "
-    "from tenant_policies x join tenant_policies y on x.org_id = y.org_id and x.policy_id < y.policy_id",
+    f"with {plan_ctes('tenant_policies')} select org_id, label, cast(rank as bigint) as rank from plan",
     "tenant_policies",
 )
 def stronger_action(t: Inputs):
-    p = t("tenant_policies").select("org_id", "policy_id", S.rank(F.col("action")).alias("r"))
-    q = p.select("org_id", F.col("policy_id").alias("b_id"), F.col("r").alias("s"))
-    # at most nine policies per organisation, so the pairs stay a small multiple of the rows
-    return (
-        p.join(q, "org_id")
-        .filter(F.col("policy_id") < F.col("b_id"))
-        .select(F.col("policy_id").alias("a_id"), "b_id", S.stronger(F.col("r"), F.col("s")).alias("rank"))
-    )
+    asked = P.policy_detectors(t("tenant_policies"))
+    flags, rest = asked.filter("rank = 1"), asked.filter("rank > 1")
+    sides = [x.groupBy("org_id", "label").agg(F.max("rank").alias(n)) for x, n in ((flags, "r"), (rest, "s"))]
+    both = sides[0].join(sides[1], ["org_id", "label"], "full")
+    return both.select("org_id", "label", S.stronger(F.col("r"), F.col("s")).alias("rank"))
 
 
 _NEXT = (
