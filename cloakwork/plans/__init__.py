@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries when imported.
-QUERY_MODULES = ("detection", "policy", "audit", "reports", "retrieval")
+QUERY_MODULES = ("detection", "policy", "audit", "reports", "retrieval", "changes", "streams")
 
 
 def load_queries() -> dict:

@@ -7,6 +7,7 @@ every query grows with them.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -220,13 +221,32 @@ def sql_with(names: str, body: str) -> str:
     return f"WITH {joined}, {body[4:].lstrip()}" if body.lower().startswith("with ") else f"WITH {joined} {body}"
 
 
+def _select(name: str, base: dict[str, str]) -> str:
+    parts = [f"{n} as ({SPECS[n][1] if n in SPECS else 'select * from ' + base[n]})" for n in _order([name])]
+    return f"WITH {', '.join(parts)} SELECT * FROM {name}"
+
+
+def _files(sf_dir: str) -> dict[str, str]:
+    return {n: f"parquet.`{os.path.join(sf_dir, n)}.parquet`" for n in BASE}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or binding as a DataFrame."""
     configure(spark)
     if name not in SPECS:
         return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    parts = []
-    for n in _order([name]):
-        sql = SPECS[n][1] if n in SPECS else f"select * from parquet.`{os.path.join(sf_dir, n)}.parquet`"
-        parts.append(f"{n} as ({sql})")
-    return spark.sql(f"WITH {', '.join(parts)} SELECT * FROM {name}")
+    return spark.sql(_select(name, _files(sf_dir)))
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, source: str) -> DataFrame:
+    """The same binding with the base table `source` read as a stream of files."""
+    configure(spark)
+    schema = spark.read.parquet(os.path.join(sf_dir, f"{source}.parquet")).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
+    if name == source:
+        return stream
+    view = f"stream_{source}_{uuid.uuid4().hex}"
+    stream.createOrReplaceTempView(view)
+    bound = spark.sql(_select(name, {**_files(sf_dir), source: view}))
+    spark.catalog.dropTempView(view)
+    return bound

@@ -22,6 +22,9 @@ class Inputs:
     def __call__(self, name: str) -> DataFrame:
         return bindings.table(self.spark, self.sf_dir, name)
 
+    def stream(self, name: str, source: str) -> DataFrame:
+        return bindings.stream_table(self.spark, self.sf_dir, name, source)
+
 
 class Query(NamedTuple):
     build: Callable[[Inputs], DataFrame]

@@ -103,7 +103,7 @@ def documents_with_chunk_counts(t: Inputs):
 
 @register(
     "vector_text",
-    "select vec_id, '[' || array_to_string(list_transform(embedding, lambda x: cast(round(x * 64) / 64 as float) || ''), ',') || ']' as text, "
+    "select vec_id, '[' || array_to_string(list_transform(embedding, lambda x: regexp_replace(cast(round(x * 64) / 64 + 0.0 as float) || '', '\\.0$', '')), ',') || ']' as text, "
     "len(embedding) as dim, true as same from embeddings",
 )
 def vector_text(t: Inputs):
