@@ -7,6 +7,8 @@ one row only, so a scan needs no shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ def guard(text: Column, d: Detector, digit: Column | None = None) -> Column:
     if d.label == "EMAIL":
         return text.contains("@")
     if d.label == "API_KEY":
-        return text.contains("sk-") | text.contains("AKIA") | text.contains("gh") | text.contains("xox")
+        return reduce(or_, [text.contains(x) for x in ("sk-", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox")])
     digit = has_digit(text) if digit is None else digit
     if d.label == "INTL_PHONE":
         return text.contains("+") & digit

@@ -14,7 +14,7 @@ from ..streaming import counters as SC
 from .check_sql import redact_ctes, scan_ctes
 from .registry import STAMP_SQL, Inputs, register, stamp
 from .reports import _BUSY, _LIMIT, _events
-from .session import fresh_path
+from .session import fresh_path, spread
 
 SOURCE = "Cloakwork"
 
@@ -145,7 +145,7 @@ _FRAMES_SQL = (
 
 @register("parse_stream_frames", _FRAMES_SQL, "choices")
 def parse_stream_frames(t: Inputs):
-    return FR.parse_frames(_frames(t("choices")), "raw").select("stream_id", "seq", "content", "finish", "done", "passthrough")
+    return FR.parse_frames(_frames(spread(t("choices"))), "raw").select("stream_id", "seq", "content", "finish", "done", "passthrough")
 
 
 _ROLE_FRAME = """'{"id":"c' || stream_id || '","model":"m-1","choices":[{"delta":{"role":"assistant"},"finish_reason":null}]}'"""
@@ -157,7 +157,7 @@ _ROLE_FRAME = """'{"id":"c' || stream_id || '","model":"m-1","choices":[{"delta"
     "choices",
 )
 def passthrough_frames(t: Inputs):
-    return FR.parse_frames(_frames(t("choices")), "raw").filter("passthrough").select("stream_id", "seq", "payload")
+    return FR.parse_frames(_frames(spread(t("choices"))), "raw").filter("passthrough").select("stream_id", "seq", "payload")
 
 
 @register(
@@ -188,7 +188,7 @@ _MASKED = (
     "choices policies",
 )
 def redact_finished_streams(t: Inputs):
-    return SA.redact_finished(_frames(t("choices")), t("policies")).select("stream_id", "text")
+    return SA.redact_finished(_frames(spread(t("choices"))), t("policies")).select("stream_id", "text")
 
 
 @register(

@@ -10,29 +10,35 @@ from ..functions.scalars import trim_space
 DONE = "[DONE]"
 
 
+_BODY = "id string, model string, choices array<struct<delta:struct<content:string>,finish_reason:string>>"
+
+
 def parse_frames(df: DataFrame, raw_col: str) -> DataFrame:
     """One row per event of the raw text, in order (`part`).
 
     `content` is the text delta and `finish` the finish reason, where there is one. `done` marks the end marker;
     `passthrough` what is forwarded as it is: frames that do not parse, and frames with neither delta nor reason.
     """
-    events = df.withColumn("_event", F.split(raw_col, "\n\n")).select(
-        *[c for c in df.columns if c != raw_col], F.posexplode("_event").alias("part", "_event")
+    keep = [c for c in df.columns if c != raw_col]
+    lines = F.transform(
+        F.split(raw_col, "\n\n"),
+        lambda event: F.get(F.filter(F.split(event, "\r?\n"), lambda x: x.startswith("data:")), F.lit(0)),
     )
-    lines = F.filter(F.split("_event", "\r?\n"), lambda x: x.startswith("data:"))
-    payload = F.when(F.size(lines) > 0, trim_space(F.substr(F.get(lines, F.lit(0)), F.lit(6))))
-    parsed = events.withColumn("payload", payload).filter("payload is not null").drop("_event")
-    content = F.get_json_object("payload", "$.choices[0].delta.content")
-    finish = F.get_json_object("payload", "$.choices[0].finish_reason")
-    done = F.col("payload") == DONE
-    valid = F.try_parse_json("payload").isNotNull()
-    return (
-        parsed.withColumn("done", done)
-        .withColumn("content", F.when(~done & valid, content))
-        .withColumn("finish", F.when(~done & valid, finish))
-        .withColumn("frame_id", F.when(~done & valid, F.get_json_object("payload", "$.id")))
-        .withColumn("model", F.when(~done & valid, F.get_json_object("payload", "$.model")))
-        .withColumn("passthrough", ~F.col("done") & F.col("content").isNull() & F.col("finish").isNull())
+    events = df.select(*keep, F.posexplode(lines).alias("part", "_line")).filter("_line is not null")
+    parsed = events.withColumn("payload", trim_space(F.substr("_line", F.lit(6)))).withColumn("done", F.col("payload") == DONE)
+    # one parse per frame; a payload that is no JSON object gives nulls, which is what passing through means
+    body = parsed.withColumn("_b", F.when(~F.col("done"), F.from_json("payload", _BODY)))
+    choice = F.get("_b.choices", F.lit(0))
+    return body.select(
+        *keep,
+        "part",
+        "payload",
+        "done",
+        choice["delta"]["content"].alias("content"),
+        choice["finish_reason"].alias("finish"),
+        F.col("_b.id").alias("frame_id"),
+        F.col("_b.model").alias("model"),
+        (~F.col("done") & choice["delta"]["content"].isNull() & choice["finish_reason"].isNull()).alias("passthrough"),
     )
 
 
