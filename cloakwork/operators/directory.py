@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import DELIVERABLE_SLUGS
+from ..functions.scalars import trim_space
 from ..plans.sizing import broadcast_if_small
 from ..sources.catalogs import integration_rows
 
@@ -78,3 +79,12 @@ def pending_invites(invites: DataFrame, users: DataFrame, orgs: DataFrame, as_of
         .join(broadcast_if_small(orgs.select("org_id", F.col("name").alias("org_name"))), "org_id")
         .select("invite_id", "user_id", F.col("user_org").alias("org_id"), "name", "email", "role", "org_name")
     )
+
+
+def teams_by_name(teams: DataFrame, asked: DataFrame) -> DataFrame:
+    """(org_id, name, team_id) for every team name asked for; team_id is null where the team has yet to be created.
+
+    Names are compared as given; blank ones ask for no team and drop out.
+    """
+    wanted = asked.select("org_id", "name").filter(trim_space(F.col("name")) != "").distinct()
+    return wanted.join(teams.select("org_id", "name", "team_id"), ["org_id", "name"], "left")

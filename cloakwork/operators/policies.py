@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalog import DETECTORS, REDACT, STARTER_POLICIES
+from ..functions.catalog import DETECTORS, REDACT, STARTER_POLICIES, Starter
 from ..functions.spans import PLAN, action_name, rank
 from ..plans.sizing import broadcast_if_small
 
@@ -151,8 +151,8 @@ def outbound_orgs(policies: DataFrame, orgs: DataFrame | None = None) -> DataFra
     return orgs.select("org_id").join(flags, "org_id", "left").withColumn("has_outbound", F.coalesce("has_outbound", F.lit(False)))
 
 
-def seed_policies(orgs: DataFrame) -> DataFrame:
-    """The starter policies of new organisations: one row per organisation and starter."""
+def seed_policies(orgs: DataFrame, policies: tuple[Starter, ...] = STARTER_POLICIES) -> DataFrame:
+    """The policies organisations start with: one row per organisation and starter."""
     starters = F.array(
         *[
             F.struct(
@@ -161,7 +161,7 @@ def seed_policies(orgs: DataFrame) -> DataFrame:
                 F.lit(s.description).alias("description"),
                 F.array(*[F.lit(p) for p in s.patterns]).alias("patterns"),
             )
-            for i, s in enumerate(STARTER_POLICIES)
+            for i, s in enumerate(policies)
         ]
     )
     return orgs.select("org_id", F.explode(starters).alias("s")).select(
