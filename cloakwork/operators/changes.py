@@ -25,28 +25,30 @@ def upsert_latest(
 
     An existing row is overwritten only by changes of its owner. A new key belongs to the owner of its first change.
     Columns in `keep` hold their first value.
+
+    Changes are read once: reduced per (key, owner) first, and those few rows then to one per key.
     """
     payload = [c for c in current.columns if c not in keys and c not in owner]
-    row = F.struct(*[F.col(c) for c in payload])
+    row, who = F.struct(*[F.col(c) for c in payload]), F.struct(*[F.col(c) for c in owner])
     per_owner = changes.groupBy(*keys, *owner).agg(
         F.max_by(row, _order(order)).alias("_last"), F.min_by(row, _order(order)).alias("_first"), F.min(_order(order)).alias("_since")
     )
-    opened = per_owner.groupBy(*keys).agg(
-        F.min_by(F.struct(*[F.col(c) for c in owner], "_first"), "_since").alias("_new")
-    )
-    had = current.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in owner], row.alias("_old"))
-    # one row per key: the current one, or the opening of a new key
-    base = had.join(opened, keys, "full").select(
-        *keys,
-        F.col("_old").isNotNull().alias("_exists"),
-        *[F.when(F.col("_old").isNotNull(), F.col(f"_o_{c}")).otherwise(F.col(f"_new.{c}")).alias(c) for c in owner],
-        F.coalesce("_old", "_new._first").alias("_base"),
+    holders = current.select(*keys, who.alias("_holder"))
+    per_key = (
+        per_owner.join(holders, keys, "left")
+        .groupBy(*keys)
+        .agg(
+            F.min_by(F.struct(who.alias("owner"), F.col("_first").alias("first"), F.col("_last").alias("last")), "_since").alias("_new"),
+            F.max_by("_last", F.when(who == F.col("_holder"), 1)).alias("_mine"),  # null when only strangers wrote
+        )
     )
-    merged = base.join(per_owner.select(*keys, *owner, "_last"), [*keys, *owner], "left")
-    kept = [
-        F.col(f"_base.{c}").alias(c) if c in keep else F.coalesce(F.col("_last"), F.col("_base"))[c].alias(c) for c in payload
-    ]
-    return merged.select(*keys, *owner, *kept).select(*current.columns)
+    merged = current.select(*keys, who.alias("_own"), row.alias("_old")).join(per_key, keys, "full")
+    known = F.col("_old").isNotNull()
+    owners = [F.when(known, F.col(f"_own.{c}")).otherwise(F.col(f"_new.owner.{c}")).alias(c) for c in owner]
+    base = F.when(known, F.col("_old")).otherwise(F.col("_new.first"))
+    now = F.when(known, F.coalesce("_mine", "_old")).otherwise(F.col("_new.last"))
+    rest = [(base if c in keep else now)[c].alias(c) for c in payload]
+    return merged.select(*keys, *owners, *rest).select(*current.columns)
 
 
 def conversation_titles(changes: DataFrame, orgs: DataFrame, policies: DataFrame) -> DataFrame:

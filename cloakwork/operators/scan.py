@@ -42,8 +42,13 @@ def redact_at_rest(df: DataFrame, text_col: str, org_col: str, policies: DataFra
 
 
 def span_rows(df: DataFrame, id_col: str, spans_col: str) -> DataFrame:
-    """The table form of a span column: one row per span."""
-    return df.select(id_col, F.explode(spans_col).alias("s")).select(id_col, "s.*")
+    """The table form of a span column: one row per span.
+
+    The outer explode keeps Spark from deriving a filter on the array's size, which it would push below the scan and
+    so run every detector a second time.
+    """
+    rows = df.select(id_col, F.explode_outer(spans_col).alias("s"))
+    return rows.filter(F.col("s").isNotNull()).select(id_col, "s.*")
 
 
 def running_max_end(spans: DataFrame, id_col: str) -> DataFrame:

@@ -116,10 +116,11 @@ def scan_inbound_arrays(t: Inputs):
     return A.scan_inbound(_turns(t), t("policies")).select("request_id", "blocked", "redactions")
 
 
-@register("prompt_snapshot", _PIPELINE + "select request_id, snapshot from inb where not blocked", _READS)
+@register("prompt_snapshot", _PIPELINE + "select request_id, case when not blocked then snapshot end as snapshot from inb", _READS)
 def prompt_snapshot(t: Inputs):
-    done = A.scan_inbound(_turns(t), t("policies")).filter("not blocked")
-    return done.select("request_id", A.prompt_snapshot(F.col("messages")).alias("snapshot"))
+    # a filter on `blocked` would be pushed below the scan and repeat it; a condition in the projection is not
+    done = A.scan_inbound(_turns(t), t("policies"))
+    return done.select("request_id", F.when(~F.col("blocked"), A.prompt_snapshot(F.col("messages"))).alias("snapshot"))
 
 
 @register("scan_outbound", _PIPELINE + "select * from outb", _READS)

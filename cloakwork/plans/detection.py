@@ -61,8 +61,7 @@ def coalesce_spans(t: Inputs):
 
 
 def _raw_rows(t: Inputs):
-    rows = _raw(t).select("doc_id", F.explode("raw").alias("r"))
-    return rows.select("doc_id", "r.label", "r.start", (-F.col("r.neg_end")).alias("end"), "r.rank", "r.ord")
+    return X.span_rows(_raw(t), "doc_id", "raw").withColumn("end", -F.col("neg_end")).drop("neg_end")
 
 
 @register(
@@ -85,14 +84,15 @@ def running_max_end(t: Inputs):
 
 @register(
     "sort_with_ties",
-    _SCAN + "select doc_id, string_agg(label || ':' || start || ':' || end_, ';' order by start, end_ desc, ord) as in_order from raw group by doc_id",
+    _SCAN.rstrip() + ", s as (select doc_id, string_agg(label || ':' || start || ':' || end_, ';' order by start, end_ desc, ord) as in_order from raw group by doc_id) "
+    "select doc_id, coalesce(in_order, '') as in_order from seeded_docs left join s using (doc_id)",
     _READS,
 )
 def sort_with_ties(t: Inputs):
     in_order = F.transform(
         F.array_sort("raw"), lambda r: F.concat_ws(":", r["label"], r["start"].cast("string"), (-r["neg_end"]).cast("string"))
     )
-    return _raw(t).filter(F.size("raw") > 0).select("doc_id", F.array_join(in_order, ";").alias("in_order"))
+    return _raw(t).select("doc_id", F.array_join(in_order, ";").alias("in_order"))
 
 
 @register(
@@ -124,9 +124,11 @@ def spans_overlap(t: Inputs):
             S.overlaps(r["start"], -r["neg_end"], nxt["start"], -nxt["neg_end"]).alias("overlaps_next"),
         )
 
-    rows = _raw(t).select("doc_id", F.array_sort("raw").alias("s")).filter(F.size("s") > 1)
-    pairs = F.transform(F.slice("s", 1, F.size("s") - 1), lambda r, i: pair(r, F.get("s", i.cast("int") + 1)))
-    return rows.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*")
+    rows = _raw(t).select("doc_id", F.array_sort("raw").alias("s"))
+    pairs = F.transform(
+        F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))), lambda r, i: pair(r, F.get("s", i.cast("int") + 1))
+    )
+    return X.span_rows(rows.withColumn("p", pairs), "doc_id", "p")
 
 
 @register("apply_redactions", _SCAN + "select doc_id, text from redacted", _READS)
