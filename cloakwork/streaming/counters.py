@@ -69,32 +69,43 @@ def latest(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
-def admit(requests: DataFrame, orgs: DataFrame, decisions_path: str, counts_path: str, ts_col: str = "created_at", id_col: str = "log_id") -> DataStreamWriter:
+#: Days of counters carried on; a counter lives 25 hours from its first use.
+COUNTER_DAYS = 2
+
+
+def admit(
+    requests: DataFrame, orgs: DataFrame, decisions_path: str, counts_path: str, ts_col: str = "created_at", id_col: str = "log_id"
+) -> DataStreamWriter:
     """Admits or rejects requests as they come, by the counter their organisation has reached that day.
 
-    The counter of earlier batches is a small table; ranks within the batch are found as in the batch operator, in
-    slots, so a busy organisation is not counted by one task. Both tables are written per batch.
+    Ranks within a micro-batch are found as in the batch operator, in slots, so a busy organisation is not counted by
+    one task. Each batch writes its decisions and the counters of the last days; the next batch reads only those, so
+    neither state nor reads grow with the age of the stream. Both writes replace what a failed attempt left.
     """
     spark = requests.sparkSession
 
+    def counters(batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return spark.createDataFrame([], "org_id bigint, day date, used bigint")
+        return spark.read.parquet(f"{counts_path}/batch={batch_id - 1}")
+
     def decide(batch: DataFrame, batch_id: int) -> None:
-        before = _counts_before(spark, counts_path, batch_id)
+        before = counters(batch_id)
         plans = broadcast_if_small(orgs.select("org_id", "plan"))
-        ranked = rank_within_day(batch, ts_col, id_col).join(plans, "org_id", "left").withColumn("limit", plan_limit(F.col("plan")))
-        if before is not None:
-            ranked = ranked.join(before, ["org_id", "day"], "left").withColumn("n", F.col("n") + F.coalesce("_used", F.lit(0))).drop("_used")
-        decided = ranked.withColumn("admitted", F.col("limit").isNull() | (F.col("n") <= F.col("limit"))).withColumn("used", F.least("n", "limit"))
-        write_batch(decided.drop("n"), decisions_path, batch_id)
-        written = spark.read.parquet(f"{decisions_path}/batch={batch_id}")
-        write_batch(written.groupBy("org_id", "day").agg(F.max("used").alias("used")), counts_path, batch_id)
+        ranked = (
+            rank_within_day(batch, ts_col, id_col)
+            .join(plans, "org_id", "left")
+            .join(broadcast_if_small(before.withColumnRenamed("used", "_used")), ["org_id", "day"], "left")
+            .withColumn("limit", plan_limit(F.col("plan")))
+            .withColumn("n", F.col("n") + F.coalesce("_used", F.lit(0)))
+        )
+        decided = ranked.withColumn("admitted", F.col("limit").isNull() | (F.col("n") <= F.col("limit")))
+        write_batch(decided.withColumn("used", F.least("n", "limit")).drop("n", "_used"), decisions_path, batch_id)
+        written = spark.read.parquet(f"{decisions_path}/batch={batch_id}").select("org_id", "day", "used")
+        newest = written.agg(F.max("day")).first()[0]
+        now = before.unionByName(written).groupBy("org_id", "day").agg(F.max("used").alias("used"))
+        if newest is not None:
+            now = now.filter(F.col("day") > F.date_sub(F.lit(newest), COUNTER_DAYS))
+        write_batch(now, counts_path, batch_id)
 
     return requests.writeStream.foreachBatch(decide)
-
-
-def _counts_before(spark, path: str, batch_id: int) -> DataFrame | None:
-    """The counters left by earlier batches; None before the first."""
-    if batch_id == 0:
-        return None
-    rows = spark.read.option("basePath", path).parquet(path).filter(F.col("batch") < batch_id)
-    return rows.groupBy("org_id", "day").agg(F.max("used").alias("_used"))
-
