@@ -80,7 +80,11 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list], dim: int
 
 # --- nearest chunks -------------------------------------------------------------------------------------------
 
-_BLOCK = "ids array<bigint>, dim int, data binary"
+_BLOCK = (
+    T.StructField("ids", T.ArrayType(T.LongType())),
+    T.StructField("dim", T.IntegerType()),
+    T.StructField("data", T.BinaryType()),
+)
 _HIT = "query_id bigint, chunk_id bigint, score double"
 #: Best hits a task holds back before it hands them on.
 _HELD = 200_000
@@ -99,7 +103,7 @@ def _matrix(data: bytes, dim: int) -> np.ndarray:
 def pack(df: DataFrame, id_col: str, vec_col: str, keys: list[str]) -> DataFrame:
     """Rows of unit vectors packed into blocks per key, within each Arrow batch. Null vectors are left out."""
     key_fields = [f for f in df.schema.fields if f.name in keys]
-    schema = T.StructType([*key_fields, *T._parse_datatype_string(_BLOCK).fields])
+    schema = T.StructType([*key_fields, *_BLOCK])
     names = [f.name for f in key_fields]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -194,14 +194,14 @@ def provider_of_route(t: Inputs):
 
 _KEYED = (
     "with k as (select *, sha256(secret) as key_hash from api_keys), r as (select event_id, cast(ts as timestamp) as ts, "
-    "case when event_id % 10 = 9 then 'sg_unknown' else 'sg_' || lpad(cast(user_id as varchar), 12, '0') end as presented from events), "
+    "case when event_id % 10 = 9 then 'ck_unknown' else 'ck_' || lpad(cast(user_id as varchar), 12, '0') end as presented from events), "
     "att as (select event_id, ts, key_id, k.org_id, k.user_id, plan, zero_retention from r join k on k.key_hash = sha256(presented) join orgs o on o.org_id = k.org_id where not revoked) "
 )
 
 
 def _attributed(t: Inputs):
-    presented = F.when(F.col("event_id") % 10 == 9, "sg_unknown").otherwise(
-        F.concat(F.lit("sg_"), F.lpad(F.col("user_id").cast("string"), 12, "0"))
+    presented = F.when(F.col("event_id") % 10 == 9, "ck_unknown").otherwise(
+        F.concat(F.lit("ck_"), F.lpad(F.col("user_id").cast("string"), 12, "0"))
     )
     requests = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), presented.alias("presented_key"))
     return A.attribute(requests, t("api_keys").withColumn("key_hash", F.sha2("secret", 256)), t("orgs"))

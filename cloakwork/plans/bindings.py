@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -183,7 +184,7 @@ SPECS: dict[str, tuple[tuple[str, ...], str]] = {
     "api_keys": (
         ("users",),
         "select user_id + 1 as key_id, org_id, user_id, concat('key ', cast(user_id as varchar(20))) as name, "
-        "concat('sg_', lpad(cast(user_id as varchar(20)), 12, '0')) as secret, user_id % 6 = 0 as revoked, "
+        "concat('ck_', lpad(cast(user_id as varchar(20)), 12, '0')) as secret, user_id % 6 = 0 as revoked, "
         "case when user_id % 3 = 0 then 'personal' else 'org' end as scope, "
         "cast(concat('2024-01-', lpad(cast(user_id % 28 + 1 as varchar(2)), 2, '0'), ' 10:30:00') as timestamp) as created_at from users",
     ),
@@ -226,16 +227,25 @@ def _select(name: str, base: dict[str, str]) -> str:
     return f"WITH {', '.join(parts)} SELECT * FROM {name}"
 
 
-def _files(sf_dir: str) -> dict[str, str]:
-    return {n: f"parquet.`{os.path.join(sf_dir, n)}.parquet`" for n in BASE}
+def _views(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, str]:
+    """Temporary views over the base files, made once per session, so that file schemas are read once."""
+    out = {}
+    for n in names:
+        out[n] = view = f"base_{n}_{zlib.crc32(os.path.abspath(sf_dir).encode()):08x}"
+        if not spark.catalog.tableExists(view):
+            spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet")).createOrReplaceTempView(view)
+    return out
+
+
+def _base_of(name: str) -> list[str]:
+    return [n for n in _order([name]) if n not in SPECS]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or binding as a DataFrame."""
     configure(spark)
-    if name not in SPECS:
-        return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spark.sql(_select(name, _files(sf_dir)))
+    views = _views(spark, sf_dir, _base_of(name))
+    return spark.table(views[name]) if name not in SPECS else spark.sql(_select(name, views))
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, source: str) -> DataFrame:
@@ -247,6 +257,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, source: str) -> Da
         return stream
     view = f"stream_{source}_{uuid.uuid4().hex}"
     stream.createOrReplaceTempView(view)
-    bound = spark.sql(_select(name, {**_files(sf_dir), source: view}))
+    static = _views(spark, sf_dir, [n for n in _base_of(name) if n != source])
+    bound = spark.sql(_select(name, {**static, source: view}))
     spark.catalog.dropTempView(view)
     return bound
