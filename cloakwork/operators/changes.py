@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.catalog import INTEGRATIONS
 from ..functions.scalars import is_web_url, trim_space
 from ..plans.sizing import broadcast_if_small
 from .scan import redact_at_rest
@@ -84,9 +85,10 @@ def patch_rows(current: DataFrame, patches: DataFrame, keys: list[str], order: l
 def merge_json_config(current: DataFrame, patches: DataFrame, order: list[str], field: str = "url") -> DataFrame:
     """Set one key of the JSON `config` per (org_id, slug) and mark it installed; other keys keep their values.
 
-    Only web addresses are taken, trimmed. A pair that was not there is added.
+    Only web addresses are taken, trimmed, and only for integrations that have one. A pair that was not there is added.
     """
-    good = patches.withColumn("_v", trim_space(F.col(field))).filter(is_web_url(F.col("_v")))
+    configurable = [i.slug for i in INTEGRATIONS if i.configurable]
+    good = patches.withColumn("_v", trim_space(F.col(field))).filter(is_web_url(F.col("_v")) & F.col("slug").isin(*configurable))
     last = good.groupBy("org_id", "slug").agg(F.max_by("_v", _order(order)).alias("_v"))
     both = current.join(last, ["org_id", "slug"], "full")
     # values stay variants, so numbers, lists and nested objects survive unchanged
@@ -102,6 +104,22 @@ def merge_json_config(current: DataFrame, patches: DataFrame, order: list[str],
     )
 
 
+def set_installed(current: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
+    """Install or uninstall per (org_id, slug), the latest change winning.
+
+    Installing adds a missing pair with an empty config; uninstalling one that was never there leaves nothing. Slugs
+    outside the catalogue are refused.
+    """
+    known = changes.filter(F.col("slug").isin(*[i.slug for i in INTEGRATIONS]))
+    last = known.groupBy("org_id", "slug").agg(
+        F.max_by("installed", _order(order)).alias("_on"), F.bool_or("installed").alias("_ever")
+    )
+    both = current.join(last, ["org_id", "slug"], "full").filter(F.col("installed").isNotNull() | F.col("_ever"))
+    return both.select(
+        "org_id", "slug", F.coalesce("_on", "installed").alias("installed"), F.coalesce("config", F.lit("{}")).alias("config")
+    )
+
+
 def cascade_delete(parent: DataFrame, child: DataFrame, fk: str, ids: DataFrame, also: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Parents not in `ids`, and the children of the rest. `also` names owner columns a deletion must match."""
     on = [fk, *(also or [])]
@@ -145,6 +163,8 @@ def revoke_keys(keys: DataFrame, revocations: DataFrame) -> DataFrame:
     return keys.join(hit, "key_id", "left").withColumn("revoked", F.col("revoked") | F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
+#: Title of a conversation that a message opens.
+OPENED_TITLE = "New Chat"
 #: Roles a stored message may have.
 MESSAGE_ROLES = ("user", "assistant", "system")
 
@@ -167,7 +187,7 @@ def accept_messages(
         .drop("_zero")
     )
     openings = allowed.select(
-        "conv_id", "org_id", "user_id", F.lit("New chat").alias("title"), F.col("at").alias("updated_at"), "message_id"
+        "conv_id", "org_id", "user_id", F.lit(OPENED_TITLE).alias("title"), F.col("at").alias("updated_at"), "message_id"
     )
     opened = insert_if_absent(conversations, openings, ["conv_id"], ["updated_at", "message_id"])
     owned = allowed.join(opened.select("conv_id", "org_id", "user_id"), ["conv_id", "org_id", "user_id"], "left_semi")

@@ -121,6 +121,22 @@ def merge_json_config(t: Inputs):
     )
 
 
+@register(
+    "set_installed",
+    "with c as (select user_id as org_id, case event_id % 3 when 0 then 'slack' when 1 then 'webhooks' else 'unlisted' end as slug, event_type <> 'error' as turn_on, event_id from events), "
+    "l as (select org_id, slug, arg_max(turn_on, event_id) as latest, bool_or(turn_on) as ever from c where slug <> 'unlisted' group by org_id, slug) "
+    "select coalesce(i.org_id, l.org_id) as org_id, coalesce(i.slug, l.slug) as slug, coalesce(l.latest, i.installed) as installed "
+    "from integrations i full join l on l.org_id = i.org_id and l.slug = i.slug where i.org_id is not null or l.ever",
+    "integrations",
+)
+def set_installed(t: Inputs):
+    slug = F.when(F.col("event_id") % 3 == 0, "slack").when(F.col("event_id") % 3 == 1, "webhooks").otherwise("unlisted")
+    changes = t("events").select(
+        F.col("user_id").alias("org_id"), slug.alias("slug"), (F.col("event_type") != "error").alias("installed"), "event_id"
+    )
+    return C.set_installed(t("integrations"), changes, ["event_id"]).select("org_id", "slug", "installed")
+
+
 @register(
     "cascade_delete",
     "select 'parent' as kind, document_id as id from rag_documents where document_id % 3 <> 1 union all "

@@ -67,7 +67,8 @@ def test_config_keeps_other_values_and_types(spark):
         "org_id long, slug string, installed boolean, config string",
     )
     pat = spark.createDataFrame(
-        [(1, "slack", " https://new\"q ", 1), (1, "slack", "ftp://bad", 2), (3, "teams", "http://t", 1)], "org_id long, slug string, url string, n long"
+        [(1, "slack", " https://new\"q ", 1), (1, "slack", "ftp://bad", 2), (3, "teams", "http://t", 1), (3, "google-sheets", "http://t", 1)],
+        "org_id long, slug string, url string, n long",
     )
     got = {r["org_id"]: r for r in C.merge_json_config(cur, pat, ["n"]).collect()}
     assert json.loads(got[1]["config"]) == {"url": 'https://new"q', "n": 1.5, "deep": {"a": [1, "x"]}, "on": True} and got[1]["installed"]
@@ -75,6 +76,20 @@ def test_config_keeps_other_values_and_types(spark):
     assert json.loads(got[3]["config"]) == {"url": "http://t"} and got[3]["installed"]
 
 
+def test_install_and_uninstall(spark):
+    cur = spark.createDataFrame([(1, "slack", True, '{"url":"u"}'), (2, "slack", True, "{}")], "org_id long, slug string, installed boolean, config string")
+    chg = spark.createDataFrame(
+        [(1, "slack", False, 1), (1, "teams", True, 1), (3, "teams", False, 1), (4, "teams", True, 1), (4, "teams", False, 2), (5, "nope", True, 1)],
+        "org_id long, slug string, installed boolean, n long",
+    )
+    assert rows(C.set_installed(cur, chg, ["n"])) == [
+        (1, "slack", False, '{"url":"u"}'),
+        (1, "teams", True, "{}"),
+        (2, "slack", True, "{}"),
+        (4, "teams", False, "{}"),
+    ]
+
+
 def test_deletes(spark):
     parents = spark.createDataFrame([(1, 10), (2, 10), (3, 20)], "doc long, org long")
     children = spark.createDataFrame([(1, 100), (2, 200), (3, 300)], "doc long, id long")
@@ -102,7 +117,7 @@ def test_accept_messages_rules(spark):
     )
     m, c = C.accept_messages(inc, msgs, convs, orgs, policy_rows(spark, (1, ["email"], "flag")))
     assert rows(m) == [(1, 1, "user", "kept"), (2, 1, "user", "[REDACTED:EMAIL]"), (5, 9, "user", "opens")]
-    assert rows(c) == [(1, 1, 5, "t", 2), (9, 1, 5, "New chat", 5)]
+    assert rows(c) == [(1, 1, 5, "t", 2), (9, 1, 5, "New Chat", 5)]
 
 
 def test_titles(spark):
