@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 #: Runtime settings. AQE re-plans joins by measured size and splits skewed partitions.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,15 +27,30 @@ def build_session(master: str | None = None, app: str = "cloakwork", **extra: st
         builder = builder.master(master)
     for k, v in {**SETTINGS, "spark.ui.enabled": "false", **extra}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    return configure(builder.getOrCreate())
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on in a session made elsewhere."""
+    """Pin what results depend on in a session made elsewhere, and give its workers this package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application, for the functions that run inside tasks."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="cloakwork-package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as the cluster names it; a scratch folder only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

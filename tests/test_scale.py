@@ -106,3 +106,8 @@ def test_plans_hold_one_entry_per_label(spark):
     many = policy_rows(spark, *[(1, ["email", "api_key", "secret", "token"], a) for a in ["flag", "redact", "block"] * 40])
     plan = P.org_plans(many).first()["plan"]
     assert set(plan) == {"EMAIL", "API_KEY"} and plan["EMAIL"]["rank"] == 3 and plan["EMAIL"]["ord"] == 0
+
+
+def test_package_is_sent_to_the_workers(spark):
+    """Functions that run inside tasks find the package wherever the workers start."""
+    assert any(f.endswith("cloakwork.zip") for f in spark.sparkContext.listFiles)
