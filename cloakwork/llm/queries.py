@@ -6,7 +6,7 @@ import importlib
 
 from .common import QUERIES
 
-MODULES = ("url_filter", "html_text", "secrets", "bpe", "packing", "simhash")
+MODULES = ("url_filter", "html_text", "secrets", "bpe", "packing", "simhash", "exact_search")
 
 
 def load() -> dict:
