@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(base: int) -> tuple[np.ndarray, np.ndarray]:
     """base**j and base**-j modulo 2**64 for j up to CHUNK."""
     out = []
     for b in (base, pow(base, -1, 1 << 64)):
@@ -37,7 +37,7 @@ def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _SEEDS = np.arange(1, 513, dtype=np.uint64) * STEP
-_SIDES = [(mix(mix(_SEEDS))[k * 256 : k * 256 + 256], *_powers(base)) for k, base in enumerate((0xD6E8FEB86659FD93, 0xA0761D6478BD642F))]
+_SIDES = [(mix(mix(_SEEDS))[k * 256 : k * 256 + 256], *powers(base)) for k, base in enumerate((0xD6E8FEB86659FD93, 0xA0761D6478BD642F))]
 
 
 def _chunk(buf: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ import importlib
 
 from .common import QUERIES
 
-MODULES = ("url_filter", "html_text", "secrets", "bpe", "packing", "simhash", "exact_search", "jaccard_join")
+MODULES = ("url_filter", "html_text", "secrets", "bpe", "packing", "simhash", "exact_search", "jaccard_join", "toxicity")
 
 
 def load() -> dict:
