@@ -15,6 +15,9 @@ from ..plans.session import configure, fresh_path, spread
 #: Rows of an Arrow batch: texts can be long, so batches are short.
 BATCH_ROWS = 1024
 
+#: Bytes of a written table up to which it is broadcast; beyond them Spark joins by shuffling.
+SMALL = 8 << 20
+
 #: name → (builder, check SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 

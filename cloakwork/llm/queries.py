@@ -6,7 +6,7 @@ import importlib
 
 from .common import QUERIES
 
-MODULES = ("url_filter", "html_text", "secrets", "bpe", "packing", "simhash", "exact_search", "jaccard_join", "toxicity")
+MODULES = ("language_id", "jaccard_join", "toxicity", "exact_search", "simhash", "bpe", "secrets", "packing", "html_text", "url_filter")
 
 
 def load() -> dict:
