@@ -30,9 +30,10 @@ TABLE_ENTRIES = 150_000
 _PLAIN_END = 0x250
 _LETTERS = "".join(re.escape(chr(c)) for c in range(_PLAIN_END) if unicodedata.category(chr(c))[0] == "L")
 _NUMBERS = "".join(re.escape(chr(c)) for c in range(_PLAIN_END) if unicodedata.category(chr(c))[0] == "N")
+_SPACES = r"\t\n\x0b\x0c\r \x85\xa0"  # Python's own class holds four more
 _NOT_PLAIN = re.compile(r"[^\x00-ɏ]")
 # The words of the tokenizer's own expression, for plain text.
-_PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 
 
 class _Table(dict):

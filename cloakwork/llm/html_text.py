@@ -29,6 +29,8 @@ BLOCKS = frozenset(
 )
 SPACES = frozenset(("br", "wbr", "img"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements that hold parts of a page; one that ends ends what began within it.
+HOLDERS = frozenset("article main section div table td ul ol".split())
 #: Elements whose content is no markup.
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"))
 #: Elements that are never part of the main text, and words of class, id or role that say the same.
@@ -150,9 +152,14 @@ def fit_weights(pages: Iterable[str]) -> dict[str, float]:
 
 
 def extract(page: str, weights: dict[str, float]) -> tuple[str, float]:
-    """(text, score) of the best region; ("", 0) for a page without words."""
+    """(text, score) of the best region; ("", 0) for a page without words.
+
+    What is outside the text by itself weighs in full only where the element has ended in which the run began: an advert
+    between two paragraphs does not part them.
+    """
     pieces: list[tuple[str, str]] = []
     best, best_at, run, run_from, within = 0.0, (0, 0), 0.0, 0, "body"
+    depth, run_depth = 0, 0
     unseen = weights[""]
     unseen_word = weights["word "]
     for kind, value, _ in tokens(page):
@@ -161,10 +168,12 @@ def extract(page: str, weights: dict[str, float]) -> tuple[str, float]:
             n = len(value.split())
             gain = n * weights.get("word " + within, unseen_word)
         else:
-            gain = weights.get(value, unseen)
+            if value in HOLDERS:
+                depth += 1 if kind == "open" else -1
+            gain = -TAG_RANGE[0] if value == "outside" and depth >= run_depth else weights.get(value, unseen)
             within = value if kind == "open" and value not in VOID | {"outside"} else "body"
         if run <= 0:
-            run, run_from = 0.0, len(pieces) - 1
+            run, run_from, run_depth = 0.0, len(pieces) - 1, depth
         run += gain
         if run > best:
             best, best_at = run, (run_from, len(pieces))
