@@ -22,7 +22,7 @@ def test_search_by_brute_force(spark, seed):
     rng = random.Random(seed)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(300)]
     rows += [(i, list(rows[7][1])) for i in range(300, 420)]  # one common vector: many ties
-    rows += [(420, None), (421, [None] * 6), (422, [nan] * 6), (423, [inf, 1, 1, 1, 1, 1]), (450, [0.5] * 3), (451, [0.25] * 3), (455, []), (None, [0.1] * 6), rows[3]]
+    rows += [(420, None), (421, [None] * 6), (422, [nan] * 6), (423, [inf, 1.0, 1.0, 1.0, 1.0, 1.0]), (450, [0.5] * 3), (451, [0.25] * 3), (455, []), (None, [0.1] * 6), rows[3]]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, `Embedding` int")
     kept = [(i, [floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and x - x == 0 for x in v)]
     want = []
