@@ -27,29 +27,37 @@ def rank_within_day(requests: DataFrame, ts_col: str = "created_at", id_col: str
 
     Ranking a whole (organisation, day) would put a busy organisation's day into one task. Here rows are ranked
     within short slots, which spread over the cluster, and each slot adds the number of requests in the slots before
-    it; that prefix sum runs over counts only, at most 86400 / slot of them per organisation and day.
+    it; that prefix sum runs over counts only, at most 86400 / slot of them per organisation and day. Rows without
+    organisation or time keep their place, among themselves.
     """
     rows = requests.withColumn("day", F.to_date(ts_col)).withColumn("_slot", F.floor(F.unix_seconds(ts_col) / slot))
     keys = ["org_id", "day", "_slot"]
     before = Window.partitionBy("org_id", "day").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_c"))
-    offsets = counts.select(*keys, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    offsets = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*keys).orderBy(ts_col, id_col)
     ranked = rows.withColumn("_in_slot", F.row_number().over(within))
-    return ranked.join(offsets, keys).withColumn("n", F.col("_in_slot") + F.col("_before")).drop("_slot", "_in_slot", "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]  # rows without time or organisation are ranked as well
+    joined = ranked.join(offsets, same, "left").withColumn("n", F.col("_in_slot") + F.col("_before"))
+    return joined.drop("_slot", "_in_slot", "_before", *[f"_{k}" for k in keys])
+
+
+def decided(ranked: DataFrame) -> DataFrame:
+    """Adds `limit`, `admitted` and `used` to rows with day, `n` and `plan`. What has no organisation or time is rejected."""
+    limited = ranked.withColumn("limit", plan_limit(F.col("plan")))
+    known = F.col("org_id").isNotNull() & F.col("day").isNotNull()
+    allowed = known & (F.col("limit").isNull() | (F.col("n") <= F.col("limit")))
+    return limited.withColumn("admitted", allowed).withColumn("used", F.when(known, F.least("n", "limit")))
 
 
 def quota_decisions(requests: DataFrame, orgs: DataFrame, ts_col: str = "created_at", id_col: str = "log_id") -> DataFrame:
     """Each request with `admitted` and `used`, the counter after it.
 
     The first `limit` requests of an organisation and day pass, whatever becomes of them later; a rejected request
-    gives its place back, so the counter stays at the limit.
+    gives its place back, so the counter stays at the limit. A request without organisation or time is rejected.
     """
     plans = broadcast_if_small(orgs.select("org_id", "plan"))
-    ranked = rank_within_day(requests, ts_col, id_col).join(plans, "org_id", "left").withColumn("limit", plan_limit(F.col("plan")))
-    return ranked.withColumn("admitted", F.col("limit").isNull() | (F.col("n") <= F.col("limit"))).withColumn(
-        "used", F.least("n", "limit")
-    )
+    return decided(rank_within_day(requests, ts_col, id_col).join(plans, "org_id", "left"))
 
 
 def quota_used(requests: DataFrame, orgs: DataFrame, ts_col: str = "created_at") -> DataFrame:

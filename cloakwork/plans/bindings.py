@@ -248,11 +248,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.table(views[name]) if name not in SPECS else spark.sql(_select(name, views))
 
 
+#: Files of a micro-batch.
+FILES_PER_TRIGGER = 64
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str, source: str) -> DataFrame:
-    """The same binding with the base table `source` read as a stream of files."""
+    """The same binding with the base table `source` read as a stream of files, a bounded number at a time.
+
+    A table is a folder of part files, or a single file; of a single file the stream watches the folder it lies in.
+    """
     configure(spark)
-    schema = spark.read.parquet(os.path.join(sf_dir, f"{source}.parquet")).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
+    path = os.path.join(sf_dir, f"{source}.parquet")
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+    single = all(f.rstrip("/").endswith(f"/{source}.parquet") for f in table.inputFiles())
+    stream = reader.option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir) if single else reader.parquet(path)
     if name == source:
         return stream
     view = f"stream_{source}_{uuid.uuid4().hex}"

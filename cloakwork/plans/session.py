@@ -52,10 +52,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees, as the cluster names it; a scratch folder only where none is named."""
+    """The folder every executor sees, as the cluster names it. Only where all executors are threads of this machine may
+    it be left out: then a scratch folder serves."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="cloakwork-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

@@ -222,8 +222,8 @@ def stream_redact(t: Inputs):
 def stream_quota(t: Inputs):
     path = fresh_path(t.spark, "counters")
     busy = t.stream("usage_logs", "events").withColumn("org_id", F.when(F.col("org_id") < 20, 0).otherwise(F.col("org_id")).cast("bigint"))
-    finish(t, SC.updates_to(SC.stream_quota(busy, t("orgs")), path))
-    return SC.latest(t.spark.read.parquet(path), ["org_id", "day"]).withColumn("day", F.col("day").cast("string"))
+    finish(t, SC.count_daily(busy, path))
+    return SC.stream_quota(t.spark.read.parquet(path), t("orgs")).withColumn("day", F.col("day").cast("string"))
 
 
 @register(
@@ -245,7 +245,8 @@ def stream_admit(t: Inputs):
 )
 def stream_daily_usage(t: Inputs):
     path = fresh_path(t.spark, "daily")
-    finish(t, SC.updates_to(SC.stream_daily_usage(t.stream("usage_logs", "events")), path))
-    return SC.latest(t.spark.read.parquet(path), ["org_id", "day"]).withColumn("day", F.col("day").cast("string"))
+    finish(t, SC.count_daily(t.stream("usage_logs", "events"), path, {"blocked": F.count_if("blocked")}))
+    days = SC.totals(t.spark.read.parquet(path)).withColumnRenamed("requests", "queries")
+    return days.withColumn("day", F.col("day").cast("string"))
 
 

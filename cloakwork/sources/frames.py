@@ -10,11 +10,15 @@ from ..functions.scalars import trim_space
 DONE = "[DONE]"
 
 
-_BODY = "id string, model string, choices array<struct<delta:struct<content:string>,finish_reason:string>>"
+def _text_at(body: str, path: str) -> Column:
+    """The text at a path of a parsed payload; null for anything but text."""
+    value = F.try_variant_get(F.col(body), path, "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.col(body), path, "string"))
 
 
 def parse_frames(df: DataFrame, raw_col: str) -> DataFrame:
-    """One row per event of the raw text, in order (`part`).
+    """One row per event of the raw text, in order (`part`). A row holds whole events: pieces of an answer that cut
+    through events are put together first, as `redact_finished` does.
 
     `content` is the text delta and `finish` the finish reason, where there is one. `done` marks the end marker;
     `passthrough` what is forwarded as it is: frames that do not parse, and frames with neither delta nor reason.
@@ -27,19 +31,18 @@ def parse_frames(df: DataFrame, raw_col: str) -> DataFrame:
     events = df.select(*keep, F.posexplode(lines).alias("part", "_line")).filter("_line is not null")
     parsed = events.withColumn("payload", trim_space(F.substr("_line", F.lit(6)))).withColumn("done", F.col("payload") == DONE)
     # one parse per frame; a payload that is no JSON object gives nulls, which is what passing through means
-    body = parsed.withColumn("_b", F.when(~F.col("done"), F.from_json("payload", _BODY)))
-    choice = F.get("_b.choices", F.lit(0))
-    return body.select(
+    body = parsed.withColumn("_b", F.when(~F.col("done"), F.try_parse_json("payload")))
+    found = body.select(
         *keep,
         "part",
         "payload",
         "done",
-        choice["delta"]["content"].alias("content"),
-        choice["finish_reason"].alias("finish"),
-        F.col("_b.id").alias("frame_id"),
-        F.col("_b.model").alias("model"),
-        (~F.col("done") & choice["delta"]["content"].isNull() & choice["finish_reason"].isNull()).alias("passthrough"),
+        _text_at("_b", "$.choices[0].delta.content").alias("content"),
+        _text_at("_b", "$.choices[0].finish_reason").alias("finish"),
+        _text_at("_b", "$.id").alias("frame_id"),
+        _text_at("_b", "$.model").alias("model"),
     )
+    return found.withColumn("passthrough", ~F.col("done") & F.col("content").isNull() & F.col("finish").isNull())
 
 
 def content_frame(frame_id: Column, model: Column, text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import astuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,9 +15,9 @@ from ..functions.spans import coalesce_spans, let, mask, raw_findings
 from ..operators.policies import org_plans, outbound_orgs
 from ..plans.sizing import broadcast_if_small
 from ..sources.frames import parse_frames
-from .pending import Answer
+from .pending import Held, closed, cut_events, redacted
 
-_STATE = "raw string, pending string, frame_id string, model string, done boolean, labels string"
+_STATE = "event string, text string, frame_id string, model string, ended boolean, labels string"
 _OUT = "stream_id string, seq bigint, part int, kind string, text string, frame string"
 
 
@@ -30,9 +31,10 @@ def with_outbound(frames: DataFrame, policies: DataFrame) -> DataFrame:
 def stream_redact(frames: DataFrame, policies: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """Redacted frames of a stream of (stream_id, org_id, seq, raw), as they can be given out.
 
-    The state of an answer is its unparsed text and its pending tail, a few hundred characters. With `timeout_ms` an
-    answer that has been silent that long is closed: the rest goes out, and its state is dropped. A query that should
-    come to an end by itself must not set it, as open timeouts keep it running.
+    The state of an answer is an unfinished event and its pending tail, a few hundred characters; it is dropped at the
+    end marker, and answers that pass unchanged keep none. With `timeout_ms` an answer that has been silent that long is
+    closed: the rest goes out, and its state is dropped. A service should set it; a query that should come to an end by
+    itself must not, as open timeouts keep it running.
     """
     ordered = F.array_sort(
         F.transform(F.map_entries("plan"), lambda e: F.struct(e["value"]["ord"].alias("ord"), e["key"].alias("label")))
@@ -41,31 +43,27 @@ def stream_redact(frames: DataFrame, policies: DataFrame, timeout_ms: int | None
     rows = with_outbound(frames, policies).select(F.col("stream_id").cast("string"), "seq", "raw", labels.alias("labels"))
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get if state.exists else ("", "", None, None, False, "[]")
-        answer, plan = Answer(*known[:5]), known[5]
+        *kept, plan = state.get if state.exists else (*astuple(Held()), None)
+        held = Held(*kept)
         out: list[tuple] = []
-        last = -1
-
-        def collect(seq: int) -> None:
-            out.extend((key[0], seq, i, *o) for i, o in enumerate(answer.out))
-            answer.out = []
-
         if state.hasTimedOut:
-            answer.close(json.loads(plan))
-            collect(2**62)
+            out += [(key[0], 2**62, i, *o) for i, o in enumerate(closed(held, json.loads(plan)))]
             state.remove()
         else:
             batch = pd.concat(list(parts)).sort_values("seq", kind="stable")
-            for r in batch.itertuples(index=False):
-                if r.labels is None:
-                    out.append((key[0], r.seq, 0, "raw", None, r.raw))
+            for plan, of_plan in batch.groupby("labels", sort=False, dropna=False):
+                if not isinstance(plan, str):
+                    out += [(key[0], r.seq, 0, "raw", None, r.raw) for r in of_plan.itertuples(index=False)]
                     continue
-                plan, last = r.labels, r.seq
-                answer.feed(r.raw, json.loads(plan))
-                collect(last)
-            state.update((*answer.state(), plan))
-            if timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
+                names = json.loads(plan)
+                for r in of_plan.itertuples(index=False):
+                    out += [(key[0], r.seq, i, *o) for i, o in enumerate(redacted(held, cut_events(held, r.raw), names))]
+                if not held.ended:
+                    state.update((*astuple(held), plan))
+                    if timeout_ms is not None:
+                        state.setTimeoutDuration(timeout_ms)
+                elif state.exists:
+                    state.remove()
         yield pd.DataFrame(out, columns=["stream_id", "seq", "part", "kind", "text", "frame"])
 
     return rows.groupBy("stream_id").applyInPandasWithState(
@@ -76,12 +74,20 @@ def stream_redact(frames: DataFrame, policies: DataFrame, timeout_ms: int | None
 def redact_finished(frames: DataFrame, policies: DataFrame) -> DataFrame:
     """Batch form: (stream_id, org_id, text) with the deltas of each answer joined and masked once.
 
-    As in the stream, every finding of an organisation with outbound redaction is masked, whatever its action. The
-    text of an answer is one value of the result, so it has to fit a row here as it does there.
+    The raw pieces of an answer are put together before events are told apart, as an event may straddle pieces; what
+    follows the end marker does not count. As in the stream, every finding of an organisation with outbound redaction is
+    masked, whatever its action. The text of an answer is one value of the result, so it has to fit a row here as it
+    does there.
     """
-    deltas = parse_frames(frames, "raw").filter("content is not null").select("stream_id", "org_id", "seq", "part", "content")
-    texts = deltas.groupBy("stream_id", "org_id").agg(F.array_sort(F.collect_list(F.struct("seq", "part", "content"))).alias("d"))
-    joined = texts.select("stream_id", "org_id", F.array_join(F.transform("d", lambda x: x["content"]), "").alias("text"))
+    pieces = frames.groupBy("stream_id", "org_id").agg(F.array_sort(F.collect_list(F.struct("seq", "raw"))).alias("d"))
+    whole = pieces.select("stream_id", "org_id", F.array_join(F.transform("d", lambda x: x["raw"]), "").alias("raw"))
+    events = parse_frames(whole, "raw").filter("content is not null or done").select("stream_id", "org_id", "part", "content", "done")
+    texts = events.groupBy("stream_id", "org_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("part", "content")))).alias("d"),
+        F.min(F.when(F.col("done"), F.col("part"))).alias("end"),
+    )
+    before = F.filter("d", lambda x: F.col("end").isNull() | (x["part"] < F.col("end")))
+    joined = texts.filter(F.size("d") > 0).select("stream_id", "org_id", F.array_join(F.transform(before, lambda x: x["content"]), "").alias("text"))
     planned = with_outbound(joined, policies)
     masked = let(raw_findings(F.col("text"), F.col("plan")), lambda raw: mask(F.col("text"), coalesce_spans(raw)))
     return planned.select("stream_id", "org_id", masked.alias("text"))

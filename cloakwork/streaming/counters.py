@@ -2,110 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.notify import event_alerts
-from ..operators.quota import plan_limit, rank_within_day
+from ..operators.quota import decided, plan_limit, rank_within_day
 from ..plans.sizing import broadcast_if_small
 
-#: How late a row may be; a day's counter lives 24 hours and this long.
-LATENESS = "1 hour"
 
-
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, by: tuple[str, ...] = ()) -> None:
     """One folder per micro-batch, replaced when the batch is repeated, so a restart writes nothing twice."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch={batch_id}")
 
 
 def ingest(events: DataFrame, events_path: str, alerts_path: str) -> DataStreamWriter:
-    """Stores events and the alerts they raise. The batch is read once and kept while both tables are written."""
+    """Stores events and the alerts they raise; the alerts are made from what was stored, so the source is read once."""
 
     def both(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
-        write_batch(kept, events_path, batch_id)
-        write_batch(event_alerts(kept), alerts_path, batch_id)
-        kept.unpersist()
+        write_batch(batch, events_path, batch_id)
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{events_path}/batch={batch_id}")
+        write_batch(event_alerts(stored), alerts_path, batch_id)
 
     return events.writeStream.foreachBatch(both)
 
 
-def daily_counts(requests: DataFrame, ts_col: str = "created_at") -> DataFrame:
-    """Requests per organisation and UTC day with watermark; rows later than it are left to a batch repair."""
-    return (
-        requests.withWatermark(ts_col, LATENESS)
-        .groupBy(F.window(ts_col, "1 day").alias("w"), "org_id")
-        .agg(F.count("*").alias("requests"))
-        .select("org_id", F.to_date("w.start").alias("day"), "requests")
-    )
+def count_daily(rows: DataFrame, path: str, measures: dict[str, Column] | None = None, ts_col: str = "created_at") -> DataStreamWriter:
+    """Writes what each micro-batch adds to the counters per organisation and UTC day.
 
+    Nothing is kept between micro-batches and nothing is ever too late: `totals` adds up whatever has been written, in
+    any order. Rows without time or organisation are counted under null. `measures` are further sums by name.
+    """
 
-def stream_quota(requests: DataFrame, orgs: DataFrame, ts_col: str = "created_at") -> DataFrame:
-    """The live counter per organisation and UTC day, capped at the plan's limit."""
-    plans = broadcast_if_small(orgs.select("org_id", "plan"))
-    counted = daily_counts(requests, ts_col).join(plans, "org_id", "left")
-    return counted.select("org_id", "day", F.least("requests", plan_limit(F.col("plan"))).alias("used"))
+    def count(batch: DataFrame, batch_id: int) -> None:
+        sums = [c.alias(name) for name, c in (measures or {}).items()]
+        write_batch(batch.groupBy("org_id", F.to_date(ts_col).alias("day")).agg(F.count("*").alias("requests"), *sums), path, batch_id)
 
+    return rows.writeStream.foreachBatch(count)
 
-def stream_daily_usage(usage: DataFrame, ts_col: str = "created_at") -> DataFrame:
-    """Requests and blocked requests per organisation and day, kept up to date."""
-    return (
-        usage.withWatermark(ts_col, LATENESS)
-        .groupBy(F.window(ts_col, "1 day").alias("w"), "org_id")
-        .agg(F.count("*").alias("queries"), F.count_if("blocked").alias("blocked"))
-        .select("org_id", F.to_date("w.start").alias("day"), "queries", "blocked")
-    )
 
+def totals(counts: DataFrame) -> DataFrame:
+    """The counters of what `count_daily` wrote: everything added up per organisation and day."""
+    rest = [c for c in counts.columns if c not in ("org_id", "day", "batch")]
+    return counts.groupBy("org_id", "day").agg(*[F.sum(c).alias(c) for c in rest])
 
-def updates_to(df: DataFrame, path: str) -> DataStreamWriter:
-    """Writes the changed rows of every micro-batch to its own folder."""
-    return df.writeStream.outputMode("update").foreachBatch(lambda batch, i: write_batch(batch, path, i))
 
+def compact(spark: SparkSession, path: str, to: str, through: int) -> None:
+    """Adds up the micro-batches up to `through` into one folder of `to`; readers then take `since_compaction`."""
+    write_batch(totals(spark.read.parquet(path).filter(F.col("batch") <= through)), to, through)
 
-def latest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest state per key of what `updates_to` wrote."""
-    rest = [c for c in df.columns if c not in (*keys, "batch")]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
+def since_compaction(spark: SparkSession, path: str, to: str, through: int) -> DataFrame:
+    """The compacted counters and the micro-batches after them, for `totals`."""
+    later = spark.read.parquet(path).filter(F.col("batch") > through)
+    return spark.read.parquet(f"{to}/batch={through}").withColumn("batch", F.lit(through)).unionByName(later)
 
-#: Days of counters carried on; a counter lives 25 hours from its first use.
-COUNTER_DAYS = 2
+
+def stream_quota(counts: DataFrame, orgs: DataFrame) -> DataFrame:
+    """The counter per organisation and UTC day, capped at the plan's limit, from what `count_daily` wrote."""
+    plans = broadcast_if_small(orgs.select("org_id", "plan"))
+    return totals(counts).join(plans, "org_id", "left").select("org_id", "day", F.least("requests", plan_limit(F.col("plan"))).alias("used"))
 
 
 def admit(
     requests: DataFrame, orgs: DataFrame, decisions_path: str, counts_path: str, ts_col: str = "created_at", id_col: str = "log_id"
 ) -> DataStreamWriter:
-    """Admits or rejects requests as they come, by the counter their organisation has reached that day.
+    """Admits or rejects requests in the order they come, by the counter their organisation has reached that day.
 
     Ranks within a micro-batch are found as in the batch operator, in slots, so a busy organisation is not counted by
-    one task. Each batch writes its decisions and the counters of the last days; the next batch reads only those, so
-    neither state nor reads grow with the age of the stream. Both writes replace what a failed attempt left.
+    one task. Each batch writes its decisions and what it adds to the counters, by day; the next one adds up what was
+    written for the days that occur in it, however old these are. Both writes replace what a failed attempt left.
     """
     spark = requests.sparkSession
 
-    def counters(batch_id: int) -> DataFrame:
+    def counters(batch_id: int, days: DataFrame) -> DataFrame:
         if batch_id == 0:
-            return spark.createDataFrame([], "org_id bigint, day date, used bigint")
-        return spark.read.parquet(f"{counts_path}/batch={batch_id - 1}")
+            return spark.createDataFrame([], "org_id bigint, day date, _used bigint")
+        before = spark.read.schema("org_id bigint, requests bigint, batch int, day date").parquet(counts_path).filter(F.col("batch") < batch_id)
+        return before.join(F.broadcast(days), "day", "left_semi").groupBy("org_id", "day").agg(F.sum("requests").alias("_used"))
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        before = counters(batch_id)
+        day = F.to_date(ts_col).alias("day")
+        days = batch.select(day).filter("day is not null").distinct()  # a micro-batch of a bounded trigger has few
         plans = broadcast_if_small(orgs.select("org_id", "plan"))
         ranked = (
             rank_within_day(batch, ts_col, id_col)
             .join(plans, "org_id", "left")
-            .join(broadcast_if_small(before.withColumnRenamed("used", "_used")), ["org_id", "day"], "left")
-            .withColumn("limit", plan_limit(F.col("plan")))
+            .join(broadcast_if_small(counters(batch_id, days)), ["org_id", "day"], "left")
             .withColumn("n", F.col("n") + F.coalesce("_used", F.lit(0)))
         )
-        decided = ranked.withColumn("admitted", F.col("limit").isNull() | (F.col("n") <= F.col("limit")))
-        write_batch(decided.withColumn("used", F.least("n", "limit")).drop("n", "_used"), decisions_path, batch_id)
-        written = spark.read.parquet(f"{decisions_path}/batch={batch_id}").select("org_id", "day", "used")
-        newest = written.agg(F.max("day")).first()[0]
-        now = before.unionByName(written).groupBy("org_id", "day").agg(F.max("used").alias("used"))
-        if newest is not None:
-            now = now.filter(F.col("day") > F.date_sub(F.lit(newest), COUNTER_DAYS))
-        write_batch(now, counts_path, batch_id)
+        write_batch(decided(ranked).drop("n", "_used"), decisions_path, batch_id)
+        write_batch(batch.groupBy("org_id", day).agg(F.count("*").alias("requests")), counts_path, batch_id, by=("day",))
 
     return requests.writeStream.foreachBatch(decide)
