@@ -1,7 +1,8 @@
 """Documents for retrieval: chunking, embedding, nearest chunks, context.
 
 Vectors are compared block against block with numpy inside tasks. A block is what one Arrow batch holds of one
-organisation, so packing needs no shuffle and no organisation is ever gathered in one place.
+organisation, a thousand rows at most, so packing needs no shuffle, no organisation is ever gathered in one place, and
+the scores of a pair of blocks are a matrix of bounded size.
 """
 
 from __future__ import annotations
@@ -86,6 +87,10 @@ _BLOCK = (
     T.StructField("data", T.BinaryType()),
 )
 _HIT = "query_id bigint, chunk_id bigint, score double"
+#: Hits that are broadcast to fetch their texts; a hit is three numbers.
+BROADCAST_HITS = 500_000
+#: Rows of a block.
+BLOCK_ROWS = 1000
 #: Best hits a task holds back before it hands them on.
 _HELD = 200_000
 
@@ -111,8 +116,10 @@ def pack(df: DataFrame, id_col: str, vec_col: str, keys: list[str]) -> DataFrame
             rows = []
             for key, g in frame.groupby(names, sort=False):
                 for _, same in g.groupby(g["_v"].map(len), sort=False):
-                    unit = _unit(np.array(same["_v"].tolist(), dtype=np.float64))
-                    rows.append((*key, same["_id"].tolist(), unit.shape[1], unit.tobytes()))
+                    for at in range(0, len(same), BLOCK_ROWS):
+                        part = same.iloc[at : at + BLOCK_ROWS]
+                        unit = _unit(np.array(part["_v"].tolist(), dtype=np.float64))
+                        rows.append((*key, part["_id"].tolist(), unit.shape[1], unit.tobytes()))
             if rows:
                 yield pd.DataFrame(rows, columns=schema.names)
 
@@ -122,6 +129,24 @@ def pack(df: DataFrame, id_col: str, vec_col: str, keys: list[str]) -> DataFrame
     return slim.mapInPandas(run, schema)
 
 
+def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k best scores of each row; ties to smaller ids, NaN last. `ids` are the columns' ids.
+
+    A partition finds each row's kth score; only what reaches it is sorted.
+    """
+    ranked = np.where(np.isnan(scores), -np.inf, scores)
+    n = scores.shape[1]
+    if n > k:
+        kth = np.partition(ranked, n - k, axis=1)[:, n - k]
+        rows, columns = np.nonzero(ranked >= kth[:, None])
+    else:
+        rows, columns = np.divmod(np.arange(scores.size), n)
+    order = np.lexsort((ids[columns], -ranked[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], columns[place < k]
+
+
 def _best_pairs(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     """Per query the best k chunks a task has seen, over all its block pairs."""
     held: list[pd.DataFrame] = []
@@ -136,21 +161,10 @@ def _best_pairs(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame
             if r.dim != r.q_dim:
                 continue
             ids, q_ids = np.asarray(r.ids), np.asarray(r.q_ids)
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            scores = _matrix(r.q_data, r.dim) @ _matrix(r.data, r.dim)[order].T
-            # a stable sort of ids in ascending order keeps ties by id; NaN sorts last
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            held.append(
-                pd.DataFrame(
-                    {
-                        "query_id": np.repeat(q_ids, top.shape[1]),
-                        "chunk_id": ids[top].ravel(),
-                        "score": np.take_along_axis(scores, top, axis=1).ravel(),
-                    }
-                )
-            )
-            size += top.size
+            scores = _matrix(r.q_data, r.dim) @ _matrix(r.data, r.dim).T
+            rows, columns = _top(scores, ids, k)
+            held.append(pd.DataFrame({"query_id": q_ids[rows], "chunk_id": ids[columns], "score": scores[rows, columns]}))
+            size += len(rows)
             if size > _HELD:
                 held = [best()]
                 size = len(held[0])
@@ -187,41 +201,69 @@ def cosine_top_k(chunks: DataFrame, queries: DataFrame, k: int | None = TOP_K) -
     return _ranked(pairs, k)
 
 
-def pivots(chunks: DataFrame, n: int) -> np.ndarray:
-    """At most n chunk vectors picked by hash, the centres of the cells. Bounded by n whatever the table's size."""
-    picked = chunks.filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64("chunk_id"), "chunk_id").select("embedding").limit(n)
-    return _unit(np.array([r[0] for r in picked.collect()], dtype=np.float64))
+#: Most cells of an organisation.
+MAX_CELLS = 256
 
 
-def _cells(df: DataFrame, vec_col: str, centres: np.ndarray, probes: int) -> DataFrame:
-    """`df` with the `probes` closest cells of each vector, one row per cell."""
+def centres(chunks: DataFrame) -> DataFrame:
+    """(org_id, dim, centres): per organisation and vector length the vectors its cells lie around, picked by hash.
 
-    @F.pandas_udf("array<int>")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        scores = _unit(np.array(vectors.tolist(), dtype=np.float64)) @ centres.T
-        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+    Their number is the root of the organisation's chunks, MAX_CELLS at most, so that cells grow with it as their
+    number does.
+    """
+    some = chunks.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("org_id", "chunk_id", F.size("embedding").alias("dim"), "embedding")
+    sizes = some.groupBy("org_id", "dim").agg(F.least(F.ceil(F.sqrt(F.count("*"))), F.lit(MAX_CELLS)).alias("_cells"))
+    first = latest_k(some.withColumn("_h", F.xxhash64("chunk_id")), ["org_id", "dim"], [F.col("_h"), F.col("chunk_id")], MAX_CELLS)
+    ranked = first.groupBy("org_id", "dim").agg(F.array_sort(F.collect_list(F.struct("_h", "chunk_id", "embedding"))).alias("_c"))
+    cut = ranked.join(sizes, ["org_id", "dim"]).withColumn("_c", F.slice("_c", F.lit(1), F.col("_cells").cast("int")))
+    return cut.select("org_id", "dim", F.transform("_c", lambda x: x["embedding"]).alias("centres"))
 
-    return df.filter(F.col(vec_col).isNotNull()).withColumn("cell", F.explode(nearest(F.col(vec_col))))
 
+def _cells(blocks: DataFrame, around: DataFrame, share: float) -> DataFrame:
+    """Blocks dealt into cells: each vector goes to the `share` of its organisation's cells closest to it, one at least."""
+    schema = T.StructType([f for f in blocks.schema.fields if f.name == "org_id"] + [T.StructField("cell", T.IntegerType()), *_BLOCK])
+    joined = blocks.join(broadcast_if_small(around), ["org_id", "dim"]).select("org_id", "ids", "dim", "data", "centres")
 
-def approx_top_k(chunks: DataFrame, queries: DataFrame, k: int | None = TOP_K, cells: int = 64, probes: int = 8) -> DataFrame:
-    """Like `cosine_top_k`, looking only into the `probes` cells closest to each query; scores are exact.
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                unit, ids = _matrix(r.data, r.dim), np.asarray(r.ids)
+                middle = np.nan_to_num(_unit(np.array([list(c) for c in r.centres], dtype=np.float64)))
+                near = max(1, int(np.ceil(share * len(middle))))
+                order = np.argsort(-np.nan_to_num(unit @ middle.T), axis=1, kind="stable")[:, :near]
+                for cell in np.unique(order):
+                    of = np.flatnonzero((order == cell).any(axis=1))
+                    rows.append((r.org_id, int(cell), ids[of].tolist(), r.dim, unit[of].tobytes()))
+            yield pd.DataFrame(rows, columns=schema.names)
 
-    Cells cut the work to about probes / cells. A crowded cell is many blocks, so it is no hot spot.
+    return joined.mapInPandas(run, schema)
+
+
+def approx_top_k(chunks: DataFrame, queries: DataFrame, k: int | None = TOP_K, share: float = 0.85) -> DataFrame:
+    """Like `cosine_top_k`, looking only into the `share` of the organisation's cells closest to each query; scores are
+    exact. With a share of 1 all cells are looked into, and the answer is the exact one.
+
+    A query that finds fewer than k hits there is answered by the exact search instead, so k hits come wherever the
+    organisation has k. A crowded cell is many blocks, so it is no hot spot.
     """
     k = bounded_k(k)
-    centres = pivots(chunks, cells)
-    if not len(centres):
-        return cosine_top_k(chunks, queries, k)
-    keys = ["org_id", "cell"]
-    c = pack(_cells(chunks, "embedding", centres, 1), "chunk_id", "embedding", keys)
-    q = pack(_cells(queries, "embedding", centres, min(probes, len(centres))), "query_id", "embedding", keys)
-    return _ranked(_top_pairs(c, q, keys, k), k)
-
-
-def hits_with_title(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Hits with passage and document title. The k hits per query are fixed first; texts are fetched for them alone."""
-    found = broadcast_if_small(hits)
+    around = centres(chunks)
+    c = _cells(pack(chunks, "chunk_id", "embedding", ["org_id"]), around, 0.0)
+    q = _cells(pack(queries, "query_id", "embedding", ["org_id"]), around, share)
+    found = _ranked(_top_pairs(c, q, ["org_id", "cell"], k), k)
+    enough = found.groupBy("query_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= k).select("query_id")
+    short = queries.join(enough, "query_id", "left_anti")
+    return found.join(enough, "query_id", "left_semi").unionByName(cosine_top_k(chunks, short, k))
+
+
+def hits_with_title(hits: DataFrame, chunks: DataFrame, docs: DataFrame, n_hits: int | None = None) -> DataFrame:
+    """Hits with passage and document title. The k hits per query are fixed first; texts are fetched for them alone.
+
+    `n_hits` is a bound of the hits that the caller knows (questions times k): while it is small the hits are broadcast,
+    and no text is shuffled. Spark's own estimate of a ranked join is far too high to tell.
+    """
+    found = F.broadcast(hits) if n_hits is not None and n_hits <= BROADCAST_HITS else broadcast_if_small(hits)
     texts = chunks.select("chunk_id", "document_id", "content").join(found, "chunk_id")
     return docs.select("document_id", "title").join(broadcast_if_small(texts), "document_id").select(
         "query_id", "chunk_id", "document_id", "title", "content", "score"

@@ -76,6 +76,12 @@ def cosine_distance(t: Inputs):
     return t("embeddings").join(later, "vec_id").select("vec_id", F.round(1 - cosine(F.col("embedding"), F.col("b")), 6).alias("distance"))
 
 
+@register("approx_top_k_all_cells", _TOP, "rag_chunks rag_queries")
+def approx_top_k_all_cells(t: Inputs):
+    """Looking into every cell, the approximate search has to be the exact one."""
+    return G.approx_top_k(t("rag_chunks"), t("rag_queries"), share=1.0).withColumn("score", F.round("score", 6))
+
+
 @register("approx_top_k")
 def approx_top_k(t: Inputs):
     return G.approx_top_k(t("rag_chunks"), t("rag_queries"))
@@ -88,7 +94,8 @@ def approx_top_k(t: Inputs):
 )
 def hits_with_title(t: Inputs):
     hits = G.cosine_top_k(t("rag_chunks"), t("rag_queries"))
-    return G.hits_with_title(hits, t("rag_chunks"), t("rag_documents")).withColumn("score", F.round("score", 6))
+    n_hits = t("rag_queries").count() * G.TOP_K
+    return G.hits_with_title(hits, t("rag_chunks"), t("rag_documents"), n_hits).withColumn("score", F.round("score", 6))
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from cloakwork.plans import load_queries
 from tools.check import compare, duck
 
 SQL = oracle_sql()
@@ -15,7 +16,7 @@ def con(sf_dir):
     return duck(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(load_queries()))
 def test_query(name, spark, sf_dir, con):
     built = []
 
@@ -31,7 +32,7 @@ def test_query(name, spark, sf_dir, con):
 
 
 def test_only_the_approximate_search_has_no_sql():
-    assert set(queries()) - set(SQL) == {"approx_top_k"}
+    assert set(load_queries()) - set(SQL) == {"approx_top_k"}
 
 
 def test_entry(spark):

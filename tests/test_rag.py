@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cloakwork.functions.scalars import WHITE_SPACE
 from cloakwork.functions.vectors import cosine, format_vector, parse_vector
 from cloakwork.operators import rag as G
+from cloakwork.plans import run
 
 
 def plain_chunks(text, most, overlap):
@@ -120,12 +121,44 @@ def test_approximate_search_recall(spark):
     near = lambda: [x + rnd.gauss(0, 0.15) for x in rnd.choice(centres)]
     chunks = [(i, 0, near()) for i in range(800)]
     queries = [(i, 0, near()) for i in range(30)]
-    hits = G.approx_top_k(spark.createDataFrame(chunks, CHUNK), spark.createDataFrame(queries, QUERY), 5, cells=32, probes=8).collect()
+    hits = G.approx_top_k(spark.createDataFrame(chunks, CHUNK), spark.createDataFrame(queries, QUERY), 5, share=0.25).collect()
     exact = brute_top(chunks, queries, 5)
     found = sum(r["chunk_id"] in exact[r["query_id"]] for r in hits)
     assert found / sum(map(len, exact.values())) > 0.9
 
 
+def test_approximate_search_on_the_given_vectors(spark, sf_dir):
+    """Recall against the exact search, and k hits wherever the organisation has k."""
+    exact, found = ([(r["query_id"], r["chunk_id"]) for r in run(n, spark, sf_dir).collect()] for n in ("cosine_top_k", "approx_top_k"))
+    assert len(exact) == len(found)
+    assert len(set(exact) & set(found)) >= 0.95 * len(exact)
+
+
+def test_few_hits_are_made_up_for(spark):
+    chunks = [(i, 0, [float(i == j) for j in range(8)]) for i in range(8)] + [(100 + i, 1, [1.0] * 8) for i in range(3)]
+    queries = [(1, 0, [1.0, 0.1, 0, 0, 0, 0, 0, 0]), (2, 1, [1.0] * 8), (3, 2, [1.0] * 8), (4, 0, None)]
+    hits = G.approx_top_k(spark.createDataFrame(chunks, CHUNK), spark.createDataFrame([(i, o, v and list(map(float, v))) for i, o, v in queries], QUERY), 5, share=0.01).collect()
+    count = lambda q: sum(r["query_id"] == q for r in hits)
+    assert [count(q) for q in (1, 2, 3, 4)] == [5, 3, 0, 0]
+
+
+def test_best_of_a_matrix():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        scores = np.round(rng.normal(size=(4, rng.integers(1, 30))), 1)
+        scores[rng.random(scores.shape) < 0.1] = np.nan
+        ids = rng.permutation(scores.shape[1])
+        rows, columns = G._top(scores, ids, 5)
+        for i in range(4):
+            want = sorted(range(scores.shape[1]), key=lambda c: (np.isnan(scores[i, c]), -np.nan_to_num(scores[i, c]), ids[c]))[:5]
+            assert columns[rows == i].tolist() == want
+
+
+def test_texts_of_hits_are_not_shuffled(spark, sf_dir):
+    plan = run("hits_with_title", spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
 def test_vector_text(spark):
     df = spark.createDataFrame([([1.0, 2.5],), ([],), ([1e10, -3e-7, 0.1],)], "v array<float>")
     texts = [r[0] for r in df.select(format_vector(F.col("v"))).collect()]
