@@ -77,12 +77,24 @@ def _hit(text: Column, d: Detector, wanted: Column | None, digit: Column | None
     )
 
 
+#: Items that a fold appends one by one before it hands them on as a block: appending copies what is there already.
+BLOCK_ITEMS = 256
+
+
+def in_blocks(items: Column) -> Column:
+    """The array cut into blocks; an empty one is a single empty block."""
+    last = F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / BLOCK_ITEMS).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK_ITEMS + 1, F.lit(BLOCK_ITEMS)))
+
+
 def _places(hit: Column) -> Column:
     """array<struct<start,end>> of one `_hit`, from the running lengths of gaps and matches."""
     lengths = F.zip_with(
         hit["gaps"], hit["hits"], lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"))
     )
-    zero = F.expr("cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:array<struct<start:int,end:int>>>)")
+    place = "struct<start:int,end:int>"
+    zero = F.expr(f"cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:array<array<{place}>>>)")
+    none = F.expr(f"cast(array() as array<{place}>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -90,7 +102,11 @@ def _places(hit: Column) -> Column:
         grown = F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end")))
         return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), grown.alias("out")))
 
-    return F.aggregate(lengths, zero, step, lambda acc: acc["out"])
+    def block(acc: Column, some: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), none.alias("out"))
+        return F.aggregate(some, start, step, lambda done: F.struct(done["at"].alias("at"), F.array_append(acc["out"], done["out"]).alias("out")))
+
+    return let(lengths, lambda all_: F.aggregate(in_blocks(all_), zero, block, lambda acc: F.flatten(acc["out"])))
 
 
 def detect(text: Column, key: str) -> Column:
@@ -138,7 +154,8 @@ def raw_findings(text: Column, plan: Column) -> Column:
 
 def collect_findings(text: Column, entries: Column) -> Column:
     """array<FINDING>: for each (label, rank) entry of the policy list all matches, duplicates kept."""
-    hits = F.array_compact(F.array(*[_hit(text, d, None) for d in BY_LABEL.values()]))
+    wanted = lambda d: F.exists(entries, lambda e: e["label"] == d.label)
+    hits = F.array_compact(F.array(*[_hit(text, d, wanted(d)) for d in BY_LABEL.values()]))
 
     def of_entry(found: Column, e: Column) -> Column:
         same = F.filter(found, lambda h: h["label"] == e["label"])
@@ -183,7 +200,8 @@ def coalesce_spans(raw: Column) -> Column:
     A span that starts before the running end joins the cluster; touching spans stay apart. The cluster keeps the
     label of its first span and the strongest rank.
     """
-    zero = F.expr(f"cast(named_struct('done', array(), 'cur', null) as struct<done:array<{FINDING}>,cur:{FINDING}>)")
+    zero = F.expr(f"cast(named_struct('done', array(), 'cur', null) as struct<done:array<array<{FINDING}>>,cur:{FINDING}>)")
+    none = F.expr(f"cast(array() as array<{FINDING}>)")
 
     def finding(label: Column, start: Column, end: Column, r: Column) -> Column:
         return F.struct(label.alias("label"), start.alias("start"), end.alias("end"), r.alias("rank"))
@@ -201,25 +219,39 @@ def coalesce_spans(raw: Column) -> Column:
             .otherwise(state(F.array_append(acc["done"], cur), fresh))
         )
 
-    merged = F.aggregate(
-        F.array_sort(raw),
-        zero,
-        step,
-        lambda acc: F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"])),
-    )
+    def block(acc: Column, some: Column) -> Column:
+        return F.aggregate(some, state(none, acc["cur"]), step, lambda b: state(F.array_append(acc["done"], b["done"]), b["cur"]))
+
+    def closed(acc: Column) -> Column:
+        done = F.flatten(acc["done"])
+        return F.when(acc["cur"].isNull(), done).otherwise(F.array_append(done, acc["cur"]))
+
+    merged = let(F.array_sort(raw), lambda all_: F.aggregate(in_blocks(all_), zero, block, closed))
     return F.when(F.size(raw) > 0, merged).otherwise(F.expr(f"cast(array() as array<{FINDING}>)"))
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """Replace every one of the given disjoint, sorted spans by its label."""
+    """Replace every one of the given disjoint, sorted spans by its label.
+
+    Characters are counted from the start of a text, so the stretch of a block of spans is cut out once, and the spans
+    are cut from the stretch.
+    """
 
     def masked(s: Column) -> Column:
-        def piece(x: Column, i: Column) -> Column:
-            before = F.when(i == 0, F.lit(0)).otherwise(F.get(s, i.cast("int") - 1)["end"])
-            return F.concat(F.substr(text, before + 1, x["start"] - before), F.lit("[REDACTED:"), x["label"], F.lit("]"))
+        def end_of(spans_: Column, i: Column, otherwise: Column) -> Column:
+            return F.when(i < 0, otherwise).otherwise(F.get(spans_, i)["end"])
+
+        def stretch(some: Column, b: Column) -> Column:
+            return let(end_of(s, b.cast("int") * BLOCK_ITEMS - 1, F.lit(0)), lambda at: let(
+                F.substr(text, at + 1, F.element_at(some, -1)["end"] - at), lambda part: F.array_join(F.transform(some, lambda x, i: piece(some, part, at, x, i)), "")
+            ))
+
+        def piece(some: Column, part: Column, at: Column, x: Column, i: Column) -> Column:
+            before = end_of(some, i.cast("int") - 1, at)
+            return F.concat(F.substr(part, before - at + 1, x["start"] - before), F.lit("[REDACTED:"), x["label"], F.lit("]"))
 
         tail = F.substr(text, F.element_at(s, -1)["end"] + 1)
-        return F.when(F.size(s) == 0, text).otherwise(F.concat(F.array_join(F.transform(s, piece), ""), tail))
+        return F.when(F.size(s) == 0, text).otherwise(F.concat(F.array_join(F.transform(in_blocks(s), stretch), ""), tail))
 
     return let(spans, masked)
 

@@ -193,7 +193,7 @@ def accept_messages(
     owned = allowed.join(opened.select("conv_id", "org_id", "user_id"), ["conv_id", "org_id", "user_id"], "left_semi")
     # only ids that are new get scanned; the text of one id is the one that came first
     fresh = owned.groupBy("message_id").agg(
-        F.min_by(F.struct("conv_id", "org_id", "role", "content", "at"), "at").alias("r")
+        F.min(F.struct("at", "conv_id", "org_id", "role", "content")).alias("r")
     ).join(messages.select("message_id"), "message_id", "left_anti").select("message_id", "r.*")
     stored = redact_at_rest(fresh, "content", "org_id", policies)
     touched = owned.groupBy("conv_id").agg(F.max("at").alias("_at"))

@@ -133,17 +133,12 @@ def site_discovery(events: DataFrame) -> DataFrame:
         F.count_if(F.col("outcome") == "block").alias("blocked"),
         F.count_if(F.col("outcome") == "redact").alias("redacted"),
         minute_text(F.max("created_at")).alias("last_seen"),
-    ).orderBy("org_id", F.desc("items_caught"), "site")
+    )
 
 
 def label_counts(events: DataFrame) -> DataFrame:
     """How often each label was caught; an event without labels counts nowhere, a repeated label twice."""
-    return (
-        events.select("org_id", F.explode("labels").alias("label"))
-        .groupBy("org_id", "label")
-        .agg(F.count("*").alias("count"))
-        .orderBy("org_id", F.desc("count"), "label")
-    )
+    return events.select("org_id", F.explode("labels").alias("label")).groupBy("org_id", "label").agg(F.count("*").alias("count"))
 
 
 def usage_log_page(usage: DataFrame, org: object, provider: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -195,6 +190,13 @@ def messages_of(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     )
 
 
+def flag_owned(df: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Adds `owned`: does (conversation, organisation, user) own an existing conversation? One join for both answers."""
+    keys = ["conv_id", "org_id", "user_id"]
+    own = conversations.select(*keys).distinct().withColumn("owned", F.lit(True))
+    return df.join(own, keys, "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
+
+
 def owned(df: DataFrame, conversations: DataFrame) -> DataFrame:
     """Rows whose (conversation, organisation, user) owns an existing conversation."""
     return df.join(conversations.select("conv_id", "org_id", "user_id"), ["conv_id", "org_id", "user_id"], "left_semi")

@@ -19,13 +19,13 @@ def _at(minutes):
 # Title changes per conversation: every message of a conversation renames it; some come from strangers.
 _RENAMES = (
     "ren as (select message_id, conv_id, conv_id % 25 as org_id, (conv_id + case when turn % 3 = 2 then 1 else 0 end) % 150 as user_id, "
-    "case when turn % 4 = 3 then '  ' else substring(content, 1, 20) || ' jane' || turn || '@acme.co' end as title, turn from messages)"
+    "case when turn % 4 = 3 then '  ' else content || ' jane' || turn || '@acme.co' end as title, turn from messages)"
 )
 
 
 def _renames(t: Inputs):
     n = F.col("turn")
-    title = F.when(n % 4 == 3, "  ").otherwise(F.concat(F.substring("content", 1, 20), F.lit(" jane"), n, F.lit("@acme.co")))
+    title = F.when(n % 4 == 3, "  ").otherwise(F.concat("content", F.lit(" jane"), n, F.lit("@acme.co")))
     return t("messages").select(
         "message_id",
         "conv_id",

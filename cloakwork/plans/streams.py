@@ -8,7 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import notify as N
 from ..sources import frames as FR
-from ..sources.events import parse_events
+from ..sources.events import accepted, parse_events, rejected
 from ..streaming import answers as SA
 from ..streaming import counters as SC
 from .check_sql import redact_ctes, scan_ctes
@@ -43,16 +43,31 @@ def _payloads(events: DataFrame) -> DataFrame:
     return events.select("event_id", "org_id", "created_at", body.alias("body"))
 
 
+#: What a broken or hostile client sends instead of an event.
+_GARBAGE = ("{oops", "[1]", '{"site":"a"}', '{"site":1,"host":"h","action":"paste"}', '{"site":"a","host":"h","action":"paste","labels":"EMAIL"}')
+
+
+def _with_garbage(payloads: DataFrame) -> DataFrame:
+    """The payloads, and after every seventh event one that is to be refused."""
+    bad = F.get(F.array(*[F.lit(g) for g in _GARBAGE]), (F.col("event_id") % len(_GARBAGE)).cast("int"))
+    return payloads.unionByName(payloads.filter("event_id % 7 = 0").withColumn("body", bad))
+
+
 _EVENT_SQL = "select event_id, org_id, site, host, action, labels_csv as labels, count, outcome from shadow_events"
 _ALERT_SQL = "select alert_id as event_id, org_id, severity, message, 'open' as status, " + STAMP_SQL.format("created_at") + " as created_at from risk_alerts"
 
 
 @register("parse_events", _EVENT_SQL, "shadow_events")
 def parse(t: Inputs):
-    out = parse_events(_payloads(t("shadow_events")), "body")
+    out = accepted(parse_events(_with_garbage(_payloads(t("shadow_events"))), "body"))
     return out.drop("created_at").withColumn("labels", F.array_join("labels", ","))
 
 
+@register("rejected_events", "select event_id, case event_id % 5 " + " ".join(f"when {i} then '{g}'" for i, g in enumerate(_GARBAGE)) + " end as body from shadow_events where event_id % 7 = 0", "shadow_events")
+def rejected_events(t: Inputs):
+    return rejected(_with_garbage(_payloads(t("shadow_events"))), "body").select("event_id", "body")
+
+
 @register("event_alerts", _ALERT_SQL, "risk_alerts")
 def event_alerts(t: Inputs):
     return N.event_alerts(_events(t)).withColumn("created_at", stamp("created_at"))
@@ -66,7 +81,7 @@ def event_alerts(t: Inputs):
 )
 def stream_ingest_events(t: Inputs):
     events, alerts = fresh_path(t.spark, "shadow_events"), fresh_path(t.spark, "risk_alerts")
-    finish(t, SC.ingest(parse_events(_payloads(t.stream("shadow_events", "events")), "body"), events, alerts))
+    finish(t, SC.ingest(accepted(parse_events(_payloads(t.stream("shadow_events", "events")), "body")), events, alerts))
     stored = t.spark.read.parquet(events)
     what = F.concat_ws(":", "site", F.array_join("labels", ","), F.col("count").cast("string"), "outcome")
     return stored.select(F.lit("event").alias("kind"), "event_id", what.alias("what")).unionByName(

@@ -9,9 +9,19 @@ EVENT = "site string, host string, action string, labels array<string>, count in
 
 
 def parse_events(df: DataFrame, json_col: str) -> DataFrame:
-    """Adds the event's columns; labels default to none, count to 0, outcome to 'flag'. Works on streams as well."""
+    """Adds the event's columns; labels default to none, count to 0, outcome to 'flag'. Works on streams as well.
+
+    `valid` is false for a payload that is no JSON object, lacks site, host or action, or holds a value of the wrong
+    kind; `accepted` and `rejected` part the two.
+    """
     e = F.from_json(F.col(json_col), EVENT)
-    parsed = df.withColumn("_e", e)
+    body = F.try_parse_json(F.col(json_col))
+    kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(body, f"$.{name}", "variant")), F.lit("VOID"))
+    valid = F.lit(True)
+    for name in ("site", "host", "action"):
+        valid = valid & (kind(name) == "STRING")
+    valid = valid & kind("outcome").isin("STRING", "VOID") & kind("count").isin("BIGINT", "VOID") & kind("labels").isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID")
+    parsed = df.withColumn("_e", e).withColumn("valid", F.coalesce(valid, F.lit(False)))
     return parsed.select(
         *[c for c in df.columns if c != json_col],
         "_e.site",
@@ -20,4 +30,18 @@ def parse_events(df: DataFrame, json_col: str) -> DataFrame:
         F.coalesce("_e.labels", F.expr("cast(array() as array<string>)")).alias("labels"),
         F.coalesce("_e.count", F.lit(0)).alias("count"),
         F.coalesce("_e.outcome", F.lit("flag")).alias("outcome"),
+        "valid",
+    )
+
+
+def accepted(events: DataFrame) -> DataFrame:
+    """The events of `parse_events` to store."""
+    return events.filter("valid").drop("valid")
+
+
+def rejected(df: DataFrame, json_col: str) -> DataFrame:
+    """The input rows whose payload is refused, as they came."""
+    keep = [F.col(c) for c in df.columns]
+    return parse_events(df.withColumn("_raw", F.col(json_col)), json_col).filter(~F.col("valid")).select(
+        *[F.col("_raw").alias(json_col) if c == json_col else c_ for c, c_ in zip(df.columns, keep)]
     )

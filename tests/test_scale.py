@@ -111,3 +111,29 @@ def test_plans_hold_one_entry_per_label(spark):
 def test_package_is_sent_to_the_workers(spark):
     """Functions that run inside tasks find the package wherever the workers start."""
     assert any(f.endswith("cloakwork.zip") for f in spark.sparkContext.listFiles)
+
+
+def test_many_findings_in_one_text(spark):
+    """Folds and masking go by blocks: thousands of findings come out right, and twice as many take about twice as long."""
+    import time
+
+    from cloakwork.operators.scan import scan
+
+    from .conftest import policy_rows
+
+    policies = policy_rows(spark, (1, ["email", "ssn"], "redact"))
+
+    def run(n):
+        text = " é ".join(f"u{i}@acme.co 123-45-{i % 10000:04d}" for i in range(n // 2))
+        df = spark.createDataFrame([(1, 1, text)], "id long, org_id long, text string")
+        start = time.perf_counter()
+        row = scan(df, "text", "org_id", policies).select("text", "n_findings").first()
+        return time.perf_counter() - start, row
+
+    for n in (2, 510, 512, 514, 3000):
+        _, row = run(n)
+        assert row["n_findings"] == n
+        assert row["text"] == " é ".join(["[REDACTED:EMAIL] [REDACTED:SSN]"] * (n // 2))
+    run(4000)
+    few, many = (min(run(n)[0] for _ in range(2)) for n in (16_000, 32_000))
+    assert many <= 2.6 * few + 1, (few, many)
