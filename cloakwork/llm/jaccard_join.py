@@ -127,21 +127,22 @@ def signatures(rows: DataFrame, similarity: tuple[int, int], shingle: int, slack
 def _shared_postings(postings: DataFrame) -> DataFrame:
     """(token, node, n, df) of the postings (token, node, n) whose token at least two nodes have.
 
-    Buckets of tokens that hold far more postings than the mean have some widely shared token: theirs are counted by
-    aggregates that combine before the shuffle, and joined back with AQE splitting the large keys. All others go to one
-    place by token, once, and none of them can be large.
+    Tokens with more postings than four times the mean of a bucket of tokens are widely shared; there are a quarter as
+    many of them as buckets at most, so their list is bounded. They are found by aggregates that combine before the
+    shuffle, and their postings go nowhere: it is known that they are shared, and all count as equally frequent. All
+    others go to one place by token, once, and none of those places can be large.
     """
     bucket = F.pmod("token", F.lit(BUCKETS)).cast("int")
     sizes = written(postings.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("size")), "buckets")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    hot = sizes.filter(F.col("size") > 4 * total / BUCKETS + 64).select("bucket")  # at most a quarter of the buckets
-    marked = postings.withColumn("bucket", bucket).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "bucket", "left")
+    limit = 4 * (sizes.agg(F.sum("size")).first()[0] or 0) // BUCKETS + 64
+    full = [r[0] for r in sizes.filter(F.col("size") > limit).select("bucket").collect()]
+    counted = postings.filter(bucket.isin(full)).groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    wide = [r[0] for r in counted.filter((F.col("df") > limit) & (F.col("lo") != F.col("hi"))).select("token").collect()] if full else []
+    often = postings.filter(F.col("token").isin(wide)).select("token", "node", "n", F.lit(2**62).alias("df"))
     by_token = W.partitionBy("token")
-    mild = marked.filter(F.col("hot").isNull()).select("token", "node", "n")
-    mild = mild.select("*", F.count("*").over(by_token).alias("df"), F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"))
-    warm = marked.filter(F.col("hot")).select("token", "node", "n").distinct()
-    counted = warm.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    return mild.unionByName(warm.join(counted.filter("lo <> hi"), "token")).filter("lo <> hi").select("token", "node", "n", "df")
+    others = postings.filter(~F.col("token").isin(wide)).select("token", "node", "n")
+    others = others.select("*", F.count("*").over(by_token).alias("df"), F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"))
+    return others.filter("lo <> hi").select("token", "node", "n", "df").unionByName(often)
 
 
 def _rare_postings(sets: DataFrame, num: int, den: int) -> DataFrame:
