@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
@@ -91,3 +92,35 @@ def violations(df: DataFrame, id_col: str, rules: list[Rule]) -> DataFrame:
         broken = df.select(ident, F.explode(F.array_compact(F.array(*local))).alias("rule")).select("rule", "id")
         parts.insert(0, broken)
     return reduce(DataFrame.unionByName, parts)
+
+
+def schema_rules(name: str, tables: dict[str, DataFrame], dim: int = EMBEDDING_DIM) -> list[Rule]:
+    """The rules of one table of the data model; `tables` holds the tables that its foreign keys point to."""
+
+    def belongs(column: str, parent: str) -> Foreign:
+        return Foreign(f"{name}.{column}", column, tables[parent], column)
+
+    def listed(column: str, values: str) -> Check:
+        return one_of(f"{name}.{column}", column, ALLOWED[values])
+
+    def once(*columns: str, where: Column | None = None) -> Unique:
+        return Unique(f"{name}({','.join(columns)})", columns, where)
+
+    rules: dict[str, Callable[[], list[Rule]]] = {
+        "orgs": lambda: [NotNull("orgs.name", ("name",)), listed("plan", "plan")],
+        "teams": lambda: [once("org_id", "name"), belongs("org_id", "orgs")],
+        "users": lambda: [listed("role", "role"), listed("status", "user_status"), once("org_id", "email"), belongs("org_id", "orgs"), belongs("team_id", "teams")],
+        "api_keys": lambda: [listed("scope", "scope"), once("key_hash"), belongs("org_id", "orgs"), belongs("user_id", "users")],
+        "policies": lambda: [listed("action", "action"), listed("route", "route"), belongs("org_id", "orgs")],
+        "usage_logs": lambda: [listed("route", "route"), belongs("org_id", "orgs"), belongs("user_id", "users")],
+        "risk_alerts": lambda: [listed("severity", "severity"), listed("status", "alert_status"), belongs("org_id", "orgs"), belongs("team_id", "teams")],
+        "activity": lambda: [NotNull("activity.actor", ("actor",)), belongs("org_id", "orgs")],
+        "conversations": lambda: [belongs("org_id", "orgs"), belongs("user_id", "users")],
+        "messages": lambda: [listed("role", "message_role"), belongs("conv_id", "conversations")],
+        "integrations": lambda: [once("org_id", "slug"), belongs("org_id", "orgs")],
+        "rag_documents": lambda: [NotNull("rag_documents.title", ("title",)), belongs("org_id", "orgs")],
+        "rag_chunks": lambda: [vector_length(dim=dim), belongs("document_id", "rag_documents")],
+        "shadow_events": lambda: [listed("outcome", "outcome"), belongs("org_id", "orgs")],
+        "invites": lambda: [once("user_id", where=F.col("accepted_at").isNull()), belongs("user_id", "users")],
+    }
+    return rules[name]()

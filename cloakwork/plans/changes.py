@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
@@ -266,3 +269,72 @@ def constraint_violations(t: Inputs):
     # every hundredth vector is cut short, so that the length rule has something to find
     cut = t("rag_chunks").withColumn("embedding", F.when(F.col("chunk_id") % 100 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
     return people.unionByName(K.violations(cut, "chunk_id", [K.vector_length(dim=64)]))
+
+
+# Rows that break the data model's rules, planted by one SQL text that both engines run: table → (id, planted rows).
+_PLANTED = {
+    "orgs": ("org_id", "select org_id, case when org_id % 9 = 4 then null else name end as name, case when org_id % 8 = 3 then 'trial' else plan end as plan from orgs"),
+    "teams": ("team_id", "select team_id, case when org_id % 6 = 1 then org_id + 1000 else org_id end as org_id, case when team_id % 10 = 1 and org_id % 4 = 0 then 'Platform' else name end as name from teams"),
+    "users": (
+        "user_id",
+        "select user_id, org_id, case when user_id % 31 = 5 then -1 else team_id end as team_id, case when user_id % 40 = 7 then 'Owner' else role end as role, "
+        "case when user_id % 50 = 9 then 'gone' else status end as status, case when user_id % 30 < 2 then 'twice@example.com' else email end as email from users",
+    ),
+    "api_keys": (
+        "key_id",
+        "select key_id, org_id, case when key_id % 20 = 3 then user_id + 1000000 else user_id end as user_id, case when key_id % 25 = 1 then 'team' else scope end as scope, "
+        "case when key_id % 10 = 0 then 'same' else secret end as key_hash from api_keys",
+    ),
+    "policies": ("policy_id", "select policy_id, org_id, action, case when policy_id % 4 = 1 then 'edge' else route end as route from policies"),
+    "usage_logs": ("log_id", "select log_id, org_id, case when log_id % 100 = 7 then -1 else user_id end as user_id, case when log_id % 50 = 3 then 'edge' else route end as route from usage_logs"),
+    "risk_alerts": (
+        "alert_id",
+        "select alert_id, org_id, case when alert_id % 90 = 2 then -5 else team_id end as team_id, case when alert_id % 60 = 1 then 'urgent' else severity end as severity, "
+        "case when alert_id % 70 = 1 then 'closed' else status end as status from risk_alerts",
+    ),
+    "activity": ("activity_id", "select activity_id, case when activity_id % 80 = 3 then 999 else org_id end as org_id, case when activity_id % 75 = 2 then null else actor end as actor from activity"),
+    "conversations": ("conv_id", "select conv_id, org_id, case when conv_id % 12 = 1 then -1 else user_id + 1 end as user_id from headers"),
+    "messages": ("message_id", "select message_id, case when message_id % 35 = 2 then -1 else conv_id end as conv_id, case when message_id % 45 = 1 then 'tool' else role end as role from messages"),
+    "integrations": ("org_id", "select org_id, case when org_id % 3 = 1 then 'slack' else slug end as slug from integrations"),
+    "rag_documents": ("document_id", "select document_id, org_id, case when document_id % 33 = 0 then null else title end as title from rag_documents"),
+    "rag_chunks": ("chunk_id", "select chunk_id, case when chunk_id % 40 = 1 then -1 else document_id end as document_id, embedding from rag_chunks"),
+    "shadow_events": ("event_id", "select event_id, org_id, case when event_id % 55 = 4 then 'drop' else outcome end as outcome from shadow_events"),
+    "invites": ("invite_id", "select invite_id, case when invite_id % 10 = 6 then user_id - 1 when invite_id % 28 = 3 then -1 else user_id end as user_id, accepted_at from invites"),
+}
+_DIM = 64
+
+
+def _schema_sql() -> str:
+    """Each rule spelt out, apart from the rule objects of the operator."""
+    lists = [
+        ("orgs", "plan", "'free', 'team', 'enterprise'"), ("users", "role", "'Admin', 'Manager', 'User'"), ("users", "status", "'active', 'inactive', 'invited'"),
+        ("api_keys", "scope", "'org', 'personal'"), ("policies", "action", "'redact', 'block', 'flag'"), ("policies", "route", "'cloud', 'selfhosted'"),
+        ("usage_logs", "route", "'cloud', 'selfhosted'"), ("risk_alerts", "severity", "'low', 'medium', 'high', 'critical'"), ("risk_alerts", "status", "'open', 'investigating', 'resolved'"),
+        ("messages", "role", "'user', 'assistant', 'system'"), ("shadow_events", "outcome", "'redact', 'block', 'flag'"),
+    ]
+    parents = [
+        ("teams", "org_id", "orgs"), ("users", "org_id", "orgs"), ("users", "team_id", "teams"), ("api_keys", "org_id", "orgs"), ("api_keys", "user_id", "users"), ("policies", "org_id", "orgs"),
+        ("usage_logs", "org_id", "orgs"), ("usage_logs", "user_id", "users"), ("risk_alerts", "org_id", "orgs"), ("risk_alerts", "team_id", "teams"), ("activity", "org_id", "orgs"),
+        ("conversations", "org_id", "orgs"), ("conversations", "user_id", "users"), ("messages", "conv_id", "headers"), ("integrations", "org_id", "orgs"), ("rag_documents", "org_id", "orgs"),
+        ("rag_chunks", "document_id", "rag_documents"), ("shadow_events", "org_id", "orgs"), ("invites", "user_id", "users"),
+    ]
+    once = [("teams", "org_id,name", "true"), ("users", "org_id,email", "true"), ("api_keys", "key_hash", "true"), ("integrations", "org_id,slug", "true"), ("invites", "user_id", "accepted_at is null")]
+    parts = [f"select '{t}.{c}' as rule, cast({_PLANTED[t][0]} as varchar) as id from p_{t} where {c} not in ({v})" for t, c, v in lists]
+    parts += [f"select '{t}.{c}', cast({_PLANTED[t][0]} as varchar) from p_{t} where {c} is null" for t, c in (("orgs", "name"), ("activity", "actor"), ("rag_documents", "title"))]
+    parts += [f"select '{t}.{c}', cast({_PLANTED[t][0]} as varchar) from p_{t} where {c} is not null and {c} not in (select {c} from {p})" for t, c, p in parents]
+    parts += [f"select '{t}({c})', cast({_PLANTED[t][0]} as varchar) from (select *, count(*) over (partition by {c}) as n from p_{t} where {w}) where n > 1" for t, c, w in once]
+    parts.append(f"select 'embedding_dim', cast(chunk_id as varchar) from p_rag_chunks where len(embedding) <> {_DIM}")
+    return f"with {', '.join(f'p_{t} as ({sql})' for t, (_, sql) in _PLANTED.items())} " + " union all ".join(parts)
+
+
+@register("schema_violations", _schema_sql(), " ".join(["headers" if t == "conversations" else t for t in _PLANTED]))
+def schema_violations(t: Inputs):
+    """Every rule of the data model on its table, each with rows planted that break it."""
+    known = {n: t("headers" if n == "conversations" else n) for n in _PLANTED}
+    parts = []
+    for name, (ident, sql) in _PLANTED.items():
+        source = "headers" if name == "conversations" else name
+        known[name].createOrReplaceTempView(f"rules_{source}")
+        planted = t.spark.sql(sql.replace(f" from {source}", f" from rules_{source}"))
+        parts.append(K.violations(planted, ident, K.schema_rules(name, known, _DIM)))
+    return reduce(DataFrame.unionByName, parts)
