@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 def _number(x: Column) -> Column:
     """A float without exponent and, when whole, without decimal point."""
     plain = x.cast("string")
-    spread = F.regexp_replace(plain.try_cast("decimal(38,18)").cast("string"), r"0+$", "")
-    return F.regexp_replace(F.when(plain.contains("E"), F.coalesce(spread, plain)).otherwise(plain), r"\.0?$", "")
+    part = lambda i: F.regexp_extract(plain, r"^-?(\d)\.(\d*?)0*E(-?\d+)$", i)
+    sign = F.when(F.startswith(plain, F.lit("-")), "-").otherwise("")
+    digits, power = F.concat(part(1), part(2)), F.coalesce(part(3).try_cast("int"), F.lit(0))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.concat(sign, F.rpad(digits, power + 1, F.lit("0")))
+    large = F.when(F.length(digits) <= power + 1, whole).otherwise(
+        F.concat(sign, F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))
+    )
+    return F.when(plain.contains("E"), F.when(power < 0, small).otherwise(large)).otherwise(F.regexp_replace(plain, r"\.0?$", ""))
 
 
 def format_vector(v: Column) -> Column:

@@ -160,7 +160,7 @@ def test_texts_of_hits_are_not_shuffled(spark, sf_dir):
 
 
 def test_vector_text(spark):
-    df = spark.createDataFrame([([1.0, 2.5],), ([],), ([1e10, -3e-7, 0.1],)], "v array<float>")
+    df = spark.createDataFrame([([1.0, 2.5],), ([],), ([1e10, -3e-7, 0.1],), ([1e-30, -1.17549435e-38, 3.4028235e38, 12345678.0, -0.00012345678, 0.0],)], "v array<float>")
     texts = [r[0] for r in df.select(format_vector(F.col("v"))).collect()]
     assert texts[0] == "[1,2.5]" and texts[1] == "[]" and texts[2] == "[10000000000,-0.0000003,0.1]"
     assert df.filter(parse_vector(format_vector(F.col("v"))) != F.col("v")).count() == 0
