@@ -1,6 +1,7 @@
 """URL filters: a weighted vocabulary found by Aho-Corasick, behind prefix rules on host and path.
 
-Strict terms reject alone; soft terms add up their weights, each distinct term once, and reject from `limit` on. A term
+Strict terms reject alone; soft terms add up their weights, each distinct term once, and reject from `limit` on, which no
+weight reaches alone. A term
 counts only where no letter or digit touches it, so that "sex" is not found in "essex".
 """
 
@@ -20,7 +21,7 @@ STRICT = ("porn", "porno", "xxx", "hentai", "escort", "escorts", "camgirls", "ca
 
 #: Weights; several distinct hits reject together.
 SOFT = {
-    "adult": 1.0, "sex": 1.0, "sexy": 1.0, "nude": 1.0, "x": 1.0, "dating": 1.0, "bets": 1.0, "bet": 1.0, "betting": 1.0, "poker": 1.0,
+    "adult": 1.5, "sex": 1.0, "sexy": 1.0, "nude": 1.0, "x": 0.5, "dating": 1.0, "bets": 1.0, "bet": 1.0, "betting": 1.0, "poker": 1.0,
     "free": 1.0, "cheap": 1.0, "pills": 1.0, "loans": 1.0, "crack": 1.0, "keygen": 1.0, "torrent": 1.0, "spam": 1.0, "farm": 1.0,
     "ads": 1.0, "ad": 1.0, "track": 1.0, "tracker": 1.0, "click": 1.0, "popup": 1.0, "banner": 1.0,
 }
