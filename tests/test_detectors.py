@@ -45,6 +45,15 @@ def test_every_detector_has_cases():
     assert len(CASES) == 23 and len({d.body for d in DETECTORS}) == 21
 
 
+LABELS = """email EMAIL, api_key API_KEY, secret API_KEY, token API_KEY, credit_card CREDIT_CARD, ssn SSN, phone PHONE, iban IBAN, ip_address IP_ADDRESS,
+passport PASSPORT, intl_phone INTL_PHONE, uk_nino UK_NINO, in_aadhaar IN_AADHAAR, in_pan IN_PAN, ca_sin CA_SIN, au_tfn AU_TFN, au_abn AU_ABN, br_cpf BR_CPF,
+br_cnpj BR_CNPJ, es_dni ES_DNI, fr_insee FR_INSEE, za_id ZA_ID, sg_nric SG_NRIC"""
+
+
+def test_labels_as_spelt_out():
+    assert [f"{d.key} {d.label}" for d in DETECTORS] == LABELS.replace("\n", " ").split(", ")
+
+
 def test_every_pack_rule_has_a_detector():
     rules = [k for p in PACKS for k, _ in p.rules]
     assert len(PACKS) == 9 and len(rules) == 12 and all(k in BY_KEY for k in rules)
