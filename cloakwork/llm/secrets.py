@@ -30,7 +30,8 @@ _WEAK_ACCESS = re.compile(
     r"""(?<![A-Za-z0-9])(?:(?i:access_?key_?id|client_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}|ASIA[A-Z0-9]{12,})""", re.A
 )
 _WEAK_ACCESS_WORDS = ("access", "client", "account", "user", "login", "asia")
-_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+# "=" may stand before the run (name=value, query strings); after it, it is padding only.
+_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"""(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s"'<>]+|(?<![\w.-])(?:[a-z0-9-]+\.)+[a-z]{2,}:\d{2,5}\b""")
 _BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 
@@ -56,7 +57,8 @@ def base_spans(text: str, low: str) -> list[Span]:
 
 
 def _random_looking(word: str) -> bool:
-    return any(c.isupper() for c in word) and any(c.islower() for c in word) and sum(c.isdigit() for c in word) >= 2 and len(set(word)) >= 12
+    digits = 1 if len(word) == 40 else 2  # one is enough at the length of AWS secret keys
+    return any(c.isupper() for c in word) and any(c.islower() for c in word) and sum(c.isdigit() for c in word) >= digits and len(set(word)) >= 12
 
 
 class Side:

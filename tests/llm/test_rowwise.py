@@ -144,6 +144,23 @@ def test_linked_secrets():
     assert secrets.redact("nothing here") == "nothing here"
 
 
+@pytest.mark.parametrize("word", ["aB3dE5gH7jK9mN1pQ3rS5", "aB3dE5gH7jK9mN1pQ3r+S5==", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"])
+def test_linked_secrets_after_an_equals_sign(word):
+    key = "AKIA" + "B7" * 8
+    kinds = lambda t: [secrets.KINDS[s.kind] for s in secrets.find_secrets(t)[1]]
+    for text in (
+        f"aws_access_key_id={key}\naws_secret_access_key={word}\n",  # .env
+        f"[default]\naws_access_key_id = {key}\naws_secret_access_key = {word}\n",  # ini
+        f"export AWS_ACCESS_KEY_ID='{key}' AWS_SECRET_ACCESS_KEY={word}",
+        f"GET /list?id={key}&sig={word}&page=2",
+    ):
+        assert kinds(text) == ["access", "weak_secret"]
+        assert secrets.redact(text) == text.replace(key, "[SECRET]").replace(word, "[SECRET]")
+    assert kinds(f"https://h.example.com/a?client_id=bob&sig={word}") == ["endpoint", "weak_access", "weak_secret"]
+    assert kinds(f"a={word}") == [] == kinds(f"AKIA a={word}")  # nothing beside it
+    assert kinds(f"{key} {word}====") == ["access"]  # more than padding
+
+
 # --- BPE
 
 
