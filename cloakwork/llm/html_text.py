@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,17 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 HOLDERS = frozenset("article main section div table td ul ol".split())
 #: Elements whose content is no markup.
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"))
-#: Elements that are never part of the main text, and words of class, id or role that say the same.
+#: Elements whose end tag may be left out.
+ENDLESS = frozenset("p li dt dd tr td th thead tbody tfoot option head".split())
+#: What an opening tag ends, up to the nearest holder of such parts.
+ENDS = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("tr", "table")),
+        "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)), "option": (("option",), ("select",))}
+IN_HEAD = frozenset("title meta link script style base noscript template".split())
+#: An element that holds one of these is never left out as a whole.
+MAIN_PARTS = frozenset(("article", "main", "h1"))
+#: Elements that are never part of the main text, and words of class, id or role that say the same. A name says it only as a whole, or
+#: if all its words are of these or of the fillers ("cookie-notice", "ad-slot-1"); else ("has-sidebar"), or where all its words are
+#: vague, the element enters the scan with the weight of "outside" on its opening tag.
 OUTSIDE = RAW | frozenset("head nav footer aside form button select option dialog menu svg canvas object audio video label".split())
 OUTSIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
@@ -41,6 +52,10 @@ OUTSIDE_NAMES = frozenset(
     "recommended comment comments commentlist discussion disqus reply replies respond footer header masthead toolbar pagination pager widget hidden "
     "contentinfo complementary search".split()
 )
+FILLERS = frozenset("bar box button buttons item items list slot unit".split())
+VAGUE = frozenset("discussion header hidden notice search side widget".split())
+#: How far an element is outside: not at all, by a doubtful name, by its name, by what element it is.
+INSIDE, DOUBTFUL, NAMED, ELEMENT = range(4)
 #: Prior counts (inside the article, outside it) of tags and of words by the tag they stand in.
 PRIOR = {"p": (8, 1), "h1": (4, 1), "h2": (4, 1), "article": (4, 1), "main": (4, 1), "section": (2, 1), "b": (2, 1), "i": (2, 1), "em": (2, 1), "br": (2, 1),
          "blockquote": (4, 1), "pre": (4, 1), "li": (1, 2), "a": (1, 3), "ul": (1, 2), "div": (1, 1), "header": (1, 4), "outside": (1, 60)}
@@ -50,68 +65,144 @@ WORD_RANGE = (0.002, 2.0)
 TAG_RANGE = (0.01, 8.0)
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+_HIDDEN_VALUE = re.compile(r"""aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_WORD_BREAK = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_outside(name: str, attributes: str, in_article: bool) -> bool:
+def _outside(name: str, attributes: str, in_article: bool) -> int:
     if name in OUTSIDE or (name == "header" and not in_article):
-        return True
+        return ELEMENT
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    for found in _NAMED.finditer(attributes):
-        if OUTSIDE_NAMES.intersection(re.split(r"[^a-z0-9]+", (found[1] or found[2] or found[3] or "").lower())):
-            return True
-    return bool(_HIDDEN.search(attributes))
-
-
-def tokens(page: str) -> Iterable[tuple[str, str, bool]]:
-    """(kind, value, outside): kind "open" or "close" with the tag's name, or "text" with decoded text.
-
-    Everything within an element that is outside the text comes as one "open" of the name "outside".
-    """
-    at, end, in_article = 0, len(page), 0
+        return INSIDE
+    if _HIDDEN_VALUE.search(attributes) or _HIDDEN.search(_QUOTED.sub("", attributes)):
+        return NAMED
+    found = INSIDE
+    for m in _NAMED.finditer(attributes):
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            words = [w for w in _WORD_BREAK.split(token) if w]
+            said = OUTSIDE_NAMES.intersection(words)
+            if not said:
+                continue
+            if all(w in OUTSIDE_NAMES or w in FILLERS or w.isdigit() for w in words) and (m[1].lower() == "role" or not said <= VAGUE):
+                return NAMED
+            found = DOUBTFUL
+    return found
+
+
+class _Open:
+    """The elements open at one place, and for each that ended: the index of the token after it, and if it had an end of its own."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.ends: dict[int, tuple[int, bool]] = {}
+
+    def place(self, names: Iterable[str]) -> int:
+        """Place in the stack of the innermost element of these names, -1 without one."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def cut(self, place: int, at: int) -> None:
+        """Ends all from `place` on before token `at`."""
+        while len(self.stack) > place:
+            name, index = self.stack.pop()
+            self.places[name].pop()
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            self.ends[index] = at, name in ENDLESS
+
+    def open(self, name: str, at: int) -> None:
+        head = self.place(("head",))
+        if head >= 0 and head == len(self.stack) - 1 and name not in IN_HEAD:
+            self.cut(head, at)
+        if name in BLOCKS and self.blocks and self.stack[self.blocks[-1]][0] == "p":
+            self.cut(self.blocks[-1], at)
+        if name in ENDS:
+            old, holders = ENDS[name]
+            place = self.place(old)
+            if place > self.place(holders):
+                self.cut(place, at)
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, at))
+
+    def close(self, name: str, at: int) -> None:
+        """An end tag ends what began within its element, but one of a phrase ends no block. Without an element it ends nothing."""
+        place = self.place((name,))
+        if place < 0 or (name not in BLOCKS and name not in OUTSIDE and self.blocks and self.blocks[-1] > place):
+            return
+        index = self.stack[place][1]
+        self.cut(place, at)
+        self.ends[index] = at + 1, True
+
+
+def _read(page: str) -> tuple[list[tuple], dict[int, tuple[int, bool]], list[int]]:
+    """Tokens (text,) or (name, closing, attributes), where elements end, and how many main parts open before each token."""
+    found, opened, mains, n_mains = [], _Open(), [], 0
+    at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
-        name = m[2]
-        if name is None:
+        if m[2] is None:
             if page[m.start()] != "<" or m.end() - m.start() == 1:
-                yield "text", html_lib.unescape(m[0]), False
-            continue
-        name, closing = name.lower(), bool(m[1])
-        if not closing and _is_outside(name, m[3], in_article > 0):
-            if name not in VOID and not m[3].endswith("/"):
-                at = _end_of(page, at, name)
-            yield "open", "outside", True
+                found.append((html_lib.unescape(m[0]),))
+                mains.append(n_mains)
             continue
-        if name in ("article", "main"):
-            in_article += -1 if closing else 1
-        yield "close" if closing else "open", name, False
+        name, closing, alone = m[2].lower(), bool(m[1]), m[2].lower() in VOID or m[3].endswith("/")
+        here = len(found)
+        found.append((name, closing, m[3]))
+        mains.append(n_mains)
+        if closing:
+            opened.close(name, here)
+        elif name in RAW:
+            if not alone:
+                close = _raw_end(name).search(page, at)
+                at = close.end() if close else end
+            opened.ends[here] = here + 1, True
+        elif not alone:
+            n_mains += name in MAIN_PARTS
+            opened.open(name, here)
+    opened.cut(0, len(found))
+    mains.append(n_mains)
+    return found, opened.ends, mains
+
+
+@lru_cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I)
 
 
-def _end_of(page: str, at: int, name: str) -> int:
-    """Where the element `name` that opens before `at` ends: at its closing tag, else where a main part begins."""
-    if name in RAW:
-        m = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I).search(page, at)
-        return m.end() if m else len(page)
-    depth, start = 1, at
-    while at < len(page):
-        m = _TOKEN.match(page, at)
-        at, found = m.end(), (m[2] or "").lower()
-        if not found:
+def tokens(page: str) -> Iterable[tuple[str, str, bool]]:
+    """(kind, value, doubtful): kind "open" or "close" with the tag's name, or "text" with decoded text.
+
+    Everything within an element that is outside the text comes as one "open" of the name "outside". An element that holds a main part,
+    or that only its name puts outside and that has no end, is read like any other; its opening tag is doubtful.
+    """
+    found, ends, mains = _read(page)
+    at, in_article = 0, 0
+    while at < len(found):
+        token, here = found[at], at
+        at += 1
+        if len(token) == 1:
+            yield "text", token[0], False
             continue
-        if found in RAW and not m[1]:
-            at = _end_of(page, at, found)
-        elif name in ("p", "li") and (found in BLOCKS):  # these close by themselves
-            return m.end() if m[1] and found == name else m.start()
-        elif found == name:
-            depth += -1 if m[1] else 1 if not m[3].endswith("/") else 0
-            if not depth:
-                return at
-    m = re.compile(r"<(?:article|main|h1)\b", re.I).search(page, start)
-    return m.start() if m else len(page)
+        name, closing, attributes = token
+        outside = INSIDE if closing else _outside(name, attributes, in_article > 0)
+        if outside > DOUBTFUL:
+            after, ended = ends.get(here, (at, True))
+            if mains[after] == mains[here] + (name in MAIN_PARTS) and (ended or outside == ELEMENT):
+                at = after
+                yield "open", "outside", False
+                continue
+            outside = DOUBTFUL
+        if name in ("article", "main"):
+            in_article += -1 if closing else 1
+        yield "close" if closing else "open", name, outside == DOUBTFUL
 
 
 def count_labels(page: str) -> tuple[Counter, Counter]:
@@ -162,7 +253,7 @@ def extract(page: str, weights: dict[str, float]) -> tuple[str, float]:
     depth, run_depth = 0, 0
     unseen = weights[""]
     unseen_word = weights["word "]
-    for kind, value, _ in tokens(page):
+    for kind, value, doubtful in tokens(page):
         pieces.append((kind, value))
         if kind == "text":
             n = len(value.split())
@@ -171,6 +262,7 @@ def extract(page: str, weights: dict[str, float]) -> tuple[str, float]:
             if value in HOLDERS:
                 depth += 1 if kind == "open" else -1
             gain = -TAG_RANGE[0] if value == "outside" and depth >= run_depth else weights.get(value, unseen)
+            gain += weights["outside"] if doubtful else 0.0
             within = value if kind == "open" and value not in VOID | {"outside"} else "body"
         if run <= 0:
             run, run_from, run_depth = 0.0, len(pieces) - 1, depth

@@ -96,6 +96,42 @@ def test_page_without_marked_article(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "elementor-widget-text-editor", "with-comments", "article-header", "sidebar", "comments", "related"])
+def test_wrappers_named_like_side_parts(name):
+    weights = html_text.fit_weights([])
+    words = "some plain words of the main text that go on for a while here"
+    side = "<nav><a>Home</a></nav><div class=sidebar><p>Side words one two</p></div>"
+    for part in (f"<article><h1>Head line</h1><p>{words}.</p></article>", f"<main><h1>Head line</h1><p>{words}.</p></main>", f"<h1>Head line</h1><p>{words}.</p>"):
+        for attribute in ("class", "id"):
+            for end in ("</div>", ""):  # an unclosed one, too
+                page = f'<html><head><title>T</title></head><body>{side}<div {attribute}="{name}">{part}{end}</body></html>'
+                assert html_text.extract(page, weights)[0] == f"Head line\n\n{words}.", page
+    if "sidebar" != name and name not in ("comments", "related"):  # a doubtful name without a main part
+        page = f'<body>{side}<div class="{name}"><h2>Head line of it</h2></div><div class="{name}"><p>{words}.</p></div>'
+        assert html_text.extract(page, weights)[0] == f"Head line of it\n\n{words}."
+    page = f'<body><p>{words}.</p><div class="{name} ad-slot-1">Buy this</div><p>{words}!</p></body>'
+    assert html_text.extract(page, weights)[0] == f"{words}.\n\n{words}!"
+
+
+def test_wrappers_that_hold_the_page():
+    weights = html_text.fit_weights([])
+    words = "some plain words of the main text that go on for a while here"
+    body = f"<h1>Head line</h1><p>{words}.</p>"
+    want = f"Head line\n\n{words}."
+    for page in (
+        f"<body><form id=f action=x><nav><a>Home</a></nav>{body}</form></body>",
+        f"<head><title>T</title><meta name=a><body>{body}",  # the head has no end tag
+        f"<body><div><nav><a>Home</a></div>{body.replace('h1', 'h2')}</body>",  # an unclosed menu ends with its holder
+        f'<body><div class="sidebar"><p>x<div data-id="share" title="the hidden side">{body}</div></body>',
+        f'<body><div class="hidden md:block">{body}</div><div hidden><p>{words}</p></div></body>',
+        f"<body><ul><li class=ad>Buy<li>one</ul>{body}</body>",
+    ):
+        got = html_text.extract(page, weights)[0]
+        assert want in got and "Buy" not in got and "Home" not in got, page
+    deep = '<div class="sidebar">' * 20_000 + body
+    assert html_text.extract(deep, weights)[0] == want
+
+
 # --- secrets
 
 BASE = {"assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
