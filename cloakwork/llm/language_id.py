@@ -10,20 +10,21 @@ heard twice. One more class, `NONE`, stands for text in no known language.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import spread
 from .common import ascii_lower, map_lists, pick, register, table, written
 
 NONE = "none"
-#: The sample the text model is fitted on: languages, rows of each, and the longest text in characters.
-LANGUAGES = 50
+#: The sample the text model is fitted on: rows of each declared language, and how many characters of each text.
 ROWS_PER_LANGUAGE = 400
 SAMPLE_CHARS = 20_000
+#: Languages whose samples are on the driver at one time.
+LANGUAGES_AT_ONCE = 16
 
 GRAM_BITS = 15
 #: A trigram of no language: evenly likely over so many trigrams.
@@ -64,14 +65,15 @@ def grams(text: str) -> list[np.ndarray]:
 class TextModel:
     """Log probability of each trigram bucket in each language; the last class is NONE."""
 
-    def __init__(self, sample: list[tuple[str, str]]):
-        """`sample`: (language, text)."""
-        self.languages = sorted({lang for lang, _ in sample})
-        counts = np.zeros((len(self.languages), 1 << GRAM_BITS))
+    def __init__(self, sample: Iterable[tuple[str, str]]):
+        """`sample`: (language, text), read once."""
+        by_language: dict[str, np.ndarray] = {}
         for lang, text in sample:
-            row = counts[self.languages.index(lang)]
+            row = by_language.setdefault(lang, np.zeros(1 << GRAM_BITS))
             for g in grams(text):
                 row += np.bincount(g, minlength=1 << GRAM_BITS)
+        self.languages = sorted(by_language)
+        counts = np.array([by_language[lang] for lang in self.languages]).reshape(len(self.languages), 1 << GRAM_BITS)
         total = counts.sum(axis=1, keepdims=True)
         log = np.log((counts + 0.05) / (total + 0.05 * (1 << GRAM_BITS)))
         self.log = np.vstack([log, np.full((1, 1 << GRAM_BITS), -np.log(NONE_GRAMS))]).T.astype(np.float32).copy()
@@ -83,26 +85,35 @@ class TextModel:
     def evidence(self, text: str) -> tuple[int, list[float]]:
         """(trigrams, tempered log likelihood of each class)."""
         n, total = 0, np.zeros(self.log.shape[1])
+        step = min(1 << 16, max(1, (1 << 22) // len(total)))
         for g in grams(text):
             n += len(g)
-            for at in range(0, len(g), 1 << 16):
-                total += self.log[g[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
+            for at in range(0, len(g), step):
+                total += self.log[g[at : at + step]].sum(axis=0, dtype=np.float64)
         if not n:
             return 0, total.tolist()
         return n, (total / n * min(n, MOST_GRAMS) * SHARE).tolist()
 
 
-def labelled_sample(rows: DataFrame) -> list[tuple[str, str]]:
-    """At most ROWS_PER_LANGUAGE (language, text) of each of the LANGUAGES most declared, those with the smallest hash."""
-    known = rows.filter(F.col("declared").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0))
-    top = [r[0] for r in known.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()]
-    order = F.xxhash64("doc_id", F.length("text"))
-    out: list[tuple[str, str]] = []
-    for lang in top:
-        of = known.filter(F.col("declared") == lang)
-        cut = of.select(order.alias("h")).orderBy("h").limit(ROWS_PER_LANGUAGE).agg(F.max("h")).first()[0]
-        out += [(lang, r[0]) for r in of.filter(order <= F.lit(cut)).select("text").limit(ROWS_PER_LANGUAGE).collect()]
-    return out
+def labelled_sample(rows: DataFrame) -> Iterator[tuple[str, str]]:
+    """At most ROWS_PER_LANGUAGE (language, text) of each declared language: those with the smallest hash, long texts last.
+
+    Of each text the first SAMPLE_CHARS characters. Every language declared on a text that is not empty is there.
+    """
+    declared = F.col("declared").isNotNull() & (F.col("declared") != NONE) & (F.length("text") > 0)
+    place = ("long", "h", "t")  # rows of one place are the same
+    long, h = F.length("text") > SAMPLE_CHARS, F.xxhash64("doc_id", F.length("text"))
+    known = rows.filter(declared).select("declared", F.substring("text", 1, SAMPLE_CHARS).alias("text"), long.alias("long"), h.alias("h"), F.xxhash64("text").alias("t"))
+    nth = F.row_number().over(Window.partitionBy("declared").orderBy(*place))
+    # Spark cuts to the first of each language before it shuffles, both times
+    first = known.select("declared", *place).withColumn("nth", nth).filter(F.col("nth") <= ROWS_PER_LANGUAGE)
+    cuts = first.groupBy("declared").agg(F.max(F.struct(*place)).alias("cut"))
+    within = known.join(F.broadcast(cuts), "declared").filter(F.struct(*place) <= F.col("cut"))
+    sample = within.withColumn("nth", nth).filter(F.col("nth") <= ROWS_PER_LANGUAGE).select("declared", "text")
+    sample = written(sample, "language-sample")
+    languages = sorted(r[0] for r in sample.select("declared").distinct().collect())
+    for at in range(0, len(languages), LANGUAGES_AT_ONCE):
+        yield from map(tuple, sample.filter(F.col("declared").isin(languages[at : at + LANGUAGES_AT_ONCE])).collect())
 
 
 def _domain(host: Column) -> Column:
@@ -124,10 +135,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     """One row per document: doc_id, text_key (hash of the text), lang, probability, text_lang, text_probability, declared, kept.
 
     `lang` is the class of the highest posterior, equal ones in the order of names; `text_lang` is what the text alone
-    says. `kept` is false for NONE and for blank texts; a text too short for a trigram goes by the other evidence. Null
-    text counts as empty; a null or missing declared language, host or suffix is no evidence. Repeated rows come once each; other columns are left out.
+    says. `kept` is false for NONE and for blank texts; a text too short for a trigram goes by the other evidence. Where
+    no row declares a language, nothing is known of any, and every text that is not blank is kept, as is one whose declared
+    language has no model. Null text counts as empty; a null or missing declared language, host or suffix is no evidence. Repeated rows come once each; other columns are left out.
 
-    Texts are read twice at most (sample, scores) and never shuffled. The aggregates combine before the shuffle; what is
+    Texts are read three times (places in the sample, sample, scores), and only the sample is shuffled. Each declared
+    language is a class, so a row of the scores has two numbers per language. The aggregates combine before the shuffle; what is
     joined back is small rows, broadcast by Spark where the written table is small, else with AQE splitting large hosts.
     """
     columns = {"doc_id": id_col, "text": text_col, "declared": declared_col, "host": host_col}
@@ -158,47 +171,44 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     scored = scored.withColumn("domain", _domain(F.col("host"))).withColumn("suffix", _suffix(F.col("host")))
     all_sums = scored.agg(*[F.sum(F.col("p")[i]) for i in range(n_classes)], F.count("*")).first()
     n_rows = all_sums[n_classes] or 0
-    prior = F.lit([((all_sums[i] or 0.0) + 1.0 / n_classes) / (n_rows + 1.0) for i in range(n_classes)])
-    class_sums = F.lit([float(all_sums[i] or 0.0) for i in range(n_classes)])
+    class_sums = np.array([float(all_sums[i] or 0.0) for i in range(n_classes)])
+    prior = (class_sums + 1.0 / n_classes) / (n_rows + 1.0)
 
     for key in ("declared", "suffix", "domain", "host"):
         scored = scored.join(_sums(scored, key, n_classes), key, "left")
-    places = F.sequence(F.lit(0), F.lit(n_classes - 1))
-    nothing = F.array_repeat(F.lit(0.0), n_classes)
-
-    def likelihood(key: str) -> Column:
-        """log P(value | class) of the row's value, with the row itself taken out; none without a value."""
-        sums = F.coalesce(F.col(f"{key}_sums"), nothing)
-        share = lambda i: (F.greatest(sums[i] - F.col("p")[i], F.lit(0.0)) + VALUE_WEIGHT * prior[i]) / (class_sums[i] + VALUE_WEIGHT)
-        return F.when(F.col(key).isNull(), nothing).otherwise(F.transform(places, lambda i: F.log(share(i) + 1e-9)))
-
-    def smoothed(key: str, above: Column, weight: float) -> Column:
-        """The class shares of the row's value, the row taken out, with the level above counting for `weight` rows."""
-        rest = F.transform(places, lambda i: F.greatest(F.coalesce(F.col(f"{key}_sums"), nothing)[i] - F.when(F.col(key).isNull(), 0.0).otherwise(F.col("p")[i]), F.lit(0.0)))
-        size = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(places, lambda i: (rest[i] + weight * above[i]) / (size + weight))
-
-    fused = (
-        scored.withColumn("domain_prior", smoothed("domain", prior, DOMAIN_WEIGHT))
-        .withColumn("host_prior", smoothed("host", F.col("domain_prior"), HOST_WEIGHT))
-        .withColumn("by_declared", likelihood("declared"))
-        .withColumn("by_suffix", likelihood("suffix"))
-        .withColumn("total", F.transform(places, lambda i: F.col("log")[i] + F.col("by_declared")[i] + F.col("by_suffix")[i] + F.log(F.col("host_prior")[i] + 1e-12)))
-        .withColumn("top", F.array_max("total"))
-        .withColumn("weights", F.transform("total", lambda x: F.exp(x - F.col("top"))))
-    )
-    names = F.array(*[F.lit(c) for c in classes])
-    best = F.array_position("total", F.col("top")).cast("int")
-    lang = F.element_at(names, best)
-    return fused.select(
-        "doc_id",
-        "text_key",
-        lang.alias("lang"),
-        (F.lit(1.0) / F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)).alias("probability"),
-        F.when(F.col("grams") > 0, F.element_at(names, F.array_position("p", F.array_max("p")).cast("int"))).alias("text_lang"),
-        F.array_max("p").alias("text_probability"),
-        "declared",
-        ((lang != NONE) & (F.col("grams") >= 0)).alias("kept"),
+    known = set(model.languages) | {NONE, None}
+
+    def fuse() -> Callable:
+        def step(ids: list, keys: list, declared: list, grams: list, suffix: list, domain: list, host: list, logs: list, shares: list, *sums: list) -> list[list]:
+            wide = lambda lists: np.array([x if x is not None else [0.0] * n_classes for x in lists], dtype=float).reshape(len(ids), n_classes)
+            p, given = wide(shares), lambda values: np.array([v is not None for v in values], dtype=bool)[:, None]
+            by_declared, by_suffix, by_domain, by_host = map(wide, sums)
+
+            def likelihood(values: list, of: np.ndarray) -> np.ndarray:
+                """log P(value | class) of the row's value, with the row itself taken out; none without a value."""
+                share = (np.maximum(of - p, 0.0) + VALUE_WEIGHT * prior) / (class_sums + VALUE_WEIGHT)
+                return np.where(given(values), np.log(share + 1e-9), 0.0)
+
+            def smoothed(values: list, of: np.ndarray, above: np.ndarray, weight: float) -> np.ndarray:
+                """The class shares of the row's value, the row taken out, with the level above counting for `weight` rows."""
+                rest = np.maximum(of - np.where(given(values), p, 0.0), 0.0)
+                return (rest + weight * above) / (rest.sum(axis=1, keepdims=True) + weight)
+
+            host_prior = smoothed(host, by_host, smoothed(domain, by_domain, prior, DOMAIN_WEIGHT), HOST_WEIGHT)
+            total = wide(logs) + likelihood(declared, by_declared) + likelihood(suffix, by_suffix) + np.log(host_prior + 1e-12)
+            lang = [classes[i] for i in total.argmax(axis=1)]
+            probability = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            text_lang = [classes[i] if n > 0 else None for i, n in zip(p.argmax(axis=1), grams)]
+            kept = [n >= 0 and (x != NONE or len(known) == 2 or d not in known) for x, d, n in zip(lang, declared, grams)]
+            return [ids, keys, lang, probability.tolist(), text_lang, p.max(axis=1).tolist(), declared, kept]
+
+        return step
+
+    # in numpy: work in proportion to the classes, where nested array expressions would take a power of their number
+    return map_lists(
+        scored.select("doc_id", "text_key", "declared", "grams", "suffix", "domain", "host", "log", "p", "declared_sums", "suffix_sums", "domain_sums", "host_sums"),
+        fuse,
+        "doc_id long, text_key long, lang string, probability double, text_lang string, text_probability double, declared string, kept boolean",
     )
 
 

@@ -138,6 +138,37 @@ def test_evidence_is_fused(spark):
     assert language_id.identify(spark.createDataFrame([], DOC)).collect() == []
 
 
+def test_every_declared_language_is_known(spark):
+    """More languages than fifty, each in a script of its own, and one declared on a long text only."""
+    rng = random.Random(8)
+    rows, lone = [], 60
+    for k in range(lone + 1):
+        letters = [chr(0x1200 + 24 * k + j) for j in range(24)]
+        text = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(n))
+        rows += [(100 * k + i, text(60), f"l{k}") for i in range(4 if k < 50 else 2)] if k < lone else [(100 * k, text(6000), f"l{k}")]
+    rows += [(9000, "Ж" * 300, None), (9001, "щ" * 300, "none"), (9002, " ", "l1")]
+    df = spark.createDataFrame(rows, DOC + ", lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(df, declared_col="lang").collect()}
+    assert all(got[i]["lang"] == lang and got[i]["kept"] for i, _, lang in rows if i < 9000)
+    assert not any(got[i]["kept"] for i in (9000, 9001, 9002))
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    rows = [(i, f"text {i}", "en") for i in range(700)] + [(None, f"t {i:04d}", "de") for i in range(700)] + [(1, "same", "fr")] * 700 + [(2, "x" * 50_000, "it"), (3, "", "es"), (4, "a b", None)]
+    sample = list(language_id.labelled_sample(spark.createDataFrame(rows, DOC + ", declared string")))
+    counts = {lang: sum(x == lang for x, _ in sample) for lang in ("en", "de", "fr", "it")}
+    assert counts == {"en": 400, "de": 400, "fr": 400, "it": 1} and len(sample) == 1201
+    assert max(len(t) for _, t in sample) == language_id.SAMPLE_CHARS
+
+
+def test_nothing_declared_keeps_all(spark):
+    rows = [(1, "the cat and the dog", None), (2, "Ж" * 300, None), (3, " ", None), (4, "ok", "")]
+    df = spark.createDataFrame(rows, DOC + ", lang string")
+    for declared in ("lang", None):
+        got = {r["doc_id"]: r["kept"] for r in language_id.identify(df, declared_col=declared).collect()}
+        assert got == {1: True, 2: True, 3: False, 4: True}
+
+
 def test_priors_by_plain_code(spark):
     """The fusion of one row against the formula, from the scores that the text model gives."""
     rng = random.Random(2)
