@@ -128,7 +128,7 @@ SPECS: dict[str, tuple[tuple[str, ...], str]] = {
     "activity": (
         ("events", "users"),
         "select e.event_id as activity_id, u.org_id, u.name as actor, e.event_type as action, concat('item ', cast(e.event_id % 9 as varchar(8))) as target, "
-        "cast(e.ts as timestamp) as created_at from events e join users u on u.user_id = e.user_id where e.event_type <> 'view'",
+        "cast(e.ts as timestamp) as created_at from events e join users u on u.user_id = e.user_id",
     ),
     "messages": (
         ("conversations",),

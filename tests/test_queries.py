@@ -37,3 +37,12 @@ def test_only_the_approximate_search_has_no_sql():
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_activity_has_every_event_of_a_user(spark, sf_dir):
+    from cloakwork.plans import bindings
+
+    events, users = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("events", "customer"))
+    want = events.join(users, events.user_id == users.c_custkey).count()
+    activity = bindings.table(spark, sf_dir, "activity")
+    assert activity.count() == want and activity.filter("action = 'view'").count() > 0
