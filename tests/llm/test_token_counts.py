@@ -53,8 +53,8 @@ def test_long_and_short_words_merge_alike():
 
 
 def test_rows(spark):
-    docs = odd_docs(spark)
-    rows = [(r[0], r[1] or "") for r in docs.collect()]
+    docs, pairs = odd_docs(spark)
+    rows = [(i, t or "") for i, t in pairs]
     want = [(i, len(t.encode()), n, n > 5) for (i, t), n in zip(rows, library([t for _, t in rows]))]
     got = token_counts.count_tokens(docs, limit=5).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
