@@ -6,7 +6,7 @@ import importlib
 
 from .common import QUERIES
 
-MODULES = ("language_id", "jaccard_join", "toxicity", "exact_search", "simhash", "bpe", "secrets", "packing", "html_text", "url_filter", "token_counts", "spelling")
+MODULES = ("language_id", "jaccard_join", "toxicity", "exact_search", "simhash", "bpe", "secrets", "packing", "html_text", "url_filter", "token_counts", "spelling", "alignment")
 
 
 def load() -> dict:
