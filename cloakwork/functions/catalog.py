@@ -157,19 +157,56 @@ CONTEXT_HEADER = (
 
 BY_KEY: dict[str, Detector] = {d.key: d for d in DETECTORS}
 
-#: One detector per distinct (label, expression): aliases collapse onto the first key.
-BY_LABEL: dict[str, Detector] = {}
-for _d in DETECTORS:
-    BY_LABEL.setdefault(_d.label, _d)
+
+class Catalogue:
+    """Detectors by key, and the units they are run in: one per distinct (label, expression), so aliases run once."""
+
+    def __init__(self, detectors: tuple[Detector, ...]):
+        self.detectors = detectors
+        self.units: dict[str, Detector] = {}
+        self.unit_of: dict[str, str] = {}
+        known: dict[tuple, str] = {}
+        for d in detectors:
+            shape = (d.label, d.body, d.any_case)
+            if shape not in known:
+                # a label alone names its first expression; further ones are told apart by their key
+                known[shape] = d.label if d.label not in self.units else f"{d.label} {d.key}"
+                self.units[known[shape]] = d
+            self.unit_of[d.key] = known[shape]
+
+
+BUILT_IN = Catalogue(DETECTORS)
+
+#: One detector per label: the fixed catalogue has one expression for each.
+BY_LABEL: dict[str, Detector] = BUILT_IN.units
+
+_OWN = {(d.body, d.any_case): d for d in reversed(DETECTORS)}
+
+
+def built_in(d: Detector) -> Detector | None:
+    """The detector of the fixed catalogue with the same expression, under whatever key and label."""
+    return _OWN.get((d.body, d.any_case))
 
 
 #: First character of the shapes that open with a rare one. Looking for it first spares the boundary test elsewhere.
 _FIRST = {"credit_card": r"\d", "ip_address": r"\d", "iban": "[A-Z]", "passport": "[A-Z]", "fr_insee": "[12]"}
 
+# A sign: every match of the fixed catalogue has one in each of its parts between white space, but for two letters in
+# front or one behind, after a single white space, and for blanks alone between the digits of a card.
+_FREE = r"[^\d@_\-A]"
+
+#: What no match of the fixed catalogue reaches into: a stretch without signs that says something, from two characters
+#: after a white space on, up to three characters before one, so that letters and word boundaries at both ends stay.
+GAPS = rf"(?U)(?:^|(?<=\s{_FREE}{{2}}))\s*+[^\s\d@_\-A]{_FREE}*(?={_FREE}{{3}}\s|\z)"
+
+#: Put for each gap: no detector matches across it, and it is no word character.
+WINDOW_MARK = "\x01"
+
 
 def java_regex(d: Detector) -> str:
     """The detector for Spark's regex functions (Unicode classes on)."""
-    first = _FIRST.get(d.key) or (r"\d" if d.body.startswith(r"\b\d") else "")
+    own = built_in(d)
+    first = own and (_FIRST.get(own.key) or (r"\d" if d.body.startswith(r"\b\d") else ""))
     return ("(?iU)" if d.any_case else "(?U)") + (f"(?={first})" if first else "") + d.body
 
 

@@ -13,13 +13,13 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .catalog import BLOCK, BY_KEY, BY_LABEL, FLAG, MIN_ENTITY_SCORE, REDACT, STREAM_TAIL, Detector, java_regex
+from .catalog import BLOCK, BUILT_IN, BY_KEY, FLAG, GAPS, MIN_ENTITY_SCORE, REDACT, STREAM_TAIL, WINDOW_MARK, Catalogue, Detector, built_in, java_regex
 
 SPAN = "struct<label:string,start:int,end:int>"
 #: Field order is the sort order: leftmost, then widest, then policy order.
 RAW = "struct<start:int,neg_end:int,ord:int,label:string,rank:int>"
 FINDING = "struct<label:string,start:int,end:int,rank:int>"
-#: What a policy set says about each label.
+#: What a policy set says about each unit of a catalogue.
 PLAN = "map<string,struct<rank:int,ord:int>>"
 
 
@@ -51,25 +51,29 @@ def has_digit(text: Column) -> Column:
 
 def guard(text: Column, d: Detector, digit: Column | None = None) -> Column:
     """A cheap test every matching text passes; it spares most texts the full expression."""
-    if d.label == "EMAIL":
+    own = built_in(d)
+    if own is None:
+        return F.lit(True)
+    if own.label == "EMAIL":
         return text.contains("@")
-    if d.label == "API_KEY":
+    if own.label == "API_KEY":
         return reduce(or_, [text.contains(x) for x in ("sk-", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox")])
     digit = has_digit(text) if digit is None else digit
-    if d.label == "INTL_PHONE":
+    if own.label == "INTL_PHONE":
         return text.contains("+") & digit
-    if d.label in ("SSN", "BR_CPF", "BR_CNPJ"):
+    if own.label in ("SSN", "BR_CPF", "BR_CNPJ"):
         return text.contains("-") & digit
     return digit
 
 
-def _hit(text: Column, d: Detector, wanted: Column | None, digit: Column | None = None) -> Column:
-    """struct<label, gaps, hits> where the detector matches, else null: the matches and the text between them."""
+def _hit(text: Column, d: Detector, unit: str, wanted: Column | None, digit: Column | None = None) -> Column:
+    """struct<unit, label, gaps, hits> where the detector matches, else null: the matches and the text between them."""
     regex = java_regex(d)
     matching = guard(text, d, digit) & text.rlike(regex)
     return F.when(
         matching if wanted is None else wanted & matching,
         F.struct(
+            F.lit(unit).alias("unit"),
             F.lit(d.label).alias("label"),
             F.split(text, regex, -1).alias("gaps"),
             F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hits"),
@@ -77,6 +81,19 @@ def _hit(text: Column, d: Detector, wanted: Column | None, digit: Column | None
     )
 
 
+def windows(text: Column) -> Column:
+    """The text with a mark for every stretch that no fixed detector reaches into, usually short: the whole text is walked
+    through once, and the detectors look at what is left. A text that holds the mark itself stays as it is."""
+    return F.when(text.contains(WINDOW_MARK), text).otherwise(F.regexp_replace(text, GAPS, WINDOW_MARK))
+
+
+def window_shifts(text: Column) -> Column:
+    """array<int>: how many characters stand in `text`, and not in its `windows`, before each window."""
+    gaps = F.regexp_extract_all(text, F.lit(GAPS), F.lit(0))
+    later = walk(gaps, F.lit(0), "int", lambda at, gap: (at + F.length(gap) - 1, None, at + F.length(gap) - 1))
+    return F.when(text.contains(WINDOW_MARK), F.array(F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), later))
+
+
 #: Items that a fold appends one by one before it hands them on as a block: appending copies what is there already.
 BLOCK_ITEMS = 256
 
@@ -87,32 +104,54 @@ def in_blocks(items: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK_ITEMS + 1, F.lit(BLOCK_ITEMS)))
 
 
-def _places(hit: Column) -> Column:
-    """array<struct<start,end>> of one `_hit`, from the running lengths of gaps and matches."""
-    lengths = F.zip_with(
-        hit["gaps"], hit["hits"], lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"))
-    )
-    place = "struct<start:int,end:int>"
-    zero = F.expr(f"cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:array<array<{place}>>>)")
-    none = F.expr(f"cast(array() as array<{place}>)")
+def walk(items: Column, carry: Column, element: str, step: Callable[[Column, Column], tuple[Column, Column | None, Column]]) -> Column:
+    """array<element>: what a fold over `items` gives, which carries a value along. `step` takes what is carried and an
+    item, and says what to carry on, whether to give an element (None: always) and which. Takes as long as there are items."""
+    none, nested = F.expr(f"cast(array() as array<{element}>)"), F.expr(f"cast(array() as array<array<{element}>>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["hit"]
-        grown = F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end")))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), grown.alias("out")))
+    def state(carried: Column, out: Column) -> Column:
+        return F.struct(carried.alias("carry"), out.alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        carried, wanted, item = step(acc["carry"], x)
+        grown = F.array_append(acc["out"], item.cast(element))
+        return state(carried, grown if wanted is None else F.when(wanted, grown).otherwise(acc["out"]))
 
     def block(acc: Column, some: Column) -> Column:
-        start = F.struct(acc["at"].alias("at"), none.alias("out"))
-        return F.aggregate(some, start, step, lambda done: F.struct(done["at"].alias("at"), F.array_append(acc["out"], done["out"]).alias("out")))
+        return F.aggregate(some, state(acc["carry"], none), one, lambda done: state(done["carry"], F.array_append(acc["out"], done["out"])))
+
+    def walked(all_: Column) -> Column:
+        few = F.aggregate(all_, state(carry, none), one, lambda acc: acc["out"])
+        many = F.aggregate(in_blocks(all_), state(carry, nested), block, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(all_) <= BLOCK_ITEMS, few).otherwise(many)
+
+    return let(items, walked)
+
+
+def _places(hit: Column, shifts: Column | None = None) -> Column:
+    """array<struct<start,end>> of one `_hit`, from the running lengths of gaps and matches.
+
+    With `shifts` the hit is one in `windows`, and places are those in the whole text: every mark leads on to the next
+    window.
+    """
+    marks = lambda g: F.length(g) - F.length(F.replace(g, F.lit(WINDOW_MARK), F.lit("")))
+    lengths = F.zip_with(
+        hit["gaps"], hit["hits"], lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"), (F.lit(0) if shifts is None else marks(g)).alias("marks"))
+    )
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        start, window = at["at"] + x["gap"], at["window"] + x["marks"]
+        end = start + x["hit"]
+        shift = F.lit(0) if shifts is None else F.coalesce(F.get(shifts, window), F.lit(0))
+        place = F.struct((start + shift).alias("start"), (end + shift).alias("end"))
+        return F.struct(end.alias("at"), window.alias("window")), x["hit"].isNotNull(), place
 
-    return let(lengths, lambda all_: F.aggregate(in_blocks(all_), zero, block, lambda acc: F.flatten(acc["out"])))
+    return walk(lengths, F.expr("named_struct('at', 0, 'window', 0)"), "struct<start:int,end:int>", step)
 
 
 def detect(text: Column, key: str) -> Column:
     """array<span> of one detector."""
     found = let(
-        _hit(text, BY_KEY[key], None),
+        _hit(text, BY_KEY[key], key, None),
         lambda hit: F.transform(
             _places(hit),
             lambda m: F.struct(hit["label"].alias("label"), m["start"].alias("start"), m["end"].alias("end")),
@@ -121,44 +160,62 @@ def detect(text: Column, key: str) -> Column:
     return F.coalesce(found, F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
-def raw_findings(text: Column, plan: Column) -> Column:
-    """array<RAW>: every match of every label in `plan`, once per label.
+def _placed(text: Column, catalogue: Catalogue, wanted: Callable[[str], Column]) -> Column:
+    """array<struct<unit, label, at>> of the units that are wanted and match. Those of the fixed catalogue look at the
+    windows of the text, others, which may match anything, at the whole text."""
+    fixed = {u: d for u, d in catalogue.units.items() if built_in(d)}
 
-    A label asked for by several policies carries its strongest rank and its earliest position; merging repeated
+    def hits(of: Column, units: dict[str, Detector], digit: Column | None) -> Column:
+        return F.array_compact(F.array(*[_hit(of, d, u, wanted(u), digit) for u, d in units.items()]))
+
+    def placed(found: Column, shifts: Column | None) -> Column:
+        return F.transform(found, lambda h: F.struct(h["unit"].alias("unit"), h["label"].alias("label"), _places(h, shifts).alias("at")))
+
+    none = F.expr("cast(array() as array<struct<unit:string,label:string,at:array<struct<start:int,end:int>>>>)")
+    parts = []
+    if fixed:
+        in_windows = let(windows(text), lambda w: let(has_digit(w), lambda digit: hits(w, fixed, digit)))
+        # where the windows stand is asked only if something is found
+        parts.append(let(in_windows, lambda h: F.when(F.size(h) > 0, let(window_shifts(text), lambda s: placed(h, s))).otherwise(none)))
+    if others := {u: d for u, d in catalogue.units.items() if u not in fixed}:
+        parts.append(placed(hits(text, others, None), None))
+    return F.concat(none, *parts)
+
+
+def raw_findings(text: Column, plan: Column, catalogue: Catalogue = BUILT_IN) -> Column:
+    """array<RAW>: every match of every unit in `plan`, once per unit.
+
+    A unit asked for by several policies carries its strongest rank and its earliest position; merging repeated
     spans would come to the same, so the duplicates are never built.
     """
 
-    def spans_of(hit: Column) -> Column:
+    def spans_of(found: Column) -> Column:
         return let(
-            F.element_at(plan, hit["label"]),
+            F.element_at(plan, found["unit"]),
             lambda rule: F.transform(
-                _places(hit),
+                found["at"],
                 lambda m: F.struct(
                     m["start"].alias("start"),
                     (-m["end"]).alias("neg_end"),
                     rule["ord"].alias("ord"),
-                    hit["label"].alias("label"),
+                    found["label"].alias("label"),
                     rule["rank"].alias("rank"),
                 ),
             ),
         )
 
-    def found(digit: Column, asked: Column) -> Column:
-        hits = F.array(*[_hit(text, d, F.array_contains(asked, d.label), digit) for d in BY_LABEL.values()])
-        return F.flatten(F.transform(F.array_compact(hits), spans_of))
-
     # an organisation without a plan has no keys, so no expression runs on its texts
-    asked = F.coalesce(F.map_keys(plan), F.expr("cast(array() as array<string>)"))
-    return let(has_digit(text), lambda digit: let(asked, lambda keys: found(digit, keys)))
+    asked = F.map_keys(plan)
+    found = let(asked, lambda keys: F.flatten(F.transform(_placed(text, catalogue, lambda u: F.array_contains(keys, u)), spans_of)))
+    return F.when(F.size(plan) > 0, found).otherwise(F.expr(f"cast(array() as array<{RAW}>)"))
 
 
-def collect_findings(text: Column, entries: Column) -> Column:
-    """array<FINDING>: for each (label, rank) entry of the policy list all matches, duplicates kept."""
-    wanted = lambda d: F.exists(entries, lambda e: e["label"] == d.label)
-    hits = F.array_compact(F.array(*[_hit(text, d, wanted(d)) for d in BY_LABEL.values()]))
+def collect_findings(text: Column, entries: Column, catalogue: Catalogue = BUILT_IN) -> Column:
+    """array<FINDING>: for each (unit, label, rank) entry of the policy list all matches, duplicates kept."""
+    asked = F.transform(entries, lambda e: e["unit"])
 
     def of_entry(found: Column, e: Column) -> Column:
-        same = F.filter(found, lambda h: h["label"] == e["label"])
+        same = F.filter(found, lambda h: h["unit"] == e["unit"])
         return F.flatten(
             F.transform(
                 same,
@@ -171,7 +228,7 @@ def collect_findings(text: Column, entries: Column) -> Column:
             )
         )
 
-    placed = F.transform(hits, lambda h: F.struct(h["label"].alias("label"), _places(h).alias("at")))
+    placed = let(asked, lambda units: _placed(text, catalogue, lambda u: F.array_contains(units, u)))
     return let(placed, lambda found: F.flatten(F.transform(entries, lambda e: of_entry(found, e))))
 
 
@@ -273,28 +330,63 @@ def accept_entities(raw: Column, entities: Column, min_score: float = MIN_ENTITY
     """
     as_raw_entity = F.transform(
         F.filter(entities, lambda e: e["score"] >= min_score),
-        lambda e: F.struct(
+        lambda e, i: F.struct(
             e["start"].cast("int").alias("start"),
             (-e["end"]).cast("int").alias("neg_end"),
-            F.lit(2**31 - 1).alias("ord"),
+            i.cast("int").alias("ord"),
             e["label"].alias("label"),
             F.lit(REDACT).alias("rank"),
         ),
     )
 
-    def clashes(spans: Column, e: Column) -> Column:
-        return F.exists(spans, lambda s: overlaps(e["start"], -e["neg_end"], s["start"], -s["neg_end"]))
+    none = F.expr(f"cast(array() as array<{RAW}>)")
+    accepted = let(as_raw_entity, lambda found: _first_come(_clear_of(found, coalesce_spans(raw))))
+    return F.when(F.size(as_raw_entity) > 0, accepted).otherwise(none)
+
+
+def _clear_of(spans: Column, merged: Column) -> Column:
+    """The RAW spans that overlap none of the disjoint, sorted findings.
 
-    free = F.filter(as_raw_entity, lambda e: ~clashes(raw, e))
-    accepted = F.aggregate(
-        free,
-        F.expr(f"cast(array() as array<{RAW}>)"),
-        lambda acc, e: F.when(clashes(acc, e), acc).otherwise(F.array_append(acc, e)),
+    Ends of disjoint spans rise with their starts, so of those that start before a span ends the last reaches furthest:
+    both sides are walked together, spans in the order of their ends.
+    """
+    places = F.concat(
+        F.transform(merged, lambda m: F.struct(m["start"].alias("at"), F.lit(1).alias("kind"), m["end"].alias("edge"), F.expr(f"cast(null as {RAW})").alias("span"))),
+        F.transform(spans, lambda s: F.struct((-s["neg_end"]).alias("at"), F.lit(0).alias("kind"), s["start"].alias("edge"), s.alias("span"))),
     )
-    return F.coalesce(accepted, F.expr(f"cast(array() as array<{RAW}>)"))
+
+    def step(reach: Column, x: Column) -> tuple[Column, Column, Column]:
+        return F.when(x["kind"] == 1, x["edge"]).otherwise(reach), (x["kind"] == 0) & (x["edge"] >= reach), x["span"]
+
+    return walk(F.array_sort(places), F.lit(-(2**31)), RAW, step)
+
+
+def _first_come(spans: Column) -> Column:
+    """The RAW spans that overlap none accepted before them, `ord` saying who came when. Spans are compared within groups
+    that hang together by overlaps only."""
+    group = f"struct<end:int,held:array<{RAW}>>"
+    end = lambda s: -s["neg_end"]
+
+    def step(cur: Column, x: Column) -> tuple[Column, Column, Column]:
+        joins = x["start"] < cur["end"]
+        wider = F.struct(F.greatest(cur["end"], end(x)).alias("end"), F.array_append(cur["held"], x).alias("held"))
+        fresh = F.struct(end(x).alias("end"), F.array(x).alias("held"))
+        return F.when(joins, wider).otherwise(fresh).cast(group), ~joins, cur["held"]
+
+    def accepted(some: Column) -> Column:
+        in_turn = F.array_sort(some, lambda a, b: a["ord"] - b["ord"])
+        clash = lambda acc, e: F.exists(acc, lambda s: overlaps(e["start"], end(e), s["start"], end(s)))
+        return F.aggregate(in_turn, F.expr(f"cast(array() as array<{RAW}>)"), lambda acc, e: F.when(clash(acc, e), acc).otherwise(F.array_append(acc, e)))
+
+    # a last span that nothing joins closes the last group
+    closing = F.expr(f"cast(named_struct('start', {2**31 - 1}, 'neg_end', 0, 'ord', 0, 'label', '', 'rank', 0) as {RAW})")
+    start = F.expr(f"cast(named_struct('end', {-(2**31)}, 'held', array()) as {group})")
+    groups = walk(F.array_append(F.array_sort(spans), closing), start, f"array<{RAW}>", step)
+    late = F.flatten(F.transform(groups, accepted))
+    return F.transform(late, lambda s: F.struct(s["start"].alias("start"), s["neg_end"].alias("neg_end"), F.lit(2**31 - 1).alias("ord"), s["label"].alias("label"), s["rank"].alias("rank")))
 
 
-def scan_text(text: Column, plan: Column, entities: Column | None = None) -> Column:
+def scan_text(text: Column, plan: Column, entities: Column | None = None, catalogue: Catalogue = BUILT_IN) -> Column:
     """struct<text, findings, n_findings, blocked> of one text under one plan.
 
     With `entities`, model spans are added unless the text is blocked already; null means the model gave nothing.
@@ -319,7 +411,7 @@ def scan_text(text: Column, plan: Column, entities: Column | None = None) -> Col
             lambda all_raw: result(all_raw, blocked(all_raw)),
         )
 
-    return let(raw_findings(text, plan), with_entities)
+    return let(raw_findings(text, plan, catalogue), with_entities)
 
 
 def release_cut(pending: Column, findings: Column, flush: Column, tail: int = STREAM_TAIL) -> Column:

@@ -8,15 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalog import DETECTORS, REDACT, STARTER_POLICIES, Starter
+from ..functions.catalog import BUILT_IN, REDACT, STARTER_POLICIES, Catalogue, Starter
 from ..functions.spans import PLAN, action_name, rank
 from ..plans.sizing import broadcast_if_small
 
 
-def label_of(key: Column) -> Column:
-    """Detector key → label; null for a key the catalogue does not know."""
-    pairs = [F.lit(x) for d in DETECTORS for x in (d.key, d.label)]
-    return F.try_element_at(F.create_map(*pairs), key)
+def unit_of(key: Column, catalogue: Catalogue = BUILT_IN) -> Column:
+    """Detector key → (unit, label); null for a key the catalogue does not know."""
+    known = [
+        x
+        for key_, unit in catalogue.unit_of.items()
+        for x in (F.lit(key_), F.struct(F.lit(unit).alias("unit"), F.lit(catalogue.units[unit].label).alias("label")))
+    ]
+    none = F.expr("cast(map() as map<string,struct<unit:string,label:string>>)")
+    return F.try_element_at(F.create_map(*known) if known else none, key)
 
 
 def action_col(action: Column) -> Column:
@@ -24,38 +29,40 @@ def action_col(action: Column) -> Column:
     return action_name(rank(action))
 
 
-def policy_detectors(policies: DataFrame) -> DataFrame:
+def policy_detectors(policies: DataFrame, catalogue: Catalogue = BUILT_IN) -> DataFrame:
     """One row per enabled policy and known detector key; unknown keys drop out."""
     return (
         policies.filter("enabled")
         .select("org_id", "policy_id", "created_at", "action", F.posexplode("patterns").alias("pos", "pattern"))
-        .withColumn("label", label_of(F.col("pattern")))
-        .filter(F.col("label").isNotNull())
+        .withColumn("known", unit_of(F.col("pattern"), catalogue))
+        .filter(F.col("known").isNotNull())
+        .select("*", "known.unit", "known.label")
+        .drop("known")
         .withColumn("rank", rank(F.col("action")))
     )
 
 
-def org_plans(policies: DataFrame, force_redact: bool = False) -> DataFrame:
-    """(org_id, plan): per organisation the strongest rank and first position of every label asked for.
+def org_plans(policies: DataFrame, force_redact: bool = False, catalogue: Catalogue = BUILT_IN) -> DataFrame:
+    """(org_id, plan): per organisation the strongest rank and first position of every unit asked for.
 
-    The first aggregate leaves at most one row per organisation and label, so however many policies an organisation
+    The first aggregate leaves at most one row per organisation and unit, so however many policies an organisation
     has, what is collected is bounded by the catalogue.
     """
-    per_label = (
-        policy_detectors(policies)
-        .groupBy("org_id", "label")
+    per_unit = (
+        policy_detectors(policies, catalogue)
+        .groupBy("org_id", "unit")
         .agg(
             F.min(F.struct("created_at", "policy_id", "pos")).alias("first"),
             F.max(F.lit(REDACT) if force_redact else F.col("rank")).alias("rank"),
         )
     )
-    ordered = F.array_sort(F.collect_list(F.struct("first", "label", "rank")))
-    return per_label.groupBy("org_id").agg(
+    ordered = F.array_sort(F.collect_list(F.struct("first", "unit", "rank")))
+    return per_unit.groupBy("org_id").agg(
         F.map_from_entries(
             F.transform(
                 ordered,
                 lambda x, i: F.struct(
-                    x["label"].alias("key"),
+                    x["unit"].alias("key"),
                     F.struct(x["rank"].alias("rank"), i.cast("int").alias("ord")).alias("value"),
                 ),
             )
@@ -65,19 +72,21 @@ def org_plans(policies: DataFrame, force_redact: bool = False) -> DataFrame:
     )
 
 
-def policy_entries(policies: DataFrame) -> DataFrame:
-    """(org_id, entries): the policy list itself as ordered (label, rank), duplicates kept."""
+def policy_entries(policies: DataFrame, catalogue: Catalogue = BUILT_IN) -> DataFrame:
+    """(org_id, entries): the policy list itself as ordered (unit, label, rank), duplicates kept."""
     return (
-        policy_detectors(policies)
+        policy_detectors(policies, catalogue)
         .groupBy("org_id")
-        .agg(F.array_sort(F.collect_list(F.struct("created_at", "policy_id", "pos", "label", "rank"))).alias("e"))
-        .select("org_id", F.transform("e", lambda x: F.struct(x["label"].alias("label"), x["rank"].alias("rank"))).alias("entries"))
+        .agg(F.array_sort(F.collect_list(F.struct("created_at", "policy_id", "pos", "unit", "label", "rank"))).alias("e"))
+        .select("org_id", F.transform("e", lambda x: F.struct(x["unit"].alias("unit"), x["label"].alias("label"), x["rank"].alias("rank"))).alias("entries"))
     )
 
 
-def with_plan(df: DataFrame, policies: DataFrame, org_col: str = "org_id", force_redact: bool = False) -> DataFrame:
+def with_plan(
+    df: DataFrame, policies: DataFrame, org_col: str = "org_id", force_redact: bool = False, catalogue: Catalogue = BUILT_IN
+) -> DataFrame:
     """`df` with its organisation's plan; null where nothing is enabled."""
-    plans = org_plans(policies, force_redact).withColumnRenamed("org_id", org_col)
+    plans = org_plans(policies, force_redact, catalogue).withColumnRenamed("org_id", org_col)
     return df.join(broadcast_if_small(plans), org_col, "left")
 
 

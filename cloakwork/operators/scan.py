@@ -6,23 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.catalog import BUILT_IN, Catalogue
 from ..functions.spans import scan_text
 from .policies import with_plan
 
 
-def scan(df: DataFrame, text_col: str, org_col: str, policies: DataFrame) -> DataFrame:
-    """Adds findings, n_findings and blocked, and replaces the text by its redacted form."""
-    return scan_deep(df, text_col, org_col, policies)
+def scan(df: DataFrame, text_col: str, org_col: str, policies: DataFrame, catalogue: Catalogue = BUILT_IN) -> DataFrame:
+    """Adds findings, n_findings and blocked, and replaces the text by its redacted form. `catalogue` may be one that
+    users bring (`sources.catalogs.user_catalogue`)."""
+    return scan_deep(df, text_col, org_col, policies, catalogue=catalogue)
 
 
 def scan_deep(
-    df: DataFrame, text_col: str, org_col: str, policies: DataFrame, entities: str | None = None, deep_col: str | None = None
+    df: DataFrame,
+    text_col: str,
+    org_col: str,
+    policies: DataFrame,
+    entities: str | None = None,
+    deep_col: str | None = None,
+    catalogue: Catalogue = BUILT_IN,
 ) -> DataFrame:
     """`scan` plus model entities from the array column `entities` where `deep_col` (default: always) allows it."""
     ents = None
     if entities is not None:
         ents = F.when(F.col(deep_col), F.col(entities)) if deep_col else F.col(entities)
-    scanned = with_plan(df, policies, org_col).withColumn("_scan", scan_text(F.col(text_col), F.col("plan"), ents))
+    planned = with_plan(df, policies, org_col, catalogue=catalogue)
+    scanned = planned.withColumn("_scan", scan_text(F.col(text_col), F.col("plan"), ents, catalogue))
     keep = [c for c in df.columns if c != text_col]
     return scanned.select(
         *keep,

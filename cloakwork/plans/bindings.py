@@ -160,6 +160,32 @@ SPECS: dict[str, tuple[tuple[str, ...], str]] = {
         ("documents",),
         "select doc_id, doc_id % 25 as org_id, concat(text, ' ref ', " + _PLANT_REGION + ", ' end') as text from documents",
     ),
+    # detectors that users bring: several expressions under one label, one of the fixed catalogue under another label
+    "user_detectors": (
+        ("nation", "region"),
+        "select cast(n_nationkey as bigint) as position, concat('staff_', cast(n_nationkey as varchar(20))) as key, 'STAFF' as label, "
+        "concat('jane[0-9]*', cast(n_nationkey as varchar(20)), '@acme[.]co') as pattern, false as any_case from nation union all "
+        "select cast(100 + r_regionkey as bigint), concat('subnet_', cast(r_regionkey as varchar(20))), 'SUBNET', "
+        "concat(chr(92), 'b10[.]0[.]', cast(r_regionkey as varchar(20)), '[0-9]*[.]7', chr(92), 'b'), false from region union all "
+        "select cast(200 + r_regionkey as bigint), concat('ref_', cast(r_regionkey as varchar(20))), 'REFERENCE', "
+        "concat('REF (?:nothing|[a-z]+', cast(r_regionkey as varchar(20)), '|[0-9]{3})'), true from region union all "
+        "select 300, 'national', 'NATIONAL_ID', replace('@b@d{3}-@d{2}-@d{4}@b', '@', chr(92)), false from region where r_regionkey = 0",
+    ),
+    "user_policies": (
+        ("orgs",),
+        " union all ".join(
+            f"select org_id * 10 + {i} as policy_id, org_id, '{name}' as name, {on} as enabled, split(concat({pats}), ',') as patterns, '{act}' as action, "
+            f"false as deep_scan, 'cloud' as route, false as rag_enabled, cast('2024-01-{20 - i:02d} 08:00:00' as timestamp) as created_at from orgs where {where}"
+            for i, (name, on, pats, act, where) in enumerate(
+                [
+                    ("Staff", "true", "'staff_', cast(org_id as varchar(20)), ',staff_', cast(org_id % 10 as varchar(20)), ',national'", "redact", "org_id % 5 <> 4"),
+                    ("References", "true", "'ref_', cast(org_id % 5 as varchar(20)), ',unknown,subnet_1'", "flag", "org_id % 2 = 0"),
+                    ("Networks", "true", "'subnet_0,subnet_1,subnet_2,national'", "block", "org_id % 7 = 3"),
+                    ("Off", "false", "'national,subnet_3'", "block", "org_id % 3 = 0"),
+                ]
+            )
+        ),
+    ),
     "rag_chunks": (
         ("embeddings",),
         "select vec_id as chunk_id, cast(label as bigint) as org_id, vec_id % 200 as document_id, vec_id % 7 as chunk_index, "

@@ -69,11 +69,33 @@ def redact_ctes(src: str, key: str, text: str, merged: str = "merged", name: str
 
 def scan_ctes(src: str, key: str, text: str, policies: str = "policies", force: bool = False) -> str:
     """CTEs up to `redacted` and `scanned` (key, text, n_findings, blocked, rendered)."""
+    raw = f"raw as (select s.*, p.rank, p.ord from spans s join {src} using ({key}) join plan p using (org_id, label))"
+    return ", ".join([plan_ctes(policies, force), span_ctes(src, key, text), raw, scanned_ctes(src, key, text)])
+
+
+def user_ctes(src: str, key: str, text: str, policies: str, detectors: str) -> str:
+    """As `scan_ctes`, with detectors read from a relation: each policy entry runs its expression on the texts of its organisation."""
+    asked = (
+        f"asked as (select org_id, d.label, d.pattern, d.any_case, {RANK.format('action')} as rank, "
+        "row_number() over (partition by org_id order by created_at, policy_id, pos) as ord from ("
+        "select org_id, created_at, policy_id, action, unnest(patterns) as key, generate_subscripts(patterns, 1) as pos "
+        f"from {policies} where enabled) join {detectors} d using (key)), "
+        "rules as (select org_id, label, case when any_case then '(?i)' else '' end || pattern as re, max(rank) as rank, min(ord) as ord from asked group by all)"
+    )
+    raw = (
+        f"raw as (select {key}, label, rank, ord, cast(stop - length(hit) as bigint) as start, cast(stop as bigint) as end_ from ("
+        f"select {key}, label, rank, ord, hit, sum(length(gap) + length(hit)) over (partition by {key}, label, re order by i) as stop from ("
+        f"select {key}, label, re, rank, ord, unnest(hits) as hit, unnest(gaps[1:len(hits)]) as gap, generate_subscripts(hits, 1) as i from ("
+        f"select {key}, label, re, rank, ord, regexp_extract_all({text}, re) as hits, regexp_split_to_array({text}, re) as gaps "
+        f"from {src} join rules using (org_id) where regexp_matches({text}, re)))))"
+    )
+    return ", ".join([asked, raw, scanned_ctes(src, key, text)])
+
+
+def scanned_ctes(src: str, key: str, text: str) -> str:
+    """CTEs from `raw` spans to `scanned`."""
     return ", ".join(
         [
-            plan_ctes(policies, force),
-            span_ctes(src, key, text),
-            f"raw as (select s.*, p.rank, p.ord from spans s join {src} using ({key}) join plan p using (org_id, label))",
             merge_ctes(key),
             redact_ctes(src, key, text),
             f"blocks as (select {key}, bool_or(rank = 3) as blocked from raw group by {key}), "

@@ -8,7 +8,8 @@ from ..functions import spans as S
 from ..functions.catalog import DETECTORS
 from ..operators import policies as P
 from ..operators import scan as X
-from .check_sql import detect_sql, merge_ctes, plan_ctes, redact_ctes, scan_ctes, span_ctes
+from ..sources.catalogs import detector_rows, user_catalogue
+from .check_sql import detect_sql, merge_ctes, plan_ctes, redact_ctes, scan_ctes, span_ctes, user_ctes
 from .registry import Inputs, register, render
 from .session import spread
 
@@ -153,6 +154,23 @@ def scan_regional(t: Inputs):
     return out.select("doc_id", "text", "n_findings", "blocked", render(F.col("findings")).alias("findings"))
 
 
+# Detectors read from a table; the second form reads the fixed catalogue as a table and must say what `scan` says.
+@register(
+    "scan_user_detectors",
+    f"with {user_ctes('seeded_docs', 'doc_id', 'text', 'user_policies', 'user_detectors')} select * from scanned",
+    "seeded_docs user_policies user_detectors",
+)
+def scan_user_detectors(t: Inputs):
+    out = X.scan(spread(t("seeded_docs")), "text", "org_id", t("user_policies"), user_catalogue(t("user_detectors")))
+    return out.select("doc_id", "text", "n_findings", "blocked", render(F.col("findings")).alias("findings"))
+
+
+@register("scan_catalogue_as_table", _SCAN + "select * from scanned", _READS)
+def scan_catalogue_as_table(t: Inputs):
+    out = X.scan(spread(t("seeded_docs")), "text", "org_id", t("policies"), user_catalogue(detector_rows(t.spark)))
+    return out.select("doc_id", "text", "n_findings", "blocked", render(F.col("findings")).alias("findings"))
+
+
 @register("count_findings", _SCAN + "select doc_id, n_findings from scanned", _READS)
 def count_findings(t: Inputs):
     merged = _raw(t).withColumn("f", S.coalesce_spans(F.col("raw")))

@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites of column expressions are not kept: noting them takes longer than building the expressions
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions import spans as S
 from cloakwork.functions.catalog import BY_KEY, BY_LABEL, DETECTORS, PACKS, java_regex
+from cloakwork.functions.patterns import UnsafePattern, check_pattern
+from cloakwork.sources.catalogs import user_catalogue
 from cloakwork.streaming.pending import merged_spans
 
 CASES = {
@@ -115,3 +117,87 @@ def test_stream_helper_agrees_with_columns(spark, labels):
     merged = S.coalesce_spans(S.raw_findings(F.col("text"), plan))
     for row in df.select("i", merged.alias("f")).collect():
         assert [(f["start"], f["end"], f["label"]) for f in row["f"]] == merged_spans(texts[row["i"]], labels)
+
+
+def _near(rnd):
+    """Texts where signs, blanks, short words and marks stand close together, so that windows begin and end everywhere."""
+    parts = ["ab", "c", "12", "34 ", " ", "  ", "         ", "\n", "-", "x" * 9, "AKIA", "A", "BC", "jane@acme.co", "1234 5678 9012 34", "(0)", "+", "é", "\u00a0", "\x01", ".", "56 c", "ab 12 34 56 c", "zz yy", "S1234567D", "_"]
+    return "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25)))
+
+
+def test_windows_lose_nothing(spark):
+    """Findings in the windows of a text are those in the text, at the same places."""
+    rnd = random.Random(11)
+    texts = [_near(rnd) for _ in range(1500)] + _texts(200) + ["", " ", "no signs at all in here", "1234" + " " * 50 + "567890123456", "word " * 400 + "ab 12 34 56 c" + " word" * 400]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").repartition(8)
+    plan = F.expr("map(" + ", ".join(f"'{x}', named_struct('rank', 2, 'ord', {i})" for i, x in enumerate(BY_LABEL)) + ")").cast(S.PLAN)
+    for row in df.select("i", S.raw_findings(F.col("text"), plan).alias("f")).collect():
+        got = sorted((f["label"], f["start"], -f["neg_end"]) for f in row["f"])
+        want = sorted(m for d in BY_LABEL.values() for m in _python(d, texts[row["i"]]))
+        assert got == want, texts[row["i"]]
+
+
+def test_windows_of_prose_are_short(spark):
+    text = "Plain words go on and on without anything to find in them. " * 200 + "Mail jane@acme.co now. " + "More words. " * 200
+    df = spark.createDataFrame([(text,)], "text string")
+    assert len(df.select(S.windows(F.col("text"))).first()[0]) < 60
+
+
+@pytest.mark.parametrize(
+    "pattern",
+    ["(a+)+", "(a|a)*b", "(?:a|ab)+c", "(.*)*x", "a*", "", r"(a)\1", "(", "(?i)abc", r"\p{L}+", ".*.*.*.*x", "(?:a?){5,}x", r"(\w+\s?)+$", "(?:x{1,3}){2,}y", "(?=a+)*b", "x" * 1001],
+)
+def test_patterns_that_may_not_end_are_refused(pattern):
+    with pytest.raises(UnsafePattern):
+        check_pattern(pattern)
+
+
+def test_patterns_that_are_let_in():
+    for d in DETECTORS:
+        assert check_pattern(d.body, d.any_case) == d.body
+    for pattern in [r"\bACME-\d{4,9}\b", "(?:abc|def)+x", "[a-z]+@[a-z]+", r"(?:\d{3}-)+\d", "a++b", "foo|bar", "(?:a|b){3}c"]:
+        assert check_pattern(pattern) == pattern
+
+
+ROWS = "key string, label string, pattern string, any_case boolean, position int"
+
+
+def test_user_detectors(spark):
+    from cloakwork.operators.scan import scan
+
+    from .conftest import policy_rows
+
+    rows = [("a", "ONE", "foo \\w+", True, 3), ("b", "ONE", "bar[0-9]+", False, 1), ("c", "TWO", "o b", None, 2), ("ssn2", "NATIONAL", BY_KEY["ssn"].body, False, 4), ("b", "ONE", "bar[0-9]+", False, 9)]
+    catalogue = user_catalogue(spark.createDataFrame(rows, ROWS))
+    assert [d.key for d in catalogue.detectors] == ["b", "c", "a", "ssn2"]
+    policies = policy_rows(spark, (1, ["a", "c", "nope"], "redact"), (2, ["b"], "flag"), (2, ["ssn2"], "redact"), (3, ["email"], "redact"))
+    docs = spark.createDataFrame([(o, "FOO bar7 and 123-45-6789, jane@acme.co") for o in (1, 2, 3)], "org_id long, text string")
+    out = {r["org_id"]: r for r in scan(docs, "text", "org_id", policies, catalogue).collect()}
+    assert out[1]["text"] == "[REDACTED:ONE] and 123-45-6789, jane@acme.co"
+    assert [tuple(f) for f in out[2]["findings"]] == [("ONE", 4, 8, 1), ("NATIONAL", 13, 24, 2)] and out[2]["text"] == "FOO bar7 and [REDACTED:NATIONAL], jane@acme.co"
+    assert out[3]["findings"] == [] and out[3]["text"] == "FOO bar7 and 123-45-6789, jane@acme.co"
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [("a", "X", "x", False, 1), ("a", "Y", "y", False, 2)],
+        [("a", None, "x", False, 1)],
+        [("a", "X", "(x+)+", False, 1)],
+        [(f"k{i}", "X", f"x{i}", False, i) for i in range(257)],
+    ],
+)
+def test_catalogues_that_are_refused(spark, rows):
+    with pytest.raises(ValueError):
+        user_catalogue(spark.createDataFrame(rows, ROWS))
+
+
+def test_empty_catalogue(spark):
+    from cloakwork.operators.scan import scan
+
+    from .conftest import policy_rows
+
+    catalogue = user_catalogue(spark.createDataFrame([], ROWS))
+    docs = spark.createDataFrame([(1, "jane@acme.co")], "org_id long, text string")
+    row = scan(docs, "text", "org_id", policy_rows(spark, (1, ["email"], "redact")), catalogue).first()
+    assert (row["text"], row["n_findings"], row["blocked"]) == ("jane@acme.co", 0, False)

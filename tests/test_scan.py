@@ -196,3 +196,23 @@ def test_inbound_row_and_array_forms_agree(spark):
     flat = spark.createDataFrame(rows, "request_id long, org_id long, pos int, role string, content string")
     by_rows = A.scan_inbound_rows(flat, policies, "request_id", "pos")
     assert sorted(map(tuple, arrays.collect())) == sorted(map(tuple, by_rows.select("request_id", "blocked", "redactions").collect()))
+
+
+def test_entities_are_taken_in_turn(spark):
+    """Many overlapping entities and findings, empty ones included, against a plain loop."""
+    rnd = random.Random(17)
+    rows = []
+    for i in range(300):
+        raw = [(s := rnd.randrange(60), -(s + rnd.randrange(1, 9)), j, "F", 2) for j in range(rnd.randrange(6))]
+        ents = [(s := rnd.randrange(60), s + rnd.randrange(0, 12), f"E{j}", rnd.choice([0.4, 0.5, 0.9])) for j in range(rnd.randrange(25))]
+        rows.append((i, raw, ents))
+    rows.append((300, [], None))
+    rows.append((301, [], [(2 * j, 2 * j + 3, f"E{j}", 0.9) for j in range(1000)]))
+    df = spark.createDataFrame(rows, f"i int, raw array<{S.RAW}>, ents array<struct<start:int,end:int,label:string,score:double>>")
+    for r in df.select("i", S.accept_entities(F.col("raw"), F.col("ents")).alias("got")).collect():
+        _, raw, ents = rows[r["i"]]
+        taken = []
+        for start, end, label, score in ents or []:
+            if score >= 0.5 and not any(start < b and a < end for a, b in [(f[0], -f[1]) for f in raw] + [t[:2] for t in taken]):
+                taken.append((start, end, label))
+        assert sorted((g["start"], -g["neg_end"], g["label"]) for g in r["got"]) == sorted(taken), rows[r["i"]]
