@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+from cloakwork.llm import jaccard_join
 from cloakwork.llm.common import table
 from cloakwork.llm.jaccard_join import near_duplicates, op2_jaccard_join
 
@@ -95,3 +96,34 @@ def test_planted_groups(spark, num, den, n):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def templated(n, rng):
+    """Documents of one template of 70 words with four fields of 30 values each."""
+    base = [f"t{i}" for i in range(70)]
+    for i in range(n):
+        words = list(base)
+        for field, at in enumerate((9, 27, 45, 63)):
+            words[at] = f"v{field}x{rng.randrange(30)}"
+        yield i, " ".join(words)
+
+
+def test_templates_are_not_paired_throughout(spark, monkeypatch):
+    """What all documents share brings no pairs: widely shared tokens stay behind the fields, by their true frequency."""
+    met = []
+
+    def counted(pairs, *more):
+        met.append(pairs.count())
+        return verified(pairs, *more)
+
+    verified = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    few, many = list(templated(750, random.Random(1))), list(templated(3000, random.Random(2)))
+    took = []
+    for rows in (few, many):
+        met.clear()
+        got = near_duplicates(spark.createDataFrame(rows, SCHEMA), similarity=(9, 10), shingle=3, slack=1).select("doc_id", "n_shingles", "component_id").collect()
+        took.append(sum(met))
+        if rows is few:
+            same(got, plain(rows, 9, 10, 3))
+    assert took[1] <= 300_000 and took[1] <= 20 * max(took[0], 1000), took
