@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import DELIVERABLE_SLUGS
@@ -81,10 +81,22 @@ def pending_invites(invites: DataFrame, users: DataFrame, orgs: DataFrame, as_of
     )
 
 
+def team_id_of(org: Column, name: Column) -> Column:
+    """The id of a team that is created by its name: 60 bits of a digest, so the same whoever creates it."""
+    return F.conv(F.left(F.md5(F.concat_ws(":", org.cast("string"), name)), F.lit(15)), 16, 10).cast("bigint")
+
+
 def teams_by_name(teams: DataFrame, asked: DataFrame) -> DataFrame:
-    """(org_id, name, team_id) for every team name asked for; team_id is null where the team has yet to be created.
+    """(org_id, name, team_id, fresh) for every team name asked for; `fresh` teams are not there yet and get an id here.
 
     Names are compared as given; blank ones ask for no team and drop out.
     """
     wanted = asked.select("org_id", "name").filter(trim_space(F.col("name")) != "").distinct()
-    return wanted.join(teams.select("org_id", "name", "team_id"), ["org_id", "name"], "left")
+    found = wanted.join(teams.select("org_id", "name", "team_id"), ["org_id", "name"], "left")
+    made = team_id_of(F.col("org_id"), F.col("name"))
+    return found.select("org_id", "name", F.coalesce("team_id", made).alias("team_id"), F.col("team_id").isNull().alias("fresh"))
+
+
+def with_asked_teams(teams: DataFrame, asked: DataFrame) -> DataFrame:
+    """The teams after those that were asked for and missing have been created."""
+    return teams.select("team_id", "org_id", "name").unionByName(teams_by_name(teams, asked).filter("fresh").select("team_id", "org_id", "name"))

@@ -123,6 +123,20 @@ def prompt_snapshot(t: Inputs):
     return done.select("request_id", F.when(~F.col("blocked"), A.prompt_snapshot(F.col("messages"))).alias("snapshot"))
 
 
+_ALL_TURNS = (
+    "with msgs as (select message_id, conv_id, turn, role, conv_id % 25 as org_id, content from messages), "
+    + scan_ctes("msgs", "message_id", "content")
+    + " select conv_id as request_id, case when not bool_or(s.blocked and role <> 'assistant') then string_agg(s.text, chr(10) order by turn) end as snapshot "
+    "from msgs join scanned s using (message_id) where conv_id in (select request_id from request_headers) group by conv_id"
+)
+
+
+@register("prompt_snapshot_scanned", _ALL_TURNS, "messages request_headers policies")
+def prompt_snapshot_scanned(t: Inputs):
+    done = A.scan_inbound(_turns(t), t("policies"))
+    return done.select("request_id", F.when(~F.col("blocked"), A.prompt_snapshot_scanned(F.col("messages"), F.col("plan"))).alias("snapshot"))
+
+
 @register("scan_outbound", _PIPELINE + "select * from outb", _READS)
 def scan_outbound(t: Inputs):
     done = A.scan_outbound(_answers(t), t("policies"))

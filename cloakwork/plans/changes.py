@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import changes as C
 from ..operators import constraints as K
+from ..sources.stored import StoredTable
 from .check_sql import scan_ctes
-from .registry import STAMP_SQL, Inputs, register, stamp
+from .registry import QUERIES, STAMP_SQL, Inputs, register, stamp
+from .session import fresh_path
 
 _AT = "timestamp '2024-02-01 00:00:00' + to_minutes(cast({} as integer))"
 
@@ -64,6 +66,23 @@ def upsert_latest(t: Inputs):
     return out.withColumn("updated_at", stamp("updated_at"))
 
 
+def stored_size(df: DataFrame, rows_per_bucket: int = 1_000_000) -> int:
+    """Buckets for a table that starts with `df`."""
+    return max(8, df.count() // rows_per_bucket)
+
+
+@register("stored_upsert", QUERIES["upsert_latest"].sql)
+def stored_upsert(t: Inputs):
+    """The same changes against a stored table, in two merges: an earlier half of the turns and a later one."""
+    current = t("headers").filter("conv_id % 2 = 0").drop("turns").withColumn("updated_at", F.lit("2024-01-31").cast("timestamp")).withColumn("message_id", F.lit(None).cast("bigint"))
+    table = StoredTable.create(current, fresh_path(t.spark, "conversations"), ["conv_id"], stored_size(current))
+    changes = C.conversation_titles(_renames(t), t("orgs"), t("policies"))
+    noon = _at(F.lit(3))
+    for part in (changes.filter(F.col("updated_at") <= noon), changes.filter(F.col("updated_at") > noon)):
+        table = table.merge(part, lambda cur, chg: C.upsert_latest(cur, chg, ["conv_id"], ["updated_at", "message_id"], ["org_id", "user_id"]))
+    return table.read().drop("message_id").withColumn("updated_at", stamp("updated_at"))
+
+
 @register(
     "insert_if_absent",
     "with cur as (select event_id, user_id, value from events where event_id % 2 = 0), chg as (select event_id // 3 * 2 as event_id, user_id, value, event_id as seq from events) "
@@ -154,6 +173,22 @@ def cascade_delete(t: Inputs):
     )
 
 
+@register("stored_delete", QUERIES["cascade_delete"].sql)
+def stored_delete(t: Inputs):
+    """The cascade on stored tables: documents by their id, chunks by the id of their document, so that both are found
+    in the buckets that the deleted ids fall into."""
+    docs = t("rag_documents")
+    ids = docs.filter("document_id % 3 = 1").select("document_id", "org_id")
+    parents = StoredTable.create(docs, fresh_path(t.spark, "documents"), ["document_id"], stored_size(docs))
+    children = StoredTable.create(t("rag_chunks"), fresh_path(t.spark, "chunks"), ["document_id"], stored_size(t("rag_chunks")))
+    gone = parents.lookup(ids).join(ids, ["document_id", "org_id"], "left_semi").select("document_id")
+    children = children.merge(gone, lambda cur, i: cur.join(i, "document_id", "left_anti"))
+    parents = parents.merge(gone, lambda cur, i: cur.join(i, "document_id", "left_anti"))
+    return parents.read().select(F.lit("parent").alias("kind"), F.col("document_id").alias("id")).unionByName(
+        children.read().select(F.lit("child").alias("kind"), F.col("chunk_id").alias("id"))
+    )
+
+
 @register("detach_children", "select user_id, org_id, name, case when team_id % 10 = 3 then null else team_id end as team_id from users", "users teams")
 def detach_children(t: Inputs):
     return C.detach_children(t("users"), "team_id", t("teams").filter("team_id % 10 = 3")).select("user_id", "org_id", "name", "team_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.catalog import INTEGRATIONS, PACKS, STARTER_POLICIES
+from ..functions.catalog import DEMO_POLICY, INTEGRATIONS, PACKS, STARTER_POLICIES
 from ..operators import directory as D
 from ..operators import policies as P
 from ..sources import catalogs as C
@@ -57,6 +57,16 @@ def default_policies(t: Inputs):
     return P.seed_policies(t("tenants")).withColumn("patterns", F.array_join("patterns", ","))
 
 
+@register(
+    "demo_policies",
+    f"with s(seq, name, description, patterns) as {_values([(0, DEMO_POLICY.name, DEMO_POLICY.description, ','.join(DEMO_POLICY.patterns))])} "
+    "select org_id, cast(seq as bigint) as seq, s.name, s.description, patterns, true as enabled, 'redact' as action, 'cloud' as route from tenants cross join s",
+    "tenants",
+)
+def demo_policies(t: Inputs):
+    return P.seed_policies(t("tenants"), (DEMO_POLICY,)).withColumn("patterns", F.array_join("patterns", ","))
+
+
 _INTEGRATION_ROWS = _values([tuple(i) for i in INTEGRATIONS])
 
 
@@ -135,3 +145,25 @@ def list_policies(t: Inputs):
 )
 def has_outbound_redaction(t: Inputs):
     return P.outbound_orgs(t("tenant_policies"), t("tenants"))
+
+
+# Team names that new users bring: known ones, a market segment of the customer, and blanks.
+_ASKED = (
+    "asked as (select distinct cast(c_nationkey as bigint) as org_id, case c_custkey % 4 when 0 then 'Sales' when 1 then ' ' when 2 then 'Group ' || c_mktsegment else 'Research' end as name from customer), "
+    "missing as (select a.* from asked a where trim(name) <> '' and not exists (select 1 from teams t where t.org_id = a.org_id and t.name = a.name))"
+)
+
+
+@register(
+    "create_teams",
+    f"with {_ASKED} select team_id, org_id, name, false as fresh from teams union all "
+    "select cast('0x' || left(md5(org_id || ':' || name), 15) as bigint), org_id, name, true from missing",
+    "teams",
+)
+def create_teams(t: Inputs):
+    kind = F.col("c_custkey") % 4
+    name = F.when(kind == 0, "Sales").when(kind == 1, " ").when(kind == 2, F.concat(F.lit("Group "), "c_mktsegment")).otherwise("Research")
+    asked = t("customer").select(F.col("c_nationkey").cast("bigint").alias("org_id"), name.alias("name"))
+    after = D.with_asked_teams(t("teams"), asked)
+    before = t("teams").select("team_id", F.lit(False).alias("fresh"))
+    return after.join(before, "team_id", "left").select("team_id", "org_id", "name", F.coalesce("fresh", F.lit(True)).alias("fresh"))

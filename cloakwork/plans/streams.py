@@ -44,7 +44,19 @@ def _payloads(events: DataFrame) -> DataFrame:
 
 
 #: What a broken or hostile client sends instead of an event.
-_GARBAGE = ("{oops", "[1]", '{"site":"a"}', '{"site":1,"host":"h","action":"paste"}', '{"site":"a","host":"h","action":"paste","labels":"EMAIL"}')
+_GARBAGE = (
+    "{oops",
+    "[1]",
+    '{"site":"a"}',
+    '{"site":1,"host":"h","action":"paste"}',
+    '{"site":"a","host":"h","action":"paste","labels":"EMAIL"}',
+    '{"site":"a","host":"h","action":"paste","labels":null}',
+    '{"site":"a","host":"h","action":"paste","labels":["EMAIL",null]}',
+    '{"site":"a","host":"h","action":"paste","outcome":null}',
+    '{"site":"a","host":"h","action":"paste","count":null}',
+    '{"site":"a","host":"h","action":"paste","count":3000000000}',
+    '{"site":"a","host":"h","action":"paste","count":1.5}',
+)
 
 
 def _with_garbage(payloads: DataFrame) -> DataFrame:
@@ -63,7 +75,7 @@ def parse(t: Inputs):
     return out.drop("created_at").withColumn("labels", F.array_join("labels", ","))
 
 
-@register("rejected_events", "select event_id, case event_id % 5 " + " ".join(f"when {i} then '{g}'" for i, g in enumerate(_GARBAGE)) + " end as body from shadow_events where event_id % 7 = 0", "shadow_events")
+@register("rejected_events", f"select event_id, case event_id % {len(_GARBAGE)} " + " ".join(f"when {i} then '{g}'" for i, g in enumerate(_GARBAGE)) + " end as body from shadow_events where event_id % 7 = 0", "shadow_events")
 def rejected_events(t: Inputs):
     return rejected(_with_garbage(_payloads(t("shadow_events"))), "body").select("event_id", "body")
 
@@ -187,6 +199,17 @@ def frame_output(t: Inputs):
     return texts.select("stream_id", frame.alias("frame"))
 
 
+@register(
+    "finish_frames",
+    "select cast(message_id as varchar) as stream_id, 'data: {\"choices\":[{\"delta\":{},\"finish_reason\":\"' || case when message_id % 5 = 0 then 'length' else 'stop' end || "
+    "'\",\"index\":0}],\"id\":\"c' || message_id || '\",\"model\":\"m\",\"object\":\"chat.completion.chunk\"}' || chr(10) || chr(10) as frame from choices",
+    "choices",
+)
+def finish_frames(t: Inputs):
+    ends = t("choices").select(F.col("message_id").cast("string").alias("stream_id"), F.when(F.col("message_id") % 5 == 0, "length").otherwise("stop").alias("reason"))
+    return ends.select("stream_id", FR.finish_frame(F.concat(F.lit("c"), "stream_id"), F.lit("m"), F.col("reason")).alias("frame"))
+
+
 _OUTBOUND = "outbound as (select org_id from policies group by org_id having bool_or(enabled and action not in ('block', 'flag') and len(patterns) > 0))"
 _MASKED = (
     f"with {_OUTBOUND}, answers as (select message_id, request_id % 25 as org_id, content from choices where request_id % 25 in (select org_id from outbound)), "

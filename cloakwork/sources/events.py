@@ -12,15 +12,19 @@ def parse_events(df: DataFrame, json_col: str) -> DataFrame:
     """Adds the event's columns; labels default to none, count to 0, outcome to 'flag'. Works on streams as well.
 
     `valid` is false for a payload that is no JSON object, lacks site, host or action, or holds a value of the wrong
-    kind; `accepted` and `rejected` part the two.
+    kind: a default stands for a field that is left out, not for a null, labels are strings, and a count has 32 bits.
+    `accepted` and `rejected` part the two.
     """
     e = F.from_json(F.col(json_col), EVENT)
     body = F.try_parse_json(F.col(json_col))
-    kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(body, f"$.{name}", "variant")), F.lit("VOID"))
+    kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(body, f"$.{name}", "variant")), F.lit("MISSING"))
+    count = F.try_variant_get(body, "$.count", "int")
     valid = F.lit(True)
     for name in ("site", "host", "action"):
         valid = valid & (kind(name) == "STRING")
-    valid = valid & kind("outcome").isin("STRING", "VOID") & kind("count").isin("BIGINT", "VOID") & kind("labels").isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID")
+    valid = valid & kind("outcome").isin("STRING", "MISSING")
+    valid = valid & ((kind("count") == "MISSING") | ((kind("count") == "BIGINT") & count.isNotNull()))
+    valid = valid & ((kind("labels") == "MISSING") | (kind("labels").isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(F.try_variant_get(body, "$.labels", "array<string>"), lambda x: x.isNull())))
     parsed = df.withColumn("_e", e).withColumn("valid", F.coalesce(valid, F.lit(False)))
     return parsed.select(
         *[c for c in df.columns if c != json_col],
@@ -28,7 +32,7 @@ def parse_events(df: DataFrame, json_col: str) -> DataFrame:
         "_e.host",
         "_e.action",
         F.coalesce("_e.labels", F.expr("cast(array() as array<string>)")).alias("labels"),
-        F.coalesce("_e.count", F.lit(0)).alias("count"),
+        F.coalesce(count, F.lit(0)).alias("count"),
         F.coalesce("_e.outcome", F.lit("flag")).alias("outcome"),
         "valid",
     )

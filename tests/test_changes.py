@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cloakwork.operators import changes as C
 from cloakwork.operators import constraints as K
 from cloakwork.operators import directory as D
+from cloakwork.sources.stored import StoredTable
 
 from .conftest import policy_rows
 
@@ -150,4 +152,67 @@ def test_rules(spark):
 def test_team_names_to_ids(spark):
     teams = spark.createDataFrame([(1, 10, "Core")], "org_id long, team_id long, name string")
     asked = spark.createDataFrame([(1, "Core"), (1, "New"), (1, " "), (2, "Core"), (1, "Core")], "org_id long, name string")
-    assert rows(D.teams_by_name(teams, asked)) == [(1, "Core", 10), (1, "New", None), (2, "Core", None)]
+    made = {r["name"]: r["id"] for r in spark.sql("select 'New' as name, 1 as org_id union all select 'Core', 2").select("name", D.team_id_of(F.col("org_id"), F.col("name")).alias("id")).collect()}
+    assert rows(D.teams_by_name(teams, asked)) == [(1, "Core", 10, False), (1, "New", made["New"], True), (2, "Core", made["Core"], True)]
+    assert {r["team_id"] for r in D.with_asked_teams(teams, asked).collect()} >= {10, *made.values()}
+
+
+# --- stored tables
+
+
+def stored(spark, tmp_path, n=200, buckets=8):
+    df = spark.range(n).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("org"), F.concat(F.lit("v"), "id").alias("v"), F.lit(0).alias("at"))
+    return StoredTable.create(df, str(tmp_path / "t"), ["k"], buckets)
+
+
+def upsert(current, changes):
+    return C.upsert_latest(current, changes, ["k"], ["at"], ["org"])
+
+
+def test_a_merge_leaves_untouched_buckets_alone(spark, tmp_path):
+    before = stored(spark, tmp_path)
+    changes = spark.createDataFrame([(3, 1, "new", 5), (1000, 1, "added", 6), (4, 2, "a stranger's", 7)], "k int, org long, v string, at int")
+    after = before.merge(changes, upsert)
+    touched = set(before.touched(changes))
+    assert 0 < len(touched) < 8 and after.version == 1
+    files = lambda t, some: set(t.read([b for b in range(8) if (b in touched) == some]).inputFiles())
+    assert files(after, False) == files(before, False) and not files(after, True) & files(before, True)
+    want = {**{i: f"v{i}" for i in range(200)}, 3: "new", 1000: "added"}
+    assert {r["k"]: r["v"] for r in after.read().collect()} == want
+    assert after.read().schema == before.read().schema
+    # the old version is still there, and the latest is found by path
+    assert StoredTable(spark, before.path, 0).read().count() == 200
+    assert StoredTable(spark, before.path).read().count() == 201
+    assert [r["v"] for r in after.lookup(changes.filter("k = 3")).collect()] == ["new"]
+
+
+def test_a_failed_merge_leaves_the_old_table(spark, tmp_path):
+    before = stored(spark, tmp_path)
+    changes = spark.createDataFrame([(3, 1, "new", 5)], "k int, org long, v string, at int")
+    with pytest.raises(Exception, match="lost"):
+        before.merge(changes, lambda cur, _: cur.withColumn("v", F.when(F.col("k") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("v"))))
+    assert {r["v"] for r in StoredTable(spark, before.path).read().collect()} == {f"v{i}" for i in range(200)}
+    assert before.merge(changes, upsert).read().filter("v = 'new'").count() == 1
+    # a second merge of the same version is too late
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        before.merge(changes, upsert)
+
+
+def test_stored_tables_that_run_empty(spark, tmp_path):
+    table = stored(spark, tmp_path, n=3, buckets=2)
+    gone = table.merge(table.read().select("k"), lambda cur, ids: cur.join(ids, "k", "left_anti"))
+    assert gone.read().collect() == [] and gone.merge(gone.read(), upsert) is gone
+    again = gone.merge(spark.createDataFrame([(9, 1, "x", 1)], "k int, org long, v string, at int"), upsert)
+    assert [tuple(r) for r in again.read().collect()] == [(9, 1, "x", 1)]
+    with pytest.raises(ValueError):
+        StoredTable(spark, table.path, 7)
+
+
+def test_stored_patches_and_deletes_equal_those_of_whole_tables(spark, tmp_path):
+    table = stored(spark, tmp_path)
+    patches = spark.createDataFrame([(i, "p" if i % 2 else None, i) for i in range(0, 50, 5)] + [(5, "later", 99)], "k long, v string, at int")
+    ids = spark.createDataFrame([(i,) for i in range(0, 200, 9)], "k long")
+    patched = table.merge(patches, lambda cur, p: C.patch_rows(cur, p, ["k"], ["at"], stamp_col="at"))
+    left = patched.merge(ids, lambda cur, i: cur.join(i, "k", "left_anti"))
+    whole = C.patch_rows(table.read(), patches, ["k"], ["at"], stamp_col="at").join(ids, "k", "left_anti")
+    assert rows(left.read()) == rows(whole)
