@@ -52,6 +52,16 @@ OUTSIDE_NAMES = frozenset(
     "recommended comment comments commentlist discussion disqus reply replies respond footer header masthead toolbar pagination pager widget hidden "
     "contentinfo complementary search".split()
 )
+#: Names that begin with one of the first are parts of readers' comments if they go on with nothing but the second.
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+COMMENT_PARTS = frozenset("area author avatar body card container content date form head inner link main meta name para paragraph row section text thread time title wrap wrapper".split())
+#: Elements that are text themselves, and names that say nothing against one: a sentence about related things is a sentence.
+SENTENCES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption".split())
+NO_SIDE_PARTS = frozenset("related social recommended share sharing notice header search".split())
+#: Elements of lists and tables. In the element in which the best region begins they are read as text, unless they are links.
+LISTS = frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th".split())
+#: What words weigh at least, and tags at most, in a marked article and in such lists.
+TRUSTED_WORD, TRUSTED_TAG = 0.05, -0.001
 FILLERS = frozenset("bar box button buttons item items list slot unit".split())
 VAGUE = frozenset("discussion header hidden notice search side widget".split())
 #: How far an element is outside: not at all, by a doubtful name, by its name, by what element it is.
@@ -85,8 +95,12 @@ def _outside(name: str, attributes: str, in_article: bool) -> int:
         for token in (m[2] or m[3] or m[4] or "").lower().split():
             words = [w for w in _WORD_BREAK.split(token) if w]
             said = OUTSIDE_NAMES.intersection(words)
+            if name in SENTENCES:
+                said = said - NO_SIDE_PARTS
             if not said:
                 continue
+            if words[0] in COMMENTS and all(w in OUTSIDE_NAMES or w in FILLERS or w in COMMENT_PARTS or w.isdigit() for w in words):
+                return NAMED
             if all(w in OUTSIDE_NAMES or w in FILLERS or w.isdigit() for w in words) and (m[1].lower() == "role" or not said <= VAGUE):
                 return NAMED
             found = DOUBTFUL
@@ -177,8 +191,9 @@ def _raw_end(name: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I)
 
 
-def tokens(page: str) -> Iterable[tuple[str, str, bool]]:
-    """(kind, value, doubtful): kind "open" or "close" with the tag's name, or "text" with decoded text.
+def tokens(page: str) -> Iterable[tuple[str, str, bool, bool]]:
+    """(kind, value, doubtful, marked): kind "open" or "close" with the tag's name, or "text" with decoded text; whether the
+    tag's name is doubtful, and whether this stands in an article or main element.
 
     Everything within an element that is outside the text comes as one "open" of the name "outside". An element that holds a main part,
     or that only its name puts outside and that has no end, is read like any other; its opening tag is doubtful.
@@ -189,7 +204,7 @@ def tokens(page: str) -> Iterable[tuple[str, str, bool]]:
         token, here = found[at], at
         at += 1
         if len(token) == 1:
-            yield "text", token[0], False
+            yield "text", token[0], False, in_article > 0
             continue
         name, closing, attributes = token
         outside = INSIDE if closing else _outside(name, attributes, in_article > 0)
@@ -197,12 +212,12 @@ def tokens(page: str) -> Iterable[tuple[str, str, bool]]:
             after, ended = ends.get(here, (at, True))
             if mains[after] == mains[here] + (name in MAIN_PARTS) and (ended or outside == ELEMENT):
                 at = after
-                yield "open", "outside", False
+                yield "open", "outside", False, in_article > 0
                 continue
             outside = DOUBTFUL
         if name in ("article", "main"):
-            in_article += -1 if closing else 1
-        yield "close" if closing else "open", name, outside == DOUBTFUL
+            in_article = max(in_article - 1, 0) if closing else in_article + 1
+        yield "close" if closing else "open", name, outside == DOUBTFUL, in_article > 0
 
 
 def count_labels(page: str) -> tuple[Counter, Counter]:
@@ -210,7 +225,7 @@ def count_labels(page: str) -> tuple[Counter, Counter]:
     inside, outside, depth, within = Counter(), Counter(), 0, "body"
     if not re.search(r"<article\b", page, re.I) or not re.search(r"</article", page, re.I):
         return inside, outside
-    for kind, value, _ in tokens(page):
+    for kind, value, *_ in tokens(page):
         if kind == "text":
             (inside if depth else outside)["word " + within] += len(value.split())
             continue
@@ -242,35 +257,73 @@ def fit_weights(pages: Iterable[str]) -> dict[str, float]:
     return weights
 
 
-def extract(page: str, weights: dict[str, float]) -> tuple[str, float]:
-    """(text, score) of the best region; ("", 0) for a page without words.
+def best_region(found: list[tuple], weights: dict[str, float], lists: range = range(0)) -> tuple[float, int, int]:
+    """(score, start, end) of the best region of the tokens; of equal ones the first that ends, and of those the longest.
 
+    One linear scan: a run that has fallen to nothing starts anew. In a marked article a tag costs next to nothing and
+    every word counts, so that lists, tables and names end no run there; the same holds for lists in the range `lists`.
     What is outside the text by itself weighs in full only where the element has ended in which the run began: an advert
-    between two paragraphs does not part them.
+    between two paragraphs does not part them. A doubtful name weighs only before a heading.
     """
-    pieces: list[tuple[str, str]] = []
-    best, best_at, run, run_from, within = 0.0, (0, 0), 0.0, 0, "body"
-    depth, run_depth = 0, 0
-    unseen = weights[""]
-    unseen_word = weights["word "]
-    for kind, value, doubtful in tokens(page):
-        pieces.append((kind, value))
+    best, run, start, within = (0.0, 0, 0), 0.0, 0, "body"
+    depth, run_depth, headed = 0, 0, False
+    unseen, unseen_word = weights[""], weights["word "]
+    for i, (kind, value, doubtful, marked) in enumerate(found):
         if kind == "text":
-            n = len(value.split())
-            gain = n * weights.get("word " + within, unseen_word)
+            gain = weights.get("word " + within, unseen_word)
+            if marked or (within in LISTS and i in lists):
+                gain = max(gain, TRUSTED_WORD)
+            gain *= len(value.split())
         else:
             if value in HOLDERS:
                 depth += 1 if kind == "open" else -1
             gain = -TAG_RANGE[0] if value == "outside" and depth >= run_depth else weights.get(value, unseen)
-            gain += weights["outside"] if doubtful else 0.0
+            if marked or (value in LISTS and i in lists):
+                gain = max(gain, TRUSTED_TAG)
+            elif doubtful and not headed:
+                gain += weights["outside"]
             within = value if kind == "open" and value not in VOID | {"outside"} else "body"
         if run <= 0:
-            run, run_from, run_depth = 0.0, len(pieces) - 1, depth
+            run, start, run_depth, headed = 0.0, i, depth, False
+        headed = headed or value == "h1"
         run += gain
-        if run > best:
-            best, best_at = run, (run_from, len(pieces))
+        if run > best[0]:
+            best = run, start, i + 1
+    return best
+
+
+def _holder(found: list[tuple], at: int) -> range:
+    """The tokens of the innermost element around token `at`, or that it opens, which is neither a list nor a table."""
+    outer: list[tuple[str, int]] = []
+    for i, (kind, name, *_) in enumerate(found[: at + 1]):
+        if kind == "text" or name not in HOLDERS or name in LISTS:
+            continue
+        if kind == "open":
+            outer.append((name, i))
+        elif any(n == name for n, _ in outer):
+            while outer.pop()[0] != name:
+                pass
+    if not outer:
+        return range(0)
+    name, start = outer[-1]
+    depth = 0
+    for i in range(start, len(found)):
+        if found[i][1] == name and found[i][0] != "text":
+            depth += 1 if found[i][0] == "open" else -1
+            if not depth:
+                return range(start, i + 1)
+    return range(start, len(found))
+
+
+def extract(page: str, weights: dict[str, float]) -> tuple[str, float]:
+    """(text, score) of the best region; ("", 0) for a page without words. Where no article is marked, the region is sought
+    a second time with the lists of its parent element read as text."""
+    found = list(tokens(page))
+    best = best_region(found, weights)
+    if best[0] and not found[best[1]][3]:
+        best = best_region(found, weights, _holder(found, best[1]))
     blocks, now = [], []
-    for kind, value in pieces[slice(*best_at)]:
+    for kind, value, *_ in found[slice(*best[1:])]:
         if kind == "text":
             now.append(value)
         elif value in BLOCKS:
@@ -280,7 +333,7 @@ def extract(page: str, weights: dict[str, float]) -> tuple[str, float]:
             now.append(" ")
     blocks.append("".join(now))
     clean = (_SPACE.sub(" ", b).strip() for b in blocks)
-    return "\n\n".join(b for b in clean if b), best
+    return "\n\n".join(b for b in clean if b), best[0]
 
 
 def labelled_weights(rows: DataFrame, limit: int = LABELLED_PAGES) -> dict[str, float]:

@@ -113,6 +113,57 @@ def test_wrappers_named_like_side_parts(name):
     assert html_text.extract(page, weights)[0] == f"{words}.\n\n{words}!"
 
 
+WORDS = "some plain words of the main text that go on for a while here"
+ITEMS = "".join(f"<li>item {i}</li>" for i in range(30))
+
+
+@pytest.fixture(scope="module")
+def page_weights(spark, sf_dir):
+    return [html_text.labelled_weights(table(spark, sf_dir, "pages").select("page_id", "html")), html_text.fit_weights([])]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # what an article holds stays, whatever it is made of or called
+        (f"<article><h1>T</h1><p>Intro.</p><ul>{ITEMS}</ul><p>End.</p></article>", ["T", "Intro.", *[f"item {i}" for i in range(30)], "End."]),
+        ("<article><h1>T</h1><p>Intro.</p><dl>" + "".join(f"<dt>w{i}</dt><dd>d{i}</dd>" for i in range(20)) + "</dl></article>", ["T", "Intro.", *[f"{c}{i}" for i in range(20) for c in "wd"]]),
+        (f"<main><h1>T</h1><p>{WORDS}</p><table>" + "".join(f"<tr><td>{i}</td><td>x</td></tr>" for i in range(20)) + "</table></main>", ["T", WORDS, *[c for i in range(20) for c in (str(i), "x")]]),
+        (f'<article><h1>Two words</h1><p class="hidden-gem">{WORDS}</p></article>', ["Two words", WORDS]),
+        (f'<article><h1>Two words</h1><div class="notice"><p>{WORDS}</p></div></article>', ["Two words", WORDS]),
+        (f'<body><div><h1>Two words</h1><div class="hidden-gem"><p>{WORDS}</p></div></div>', ["Two words", WORDS]),
+        (f'<article><p>{WORDS}</p><p class="related">One of a kind.</p><p class="social">Another of it.</p></article>', [WORDS, "One of a kind.", "Another of it."]),
+        # readers' comments go
+        (f'<article><h1>T</h1><p>{WORDS}</p><div class="comment-body"><p>{WORDS}</p></div><div class="comment-author">X</div></article>', ["T", WORDS]),
+        (f'<article><p>{WORDS}</p><section id="comments-section-1"><p>First</p></section><p>End.</p></article>', [WORDS, "End."]),
+        # without a mark, lists of the region's parent stay, but not those of links
+        (f"<body><ul><li><a>Home</a></li><li><a>News</a></li></ul><div><h1>T</h1><p>{WORDS}</p><ul>{ITEMS}</ul><p>End.</p></div>", ["T", WORDS, *[f"item {i}" for i in range(30)], "End."]),
+    ],
+)
+def test_articles_are_kept_whole(page_weights, page, want):
+    for weights in page_weights:
+        assert html_text.extract(page, weights)[0].split("\n\n") == want
+
+
+def test_best_region_is_the_best_of_all():
+    """The scan against all regions, on pages of tags whose weights do not depend on where a region begins."""
+    weights = html_text.fit_weights([])
+    rnd = random.Random(5)
+    for _ in range(200):
+        page = "".join(rnd.choice(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<a>", "</a>", "some words ", "one ", "<li>", "<h2>", "</h2>"]) for _ in range(rnd.randrange(1, 40)))
+        found = list(html_text.tokens(page))
+        gains, within = [], "body"
+        for kind, value, *_ in found:
+            if kind == "text":
+                gains.append(len(value.split()) * weights.get("word " + within, weights["word "]))
+            else:
+                gains.append(weights.get(value, weights[""]))
+                within = value if kind == "open" else "body"
+        most = max([0.0] + [sum(gains[i:j]) for i in range(len(gains)) for j in range(i + 1, len(gains) + 1)])
+        score, start, end = html_text.best_region(found, weights)
+        assert score == pytest.approx(most) and sum(gains[start:end]) == pytest.approx(most)
+
+
 def test_wrappers_that_hold_the_page():
     weights = html_text.fit_weights([])
     words = "some plain words of the main text that go on for a while here"
