@@ -129,20 +129,19 @@ def _shared_postings(postings: DataFrame) -> DataFrame:
 
     Tokens with more postings than four times the mean of a bucket of tokens are widely shared; there are a quarter as
     many of them as buckets at most, so their list with their frequencies is bounded and broadcast. They are found by
-    aggregates that combine before the shuffle, and their postings go nowhere: it is known that they are shared, and how
-    widely. All others go to one place by token, once, and none of those places can be large.
+    aggregates that combine before the shuffle, and their postings go by token and node: it is known that they are
+    shared, and how widely. All others go to one place by token, once, and none of those places can be large.
     """
-    bucket = F.pmod("token", F.lit(BUCKETS)).cast("int").alias("bucket")
-    sizes = written(postings.groupBy(bucket).agg(F.count("*").alias("size")), "buckets")
+    bucket = F.pmod("token", F.lit(BUCKETS)).cast("int")
+    sizes = written(postings.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("size")), "buckets")
     limit = 4 * (sizes.agg(F.sum("size")).first()[0] or 0) // BUCKETS + 64
-    full = F.broadcast(sizes.filter(F.col("size") > limit).select("bucket"))
-    counted = postings.select("token", "node", bucket).join(full, "bucket", "left_semi").groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    wide = written(counted.filter((F.col("df") > limit) & (F.col("lo") != F.col("hi"))).select("token", "df"), "wide-tokens")
-    often = postings.join(F.broadcast(wide), "token").select("token", "node", "n", "df")
-    by_token = W.partitionBy("token")
-    others = postings.join(F.broadcast(wide.select("token")), "token", "left_anti").select("token", "node", "n")
-    others = others.select("*", F.count("*").over(by_token).alias("df"), F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"))
-    return others.filter("lo <> hi").select("token", "node", "n", "df").unionByName(often)
+    full = [r[0] for r in sizes.filter(F.col("size") > limit).select("bucket").collect()]  # a quarter of all at most
+    counted = postings.filter(bucket.isin(full)).groupBy("token").agg(F.count("*").alias("often"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    wide = written(counted.filter((F.col("often") > limit) & (F.col("lo") != F.col("hi"))).select("token", "often"), "wide-tokens")
+    known = F.col("often").isNotNull()
+    place = W.partitionBy("token", F.when(known, F.col("node")))
+    told = postings.join(F.broadcast(wide), "token", "left").select("token", "node", "n", "often", F.count("*").over(place).alias("few"), F.min("node").over(place).alias("lo"), F.max("node").over(place).alias("hi"))
+    return told.filter(known | (F.col("lo") != F.col("hi"))).select("token", "node", "n", F.coalesce("often", "few").alias("df"))
 
 
 def _rare_postings(sets: DataFrame, num: int, den: int) -> DataFrame:
