@@ -120,12 +120,7 @@ def walk(items: Column, carry: Column, element: str, step: Callable[[Column, Col
     def block(acc: Column, some: Column) -> Column:
         return F.aggregate(some, state(acc["carry"], none), one, lambda done: state(done["carry"], F.array_append(acc["out"], done["out"])))
 
-    def walked(all_: Column) -> Column:
-        few = F.aggregate(all_, state(carry, none), one, lambda acc: acc["out"])
-        many = F.aggregate(in_blocks(all_), state(carry, nested), block, lambda acc: F.flatten(acc["out"]))
-        return F.when(F.size(all_) <= BLOCK_ITEMS, few).otherwise(many)
-
-    return let(items, walked)
+    return let(items, lambda all_: F.aggregate(in_blocks(all_), state(carry, nested), block, lambda acc: F.flatten(acc["out"])))
 
 
 def _places(hit: Column, shifts: Column | None = None) -> Column:
