@@ -12,17 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.catalog import ROUTE_PROVIDERS
 from ..functions.spans import FINDING, scan_text
 from ..plans.sizing import broadcast_if_small
-from .policies import org_plans, resolve_policies, with_plan
+from .policies import org_states, with_plan
 
 #: Roles whose messages are scanned on the way in.
 INBOUND_ROLES = ("user", "system")
 
 
-def org_states(policies: DataFrame, orgs: DataFrame) -> DataFrame:
-    """(org_id, plan, route, deep_scan, rag_enabled) for every organisation."""
-    return resolve_policies(policies, orgs).drop("policies").join(org_plans(policies), "org_id", "left")
-
-
 def provider(route: Column) -> Column:
     """Provider name of a route, as logged."""
     name = F.lit(None).cast("string")
@@ -127,57 +122,65 @@ def scan_outbound(responses: DataFrame, policies: DataFrame) -> DataFrame:
     )
 
 
-def usage_rows(scanned: DataFrame, responses: DataFrame, orgs: DataFrame) -> DataFrame:
-    """One audit row per scanned request, in one projection over blocked, streamed and answered requests.
+def usage_rows(requests: DataFrame, responses: DataFrame, policies: DataFrame, orgs: DataFrame) -> DataFrame:
+    """One audit row per request, over blocked, streamed and answered ones.
 
-    `scanned` is `scan_inbound` output with request_id, org_id, user_id, model, stream, route; `responses` is
-    `scan_outbound` output with request_id, model, prompt_tokens, completion_tokens.
+    `requests` are request_id, org_id, user_id, model, stream, messages, and what is to be carried along (latency_ms,
+    created_at, day); `responses` request_id, model, prompt_tokens, completion_tokens, choices. What goes in and what comes
+    out is scanned as `scan_inbound` and `scan_outbound` do, by one expression over all texts of a request: the states of
+    organisations are found once, and each side is shuffled by request once, before it is scanned. Answers to streamed
+    requests are redacted as they stream and not looked at here. Organisations of zero retention keep counters, no bodies.
     """
     answers = responses.select(
-        "request_id",
-        F.col("model").alias("answer_model"),
-        F.coalesce("prompt_tokens", F.lit(0)).alias("p_tokens"),
-        F.coalesce("completion_tokens", F.lit(0)).alias("o_tokens"),
-        "out_redactions",
-        "response_text",
+        "request_id", F.col("model").alias("_answer_model"), "prompt_tokens", "completion_tokens", F.col("choices").alias("_choices")
     )
-    asked = scanned.withColumn("prompt", prompt_snapshot(F.col("messages"))).drop("messages", "plan")
-    answered = ~F.col("blocked") & ~F.col("stream")
+    carried = [c for c in ("latency_ms", "created_at", "day") if c in requests.columns]
+    kept = ["request_id", "org_id", "user_id", "model", "stream", *carried]
+    states = broadcast_if_small(org_states(policies, orgs).drop("deep_scan", "rag_enabled"))
+    met = requests.select(*kept, "messages").join(states, "org_id", "left").join(answers, "request_id", "left")
+
+    none = F.expr("cast(array() as array<struct<text:string,looked_at:boolean>>)")
+    asked = F.transform("messages", lambda m: F.struct(m["content"].alias("text"), m["role"].isin(*INBOUND_ROLES).alias("looked_at")))
+    told = F.transform("_choices", lambda c: F.struct(c["content"].alias("text"), (~F.col("stream")).alias("looked_at")))
+    texts = F.concat(F.coalesce(asked, none), F.coalesce(told, none))
+    scans = F.transform(texts, lambda x: F.when(x["looked_at"], scan_text(x["text"], F.col("plan"))).otherwise(_unscanned(x["text"])))
+    passed = [*kept, "route", "zero_retention", "_answer_model", "prompt_tokens", "completion_tokens"]
+    n_in, n_all = F.coalesce(F.size("messages"), F.lit(0)), F.greatest(F.size("_s"), F.lit(1))
+    sides = met.select(*passed, "messages", "_choices", scans.alias("_s")).select(
+        *passed,
+        F.slice("_s", F.lit(1), n_in).alias("_in"),
+        F.when(F.col("_choices").isNotNull(), F.slice("_s", n_in + 1, n_all)).alias("_out"),
+        F.coalesce(F.array_position(F.transform("_s", lambda s: s["blocked"]), True).cast("int"), F.lit(0)).alias("_first"),
+        n_in.alias("_n_in"),
+    )
+
+    def count(scans: str) -> Column:
+        return F.coalesce(F.aggregate(scans, F.lit(0), lambda acc, s: acc + s["n_findings"]), F.lit(0))
 
-    def only(flag: Column, value: str | Column, other: object) -> Column:
-        return F.when(flag, value if isinstance(value, Column) else F.col(value)).otherwise(F.lit(other))
+    def joined(scans: str, between: str) -> Column:
+        return F.array_join(F.transform(scans, lambda s: s["text"]), between)
 
-    rows = asked.join(answers, "request_id", "left")
-    carried = [c for c in ("latency_ms", "created_at", "day") if c in scanned.columns]
-    logged = rows.select(
+    # a blocking match in an answer does not stop it
+    blocked = (F.col("_first") > 0) & (F.col("_first") <= F.col("_n_in"))
+    answered = ~blocked & ~F.col("stream")
+    bodies = ~F.coalesce("zero_retention", F.lit(False))
+    found = F.when(blocked, F.get("_in", F.col("_first") - 1)["n_findings"]).otherwise(count("_in"))
+    return sides.select(
         F.col("request_id").alias("log_id"),
         "org_id",
         "user_id",
-        F.when(answered, F.coalesce("answer_model", "model")).otherwise(F.col("model")).alias("model"),
+        F.when(answered, F.coalesce("_answer_model", "model")).otherwise(F.col("model")).alias("model"),
         provider(F.col("route")).alias("provider"),
         "route",
-        only(answered, F.coalesce("p_tokens", F.lit(0)), 0).alias("prompt_tokens"),
-        only(answered, F.coalesce("o_tokens", F.lit(0)), 0).alias("output_tokens"),
-        (F.col("redactions") + only(answered, F.coalesce("out_redactions", F.lit(0)), 0)).alias("redactions"),
-        "blocked",
-        (F.col("stream") & ~F.col("blocked")).alias("streamed"),
-        only(~F.col("blocked"), "prompt", None).alias("prompt_body"),
-        only(answered, "response_text", None).alias("response_body"),
+        F.when(answered, F.coalesce("prompt_tokens", F.lit(0))).otherwise(0).alias("prompt_tokens"),
+        F.when(answered, F.coalesce("completion_tokens", F.lit(0))).otherwise(0).alias("output_tokens"),
+        (found + F.when(answered, count("_out")).otherwise(0)).alias("redactions"),
+        blocked.alias("blocked"),
+        (F.col("stream") & ~blocked).alias("streamed"),
+        F.when(bodies & ~blocked, joined("_in", "\n")).alias("prompt_body"),
+        F.when(bodies & answered, joined("_out", "")).alias("response_body"),
         *carried,
     )
-    return apply_retention(logged, orgs)
-
-
-def apply_retention(df: DataFrame, orgs: DataFrame) -> DataFrame:
-    """Bodies emptied for zero-retention organisations; counters stay."""
-    flags = broadcast_if_small(orgs.select("org_id", F.col("zero_retention").alias("_zero")))
-    keep = ~F.coalesce("_zero", F.lit(False))
-    return (
-        df.join(flags, "org_id", "left")
-        .withColumn("prompt_body", F.when(keep, F.col("prompt_body")))
-        .withColumn("response_body", F.when(keep, F.col("response_body")))
-        .drop("_zero")
-    )
 
 
 def request_alerts(usage: DataFrame) -> DataFrame:

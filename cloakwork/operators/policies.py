@@ -56,19 +56,52 @@ def org_plans(policies: DataFrame, force_redact: bool = False, catalogue: Catalo
             F.max(F.lit(REDACT) if force_redact else F.col("rank")).alias("rank"),
         )
     )
-    ordered = F.array_sort(F.collect_list(F.struct("first", "unit", "rank")))
-    return per_unit.groupBy("org_id").agg(
-        F.map_from_entries(
-            F.transform(
-                ordered,
-                lambda x, i: F.struct(
-                    x["unit"].alias("key"),
-                    F.struct(x["rank"].alias("rank"), i.cast("int").alias("ord")).alias("value"),
-                ),
-            )
+    return per_unit.groupBy("org_id").agg(_plan_of(F.collect_list(F.struct("first", "unit", "rank"))).alias("plan"))
+
+
+def _plan_of(units: Column) -> Column:
+    """PLAN of the (first, unit, rank) of an organisation."""
+    return F.map_from_entries(
+        F.transform(
+            F.array_sort(units),
+            lambda x, i: F.struct(
+                x["unit"].alias("key"),
+                F.struct(x["rank"].alias("rank"), i.cast("int").alias("ord")).alias("value"),
+            ),
+        )
+    ).cast(PLAN)
+
+
+def org_states(policies: DataFrame, orgs: DataFrame, catalogue: Catalogue = BUILT_IN) -> DataFrame:
+    """(org_id, zero_retention, plan, route, deep_scan, rag_enabled) for every organisation, with the policies read once.
+
+    As in `org_plans` the first aggregate leaves one row per organisation and unit; policies that name no known detector
+    still count for the switches.
+    """
+    per_unit = (
+        policies.filter("enabled")
+        .select("*", F.posexplode_outer("patterns").alias("pos", "pattern"))
+        .withColumn("unit", unit_of(F.col("pattern"), catalogue)["unit"])
+        .groupBy("org_id", "unit")
+        .agg(
+            F.min(F.struct("created_at", "policy_id", "pos")).alias("first"),
+            F.max(rank(F.col("action"))).alias("rank"),
+            F.bool_or(F.col("route") == "selfhosted").alias("selfhosted"),
+            F.bool_or("deep_scan").alias("deep_scan"),
+            F.bool_or("rag_enabled").alias("rag_enabled"),
         )
-        .cast(PLAN)
-        .alias("plan")
+    )
+    states = per_unit.groupBy("org_id").agg(
+        F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("first", "unit", "rank"))).alias("units"),
+        *[F.bool_or(c).alias(c) for c in ("selfhosted", "deep_scan", "rag_enabled")],
+    )
+    return orgs.select("org_id", "zero_retention").join(states, "org_id", "left").select(
+        "org_id",
+        "zero_retention",
+        F.when(F.size("units") > 0, _plan_of(F.col("units"))).alias("plan"),
+        F.when(F.col("selfhosted"), "selfhosted").otherwise("cloud").alias("route"),
+        F.coalesce("deep_scan", F.lit(False)).alias("deep_scan"),
+        F.coalesce("rag_enabled", F.lit(False)).alias("rag_enabled"),
     )
 
 

@@ -30,9 +30,9 @@ def _turns(t: Inputs):
     return t("request_headers").join(turns, "request_id").withColumn("messages", messages).drop("m")
 
 
-def _answers(t: Inputs):
+def _responses(t: Inputs):
     gathered = t("choices").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("idx", "content"))).alias("choices"))
-    return t("request_headers").select("request_id", "org_id").join(gathered, "request_id").select(
+    return gathered.select(
         "*",
         F.concat(F.lit("answer-"), F.col("request_id") % 5).alias("model"),
         F.when(F.col("request_id") % 4 != 0, F.col("request_id") + 100).alias("prompt_tokens"),
@@ -40,6 +40,10 @@ def _answers(t: Inputs):
     )
 
 
+def _answers(t: Inputs):
+    return t("request_headers").select("request_id", "org_id").join(_responses(t), "request_id")
+
+
 @register(
     "parse_chat_requests",
     "select request_id, model, stream, cast(null as double) is null as no_temp, cast(256 as bigint) as max_tokens, 'u-' || user_id as extra_user, "
@@ -144,9 +148,7 @@ def scan_outbound(t: Inputs):
 
 
 def _usage(t: Inputs):
-    planned = _turns(t).join(A.broadcast_if_small(A.org_states(t("policies"), t("orgs"))), "org_id", "left")
-    scanned = A.scan_inbound(planned, t("policies"))
-    return A.usage_rows(scanned, A.scan_outbound(_answers(t), t("policies")), t("orgs"))
+    return A.usage_rows(_turns(t), _responses(t), t("policies"), t("orgs"))
 
 
 @register("usage_log_rows", _PIPELINE + "select * from usage_rows", _READS)
