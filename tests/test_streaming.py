@@ -235,6 +235,48 @@ def test_counters_add_up_in_any_order(spark, tmp_path):
     assert admitted(got) == admitted(whole)
 
 
+def test_admission_goes_on_after_restarts(spark, tmp_path):
+    """Files in no order, a restart, a new checkpoint over the old counters: as many pass as in one go, and the folders
+    that a batch reads do not become more."""
+    rnd = random.Random(6)
+    rows = [{"log_id": i, "org_id": rnd.choice([1, 1, 1, 2]), "created_at": f"2024-01-0{rnd.randint(1, 3)}T{rnd.randint(0, 23):02d}:{i % 60:02d}:00Z"} for i in range(1400)]
+    parts = [rows[i::14] for i in range(14)]
+    src, more = tmp_path / "in", tmp_path / "more"
+    src.mkdir(), more.mkdir()
+    schema = "log_id long, org_id long, created_at timestamp"
+    orgs = spark.createDataFrame([(1, "free"), (2, "enterprise")], "org_id long, plan string")
+    decisions, counts = str(tmp_path / "decisions"), str(tmp_path / "counts")
+    go = lambda folder, cp: finish(SC.admit(read_json(spark, folder, schema), orgs, decisions, counts, every=3), tmp_path, cp)
+    write_json(src, parts[:4])
+    go(src, "cp")
+    write_json(src, parts[:10])
+    go(src, "cp")  # a restart
+    write_json(more, parts[10:])
+    go(more, "cp2")  # a new checkpoint
+    got, whole = spark.read.parquet(decisions), quota_decisions(spark.createDataFrame(rows).withColumn("created_at", F.to_timestamp("created_at")), orgs)
+    assert got.count() == len(rows) and got.select("log_id").distinct().count() == len(rows)
+    admitted = lambda df: sorted(map(tuple, df.filter("admitted").groupBy("org_id", F.to_date("created_at")).count().collect()))
+    assert admitted(got) == admitted(whole) and dict(((o, d), n) for o, d, n in admitted(got)).get((1, admitted(got)[0][1])) == 200
+    assert {r["used"] for r in got.filter("org_id = 1 and not admitted").collect()} == {200}
+    for run in os.listdir(counts):
+        assert len(os.listdir(f"{counts}/{run}")) <= 2 * 3 + 3
+
+
+def test_counters_of_a_repeated_batch(spark, tmp_path):
+    """A batch that failed after any of its writes is done again, and nothing is counted twice; old counters expire."""
+    day = lambda n, org=1: spark.sql(f"select cast({org} as bigint) as org_id, date'2024-01-01' as day, cast({n} as bigint) as requests")
+    kept = SC.Counters(spark, str(tmp_path / "counts"), "a", every=2)
+    for b in range(7):
+        for _ in range(2):
+            before = kept.before(b).collect()
+            assert [r["requests"] for r in before] == ([sum(range(1, b + 1))] if b else [])
+            kept.add(day(b + 1).unionByName(day(5, "null")), b)
+    after = SC.Counters(spark, str(tmp_path / "counts"), "b", every=1, expires="0 seconds")
+    assert [(r["org_id"], r["requests"]) for r in after.before(0).collect()] == [(1, 28)]
+    after.add(day(1), 0)
+    assert after.before(1).count() == 0
+
+
 STREAMS = ["stream_ingest_events", "stream_fan_out", "stream_redact", "stream_quota", "stream_admit", "stream_daily_usage"]
 
 
