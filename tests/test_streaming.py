@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import random
-from dataclasses import astuple
 
 import pytest
 from hypothesis import given, settings
@@ -20,7 +19,7 @@ from cloakwork.sources.frames import content_frame, finish_frame
 from cloakwork.streaming import answers as SA
 from cloakwork.streaming import counters as SC
 from cloakwork.sources.frames import parse_frames
-from cloakwork.streaming.pending import Held, closed, cut_events, merged_spans, redacted, release
+from cloakwork.streaming.pending import Answer, Event, abandoned, events_of, given_out, in_turn, merged_spans, read_event, release
 
 from .conftest import policy_rows
 
@@ -37,11 +36,11 @@ def text_of(out):
 
 
 def feed(held, pieces, labels):
-    return [o for p in pieces for o in redacted(held, cut_events(held, p), labels)]
+    return [o for p in pieces for o in given_out(held, events_of(held, p), labels)]
 
 
 def test_value_split_over_two_frames():
-    out = feed(Held(), [frame("mail me at jane@ac", id="1", model="m"), frame("me.co now"), frame(finish="stop"), "data: [DONE]\n\n"], ["EMAIL"])
+    out = feed(Answer(), [frame("mail me at jane@ac", id="1", model="m"), frame("me.co now"), frame(finish="stop"), "data: [DONE]\n\n"], ["EMAIL"])
     assert text_of(out) == "mail me at [REDACTED:EMAIL] now"
     assert [k for k, _, _ in out] == ["content", "finish", "done"]
     body = json.loads(out[1][2][6:])
@@ -51,17 +50,28 @@ def test_value_split_over_two_frames():
 def test_clean_text_passes_and_other_frames_keep_their_place():
     role = 'data: {"choices":[{"delta":{"role":"assistant"}}]}\n\n'
     number = 'data: {"choices":[{"delta":{"content":5}}]}\n\n'
-    out = feed(Held(), [": comment\n\n", role, frame("hello world"), "data: {oops\n\n", number, "data: [DONE]\n\n", frame("too late")], ["EMAIL"])
+    out = feed(Answer(), [": comment\n\n", role, frame("hello world"), "data: {oops\n\n", number, "data: [DONE]\n\n", frame("too late")], ["EMAIL"])
     assert [(k, t) for k, t, _ in out] == [("raw", None), ("raw", None), ("raw", None), ("content", "hello world"), ("done", None)]
     assert out[1][2] == "data: {oops\n\n"
 
 
 def test_source_that_just_ends():
-    held = Held()
+    held = Answer()
     assert not feed(held, [frame("mail a@b.co") + "data: half"], ["EMAIL"])
-    out = list(closed(held, ["EMAIL"]))
+    out = list(given_out(held, abandoned(held), ["EMAIL"]))
     assert [(k, t) for k, t, _ in out] == [("content", "mail [REDACTED:EMAIL]"), ("raw", None), ("done", None)]
-    assert not list(closed(held, ["EMAIL"]))
+    assert out[1][2] == "data: half\n\n"
+    assert not list(given_out(held, abandoned(held), ["EMAIL"]))
+
+
+def test_pieces_wait_for_their_turn():
+    held = Answer()
+    assert list(in_turn(held, [(2, "c"), (3, "d"), (2, "again")])) == []
+    assert list(in_turn(held, [(1, "b"), (0, "a")])) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    assert list(in_turn(held, [(3, "again"), (6, frame(" b@c.co")), (5, frame("mail"))])) == [] and held.due == 4
+    out = list(given_out(held, abandoned(held), ["EMAIL"]))  # piece 4 never came
+    assert text_of(out) == "mail [REDACTED:EMAIL]" and out[-1][0] == "done"
+    assert list(in_turn(Answer(None), [(90, "b"), (7, "a")])) == [(7, "a"), (90, "b")]
 
 
 def test_the_cut_never_goes_through_a_finding():
@@ -90,10 +100,10 @@ def test_any_chunking_equals_masking_the_whole(parts, sizes, raw_size):
         pieces.append(text[at : at + sizes[i % len(sizes)]])
         at, i = at + sizes[i % len(sizes)], i + 1
     raw = "".join(frame(p) for p in pieces) + frame(finish="stop") + "data: [DONE]\n\n"
-    held, out = Held(), []
+    held, out = Answer(), []
     for k in range(0, len(raw), raw_size):  # network pieces do not respect event borders
         out += feed(held, [raw[k : k + raw_size]], LABELS)
-        held = Held(*astuple(held))
+        held = Answer.of(*held.kept())
     assert text_of(out) == mask_all(text, LABELS)
 
 
@@ -122,6 +132,23 @@ def test_only_text_is_a_delta(spark):
     assert [(r["content"], r["frame_id"], r["passthrough"]) for r in rows] == [(None, None, True), ("5", "7", False), (None, None, True), (None, None, True)]
 
 
+def test_both_readings_of_a_payload_agree(spark):
+    """Payloads read in the state of a stream, and as columns."""
+    values = ['"t"', '""', "null", "5", "true", "[]", "{}", '["t"]', '{"content":"t"}']
+    payloads = [f'{{"choices":[{{"delta":{{"content":{v}}},"finish_reason":{w}}}],"id":{v},"model":{w}}}' for v in values for w in values]
+    payloads += [f'{{"choices":{v}}}' for v in values] + [f'{{"choices":[{v}]}}' for v in values] + [*values, "", "{", "[DONE]", "[DONE] ", "x"]
+    payloads += ['{"choices":[{"delta":{"content":"a"}},{"delta":{"content":"b"}}]}', '{"choices":[{"delta":{"content":"\\u00e9\\n"}}]}']
+    rows = parse_frames(spark.createDataFrame([(i, f"data: {p}") for i, p in enumerate(payloads)], "i int, raw string"), "raw").collect()
+    assert len(rows) == len(payloads)
+    for r in rows:
+        e = read_event(payloads[r["i"]].strip())
+        kinds = [k for k, _ in e.follow]
+        assert (e.ends, "raw" in kinds, e.text) == (r["done"], r["passthrough"], r["content"]), payloads[r["i"]]
+        assert [w for k, w in e.follow if k == "finish"] == ([r["finish"]] if r["finish"] is not None else []), payloads[r["i"]]
+        assert e.head == (r["frame_id"], r["model"]), payloads[r["i"]]
+    assert isinstance(e, Event)
+
+
 def write_json(folder, batches):
     """One file per micro-batch; files are read in the order of their times."""
     for i, rows in enumerate(batches):
@@ -169,6 +196,35 @@ def test_stream_redact_over_micro_batches(spark, tmp_path):
     assert whole == {s: t if s == "s5" else mask_all(t, ["EMAIL", "SSN"]) for s, t in texts.items()}
 
 
+def test_pieces_dealt_at_random_over_micro_batches(spark, tmp_path):
+    """Pieces cut anywhere, out of order over ten micro-batches, some twice, some after the end marker, with a restart in
+    between: the texts are those of the finished answers."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(8):
+        text = " . ".join(rnd.choice(["a@b.co", "123-45-6789", "word", "été", "😀"]) for _ in range(30))
+        raw = "".join(frame(text[k : k + 13]) for k in range(0, len(text), 13)) + frame(finish="stop") + "data: [DONE]\n\n" + frame("late")
+        cuts = sorted({0, len(raw), *rnd.sample(range(len(raw)), 25)})
+        rows += [{"stream_id": f"s{i % 4}", "org_id": 1 + i // 4, "seq": n, "raw": raw[a:b]} for n, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    schema = "stream_id string, org_id long, seq long, raw string"
+    policies = policy_rows(spark, (1, ["email"], "redact"), (1, ["ssn"], "flag"), (2, ["ssn"], "redact"))
+    want = {(r["stream_id"], r["org_id"]): r["text"] for r in SA.redact_finished(spark.createDataFrame(rows, schema), policies).collect()}
+    rnd.shuffle(rows)
+    batches = [rows[k::10] for k in range(10)]
+    batches[9] = batches[9] + batches[2][:5]
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    for some in (batches[:6], batches):
+        write_json(src, some)
+        for org in (1, 2):  # a sink of its own for each organisation, as the frames given out do not name it
+            frames = read_json(spark, src, schema).filter(F.col("org_id") == org)
+            finish(SA.stream_redact(frames, policies).writeStream.format("parquet").option("path", f"{out}{org}"), tmp_path, f"cp{org}")
+    for (sid, org), text in want.items():
+        got = spark.read.parquet(f"{out}{org}").filter(F.col("stream_id") == sid).orderBy("seq", "part").collect()
+        assert "".join(r["text"] for r in got if r["kind"] == "content") == text
+        assert [r["kind"] for r in got][-2:] == ["finish", "done"] and text
+
+
 def test_ingest_writes_events_and_alerts_once(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
