@@ -75,10 +75,15 @@ def per_day(facts: DataFrame, name: str, as_of: str, days: int) -> DataFrame:
 
 def daily_usage(usage: DataFrame, alerts: DataFrame, orgs: DataFrame, as_of: str, days: int = 10) -> DataFrame:
     """Zero-filled requests and incidents per organisation and day."""
+    return usage_series(per_day(usage, "queries", as_of, days), per_day(alerts, "incidents", as_of, days), orgs, as_of, days)
+
+
+def usage_series(queries: DataFrame, incidents: DataFrame, orgs: DataFrame, as_of: str, days: int = 10) -> DataFrame:
+    """`daily_usage` from counts per organisation and day: (org_id, day, queries) and (org_id, day, incidents)."""
     return (
         day_series(orgs, as_of, days)
-        .join(per_day(usage, "queries", as_of, days), ["org_id", "day"], "left")
-        .join(per_day(alerts, "incidents", as_of, days), ["org_id", "day"], "left")
+        .join(queries, ["org_id", "day"], "left")
+        .join(incidents, ["org_id", "day"], "left")
         .select("org_id", "day", day_text("day").alias("date"), _zero("queries"), _zero("incidents"))
     )
 
