@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,21 @@ def chunk_documents(docs: DataFrame, text_col: str, max_chars: int = CHUNK_CHARS
     return docs.select(*keep, F.posexplode(cut(F.col(text_col))).alias("chunk_index", "content"))
 
 
+class _Chunks:
+    """The table function: a row per chunk of one text."""
+
+    def eval(self, text: str, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> Iterator[tuple[int, str]]:
+        yield from enumerate([] if text is None else chunk_text(text, max_chars, overlap))
+
+
+def register_chunks(spark: SparkSession, name: str = "chunks") -> str:
+    """Makes chunking a table function of SQL: `from docs, lateral chunks(text [, max_chars, overlap])` gives
+    (chunk_index, content) beside the row, as `chunk_documents` does. A text without content gives no row, behind a
+    left join either: Spark runs table functions in Python as inner ones."""
+    spark.udtf.register(name, F.udtf(_Chunks, returnType="chunk_index int, content string", useArrow=True))
+    return name
+
+
 def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list], dim: int, text_col: str = "content", batch: int = 256) -> DataFrame:
     """Adds `embedding` from a user function on lists of texts; the vectors must match in number and length."""
     schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])

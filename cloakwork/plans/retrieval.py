@@ -39,6 +39,13 @@ def chunk_documents(t: Inputs):
     return _chunks(t)
 
 
+@register("chunk_documents_sql", _CHUNKS)
+def chunk_documents_sql(t: Inputs):
+    cut = G.register_chunks(t.spark, "cloakwork_chunks")
+    docs = spread(t("documents").select("doc_id", "text"))
+    return t.spark.sql(f"select doc_id, chunk_index, content from {{docs}}, lateral {cut}(text)", docs=docs)
+
+
 def _profile(texts: list[str]) -> list[list[float]]:
     """A stand-in embedder: a few letter counts."""
     return [[float(len(x)), float(x.count(" ")), float(x.count("a")), float(x.count("e"))] for x in texts]

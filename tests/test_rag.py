@@ -180,3 +180,16 @@ def test_context_goes_first_and_only_where_wanted(spark):
     assert got[1][0]["role"] == "system" and got[1][0]["content"].endswith("general knowledge.\n\n[1] one\n\n[2] two\n\n")
     assert len(got[1]) == 5 and len(got[2]) == 4 and len(got[3]) == 4
     assert reqs.select(G.latest_user_message(F.col("messages"))).first()[0] == "q"
+
+
+def test_chunks_in_sql(spark):
+    """The table function against the operator: limits of its own, texts without content, a left join."""
+    name = G.register_chunks(spark)
+    texts = [None, "", "  \n ", "one two three four five six " * 30, "é" * 700, "x " * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for args, limits in (("", ()), (", 50, 10", (50, 10)), (", overlap => 5, max_chars => 60", (60, 5))):
+        got = spark.sql(f"select doc_id, chunk_index, content from {{docs}}, lateral {name}(text{args})", docs=docs)
+        want = G.chunk_documents(docs, "text", *limits)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("doc_id", "chunk_index", "content").collect()))
+    outer = spark.sql(f"select distinct doc_id from {{docs}} left join lateral {name}(text)", docs=docs)
+    assert sorted(r["doc_id"] for r in outer.collect()) == [3, 4, 5]
