@@ -6,14 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import trim_space
+from ..functions.spans import let
 
 DONE = "[DONE]"
 
 
-def _text_at(body: str, path: str) -> Column:
+_CONTENT = "$.choices[0].delta.content"
+
+
+def _text_at(body: Column, path: str) -> Column:
     """The text at a path of a parsed payload; null for anything but text."""
-    value = F.try_variant_get(F.col(body), path, "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.col(body), path, "string"))
+    value = F.try_variant_get(body, path, "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(body, path, "string"))
+
+
+def _payloads(raw: Column) -> Column:
+    """array<string>: the payload of each event of the raw text, null where an event has none."""
+    return F.transform(
+        F.split(raw, "\n\n"),
+        lambda event: trim_space(F.substr(F.get(F.filter(F.split(event, "\r?\n"), lambda x: x.startswith("data:")), F.lit(0)), F.lit(6))),
+    )
+
+
+def answer_text(raw: Column) -> Column:
+    """struct<found, text> of the events of a whole answer: whether any has a text delta, and the deltas up to the end
+    marker put together."""
+    read = F.transform(
+        _payloads(raw),
+        lambda p: F.struct((p == DONE).alias("done"), let(F.when(p != DONE, F.try_parse_json(p)), lambda body: _text_at(body, _CONTENT)).alias("content")),
+    )
+
+    def joined(events: Column) -> Column:
+        end = F.array_position(F.transform(events, lambda e: e["done"]), True)
+        upto = F.when(end > 0, F.slice(events, F.lit(1), end.cast("int"))).otherwise(events)
+        found = F.exists(events, lambda e: e["content"].isNotNull())
+        return F.struct(F.coalesce(found, F.lit(False)).alias("found"), F.array_join(F.transform(upto, lambda e: e["content"]), "").alias("text"))
+
+    return let(read, joined)
 
 
 def parse_frames(df: DataFrame, raw_col: str) -> DataFrame:
@@ -24,12 +53,8 @@ def parse_frames(df: DataFrame, raw_col: str) -> DataFrame:
     `passthrough` what is forwarded as it is: frames that do not parse, and frames with neither delta nor reason.
     """
     keep = [c for c in df.columns if c != raw_col]
-    lines = F.transform(
-        F.split(raw_col, "\n\n"),
-        lambda event: F.get(F.filter(F.split(event, "\r?\n"), lambda x: x.startswith("data:")), F.lit(0)),
-    )
-    events = df.select(*keep, F.posexplode(lines).alias("part", "_line")).filter("_line is not null")
-    parsed = events.withColumn("payload", trim_space(F.substr("_line", F.lit(6)))).withColumn("done", F.col("payload") == DONE)
+    events = df.select(*keep, F.posexplode(_payloads(F.col(raw_col))).alias("part", "payload")).filter("payload is not null")
+    parsed = events.withColumn("done", F.col("payload") == DONE)
     # one parse per frame; a payload that is no JSON object gives nulls, which is what passing through means
     body = parsed.withColumn("_b", F.when(~F.col("done"), F.try_parse_json("payload")))
     found = body.select(
@@ -37,10 +62,10 @@ def parse_frames(df: DataFrame, raw_col: str) -> DataFrame:
         "part",
         "payload",
         "done",
-        _text_at("_b", "$.choices[0].delta.content").alias("content"),
-        _text_at("_b", "$.choices[0].finish_reason").alias("finish"),
-        _text_at("_b", "$.id").alias("frame_id"),
-        _text_at("_b", "$.model").alias("model"),
+        _text_at(F.col("_b"), _CONTENT).alias("content"),
+        _text_at(F.col("_b"), "$.choices[0].finish_reason").alias("finish"),
+        _text_at(F.col("_b"), "$.id").alias("frame_id"),
+        _text_at(F.col("_b"), "$.model").alias("model"),
     )
     return found.withColumn("passthrough", ~F.col("done") & F.col("content").isNull() & F.col("finish").isNull())
 

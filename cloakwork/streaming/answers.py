@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.spans import coalesce_spans, let, mask, raw_findings
 from ..operators.policies import org_plans, outbound_orgs
 from ..plans.sizing import broadcast_if_small
-from ..sources.frames import parse_frames
+from ..sources.frames import answer_text
 from .pending import Answer, abandoned, events_of, given_out, in_turn
 
 _STATE = (
@@ -93,14 +93,9 @@ def redact_finished(frames: DataFrame, policies: DataFrame) -> DataFrame:
     does there.
     """
     pieces = frames.groupBy("stream_id", "org_id").agg(F.array_sort(F.collect_list(F.struct("seq", "raw"))).alias("d"))
-    whole = pieces.select("stream_id", "org_id", F.array_join(F.transform("d", lambda x: x["raw"]), "").alias("raw"))
-    events = parse_frames(whole, "raw").filter("content is not null or done").select("stream_id", "org_id", "part", "content", "done")
-    texts = events.groupBy("stream_id", "org_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("part", "content")))).alias("d"),
-        F.min(F.when(F.col("done"), F.col("part"))).alias("end"),
-    )
-    before = F.filter("d", lambda x: F.col("end").isNull() | (x["part"] < F.col("end")))
-    joined = texts.filter(F.size("d") > 0).select("stream_id", "org_id", F.array_join(F.transform(before, lambda x: x["content"]), "").alias("text"))
+    # found out once per answer; an outer explode keeps the filter from being pushed below it, which would read everything twice
+    read = answer_text(F.array_join(F.transform("d", lambda x: x["raw"]), ""))
+    joined = pieces.select("stream_id", "org_id", F.explode_outer(F.array(read)).alias("_a")).filter("_a.found").select("stream_id", "org_id", "_a.text")
     planned = with_outbound(joined, policies)
     masked = let(raw_findings(F.col("text"), F.col("plan")), lambda raw: mask(F.col("text"), coalesce_spans(raw)))
     return planned.select("stream_id", "org_id", masked.alias("text"))
