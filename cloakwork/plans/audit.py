@@ -21,6 +21,19 @@ def scan_table(t: Inputs):
     return rows.filter("c_nationkey = 7")
 
 
+@register(
+    "read_org_log",
+    "select log_id, org_id, redactions, strftime(created_at, '%Y-%m-%d') as day from usage_logs where org_id = 7",
+    "usage_logs",
+)
+def read_org_log(t: Inputs):
+    """The whole log in the layout of stored tables, and one organisation read from it."""
+    path = fresh_path(t.spark, "usage_logs")
+    TB.append(t("usage_logs").withColumn("day", F.date_format("created_at", "yyyy-MM-dd")), path, ids=("log_id",))
+    rows = TB.read_table(t.spark, path, ["log_id", "org_id", "redactions", "day"], org=7)
+    return rows.withColumn("day", F.col("day").cast("string"))
+
+
 def _turns(t: Inputs):
     """Requests with their messages in order; a conversation's turns are gathered once, at the source."""
     turns = t("messages").groupBy(F.col("conv_id").alias("request_id")).agg(
@@ -169,7 +182,7 @@ def request_alerts(t: Inputs):
 @register("write_usage_log", _PIPELINE + "select log_id, org_id, day, model, redactions, blocked, response_body from usage_rows", _READS)
 def write_usage_log(t: Inputs):
     path = fresh_path(t.spark, "usage_logs")
-    TB.append(_usage(t), path)
+    TB.append(_usage(t), path, ids=("log_id",))
     cols = ["log_id", "org_id", "day", "model", "redactions", "blocked", "response_body"]
     return TB.read_table(t.spark, path, cols).withColumn("day", F.col("day").cast("string"))
 
