@@ -162,8 +162,8 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return rows[place < k], columns[place < k]
 
 
-def _best_pairs(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Per query the best k chunks a task has seen, over all its block pairs."""
+def _best_pairs(frames: Iterator[pd.DataFrame], k: int, vectors: Callable | None = None) -> Iterator[pd.DataFrame]:
+    """Per query the best k chunks a task has seen, over all its block pairs; `vectors` reads the vectors of a block."""
     held: list[pd.DataFrame] = []
     size = 0
 
@@ -176,7 +176,7 @@ def _best_pairs(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame
             if r.dim != r.q_dim:
                 continue
             ids, q_ids = np.asarray(r.ids), np.asarray(r.q_ids)
-            scores = _matrix(r.q_data, r.dim) @ _matrix(r.data, r.dim).T
+            scores = _matrix(r.q_data, r.dim) @ (vectors(r) if vectors else _matrix(r.data, r.dim)).T
             rows, columns = _top(scores, ids, k)
             held.append(pd.DataFrame({"query_id": q_ids[rows], "chunk_id": ids[columns], "score": scores[rows, columns]}))
             size += len(rows)
@@ -190,10 +190,10 @@ def _best_pairs(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame
         yield best()
 
 
-def _top_pairs(chunk_blocks: DataFrame, query_blocks: DataFrame, keys: list[str], k: int) -> DataFrame:
+def _top_pairs(chunk_blocks: DataFrame, query_blocks: DataFrame, keys: list[str], k: int, vectors: Callable | None = None) -> DataFrame:
     q = query_blocks.select(*keys, F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"))
     pairs = chunk_blocks.join(broadcast_if_small(q), keys).select("ids", "dim", "data", "q_ids", "q_dim", "q_data")
-    return pairs.mapInPandas(lambda frames: _best_pairs(frames, k), _HIT)
+    return pairs.mapInPandas(lambda frames: _best_pairs(frames, k, vectors), _HIT)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from ..functions.catalog import CHUNK_CHARS, CHUNK_OVERLAP
 from ..functions.vectors import cosine, format_vector, parse_vector
 from ..operators import rag as G
+from ..operators.vector_index import VectorIndex
 from .audit import _turns
 from .registry import Inputs, register
-from .session import spread
+from .session import fresh_path, spread
 
 _WS = r"[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -94,6 +95,28 @@ def approx_top_k(t: Inputs):
     return G.approx_top_k(t("rag_chunks"), t("rag_queries"))
 
 
+def _indexed(t: Inputs):
+    """The organisations' chunks in an index: learnt from all of them, filled in two appends."""
+    chunks = t("rag_chunks")
+    index = VectorIndex.create(chunks, fresh_path(t.spark, "vector-index"))
+    for part in (0, 1):
+        index.append(chunks.filter(F.col("chunk_id") % 2 == part), str(part))
+    return index
+
+
+@register("indexed_top_k")
+def indexed_top_k(t: Inputs):
+    return _indexed(t).search(t("rag_chunks"), t("rag_queries"))
+
+
+@register("indexed_top_k_all", _TOP, "rag_chunks rag_queries")
+def indexed_top_k_all(t: Inputs):
+    """With every chunk a candidate, the search by the index has to be the exact one."""
+    chunks = t("rag_chunks")
+    most = chunks.groupBy("org_id").count().agg(F.max("count")).first()[0] or 1
+    return _indexed(t).search(chunks, t("rag_queries"), candidates=most).withColumn("score", F.round("score", 6))
+
+
 @register(
     "hits_with_title",
     f"with h as ({_TOP}) select query_id, chunk_id, c.document_id, title, content, h.score from h join rag_chunks c using (chunk_id) join rag_documents d on d.document_id = c.document_id",

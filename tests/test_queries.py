@@ -31,8 +31,8 @@ def test_query(name, spark, sf_dir, con):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_only_the_approximate_search_has_no_sql():
-    assert set(load_queries()) - set(SQL) == {"approx_top_k"}
+def test_only_the_approximate_searches_have_no_sql():
+    assert set(load_queries()) - set(SQL) == {"approx_top_k", "indexed_top_k"}
 
 
 def test_entry(spark):
