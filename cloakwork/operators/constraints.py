@@ -9,6 +9,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.sizing import broadcast_if_small
+
 #: Allowed values per column (fixed values of the data model).
 ALLOWED = {
     "plan": ("free", "team", "enterprise"),
@@ -67,7 +69,7 @@ def vector_length(column: str = "embedding", dim: int = EMBEDDING_DIM) -> Check:
 
 
 def violations(df: DataFrame, id_col: str, rules: list[Rule]) -> DataFrame:
-    """(rule, id): one row per broken rule and row.
+    """(rule, id): one row per broken rule and row. `violation_changes` tells what a change set does to this report.
 
     All row-local rules share one pass. A uniqueness rule finds the repeated values first, by counts, and only those
     meet the rows again.
@@ -81,9 +83,9 @@ def violations(df: DataFrame, id_col: str, rules: list[Rule]) -> DataFrame:
         elif isinstance(r, NotNull):
             local.append(F.when(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in r.columns]), F.lit(r.name)))
         elif isinstance(r, Unique):
-            rows = (df if r.where is None else df.filter(r.where)).dropna(subset=list(r.columns)).select(ident, *r.columns)
+            rows = (df if r.where is None else df.filter(r.where)).dropna(subset=list(r.columns)).select(ident.alias("_id"), *r.columns)
             repeated = rows.groupBy(*r.columns).count().filter("count > 1").drop("count")
-            parts.append(rows.join(repeated, list(r.columns), "left_semi").select(F.lit(r.name).alias("rule"), "id"))
+            parts.append(rows.join(repeated, list(r.columns), "left_semi").select(F.lit(r.name).alias("rule"), F.col("_id").alias("id")))
         else:
             known = r.parent.select(F.col(r.parent_column).alias("_k"))
             rows = df.filter(F.col(r.column).isNotNull()).select(ident, F.col(r.column).alias("_k"))
@@ -94,6 +96,92 @@ def violations(df: DataFrame, id_col: str, rules: list[Rule]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+class Changed(NamedTuple):
+    """What a change set makes of a table: `before` is the table as it was, `ids` the changed ids, `old` and `new` the rows
+    with those ids before and after."""
+
+    before: DataFrame
+    id_col: str
+    ids: DataFrame
+    old: DataFrame
+    new: DataFrame
+
+    @property
+    def after(self) -> DataFrame:
+        return self.unchanged(self.before).unionByName(self.new)
+
+    def unchanged(self, rows: DataFrame) -> DataFrame:
+        return rows.join(broadcast_if_small(self.ids), self.id_col, "left_anti")
+
+
+def changed(before: DataFrame, id_col: str, upserts: DataFrame, deletes: DataFrame) -> Changed:
+    """The change set of whole rows that come or take a row's place (`upserts`) and of ids that go (`deletes`).
+
+    Ids are unique and not null in the table and in the change set; an id in both goes and comes again.
+    """
+    ids = upserts.select(id_col).unionByName(deletes.select(id_col)).distinct()
+    old = before.join(broadcast_if_small(ids), id_col, "left_semi").select(before.columns)
+    return Changed(before, id_col, ids, old, upserts.select(before.columns))
+
+
+def violation_changes(table: Changed, rules: list[Rule], parents: dict[str, Changed] | None = None) -> DataFrame:
+    """(rule, id, change): the violations that a change set brings (1) and ends (-1), so that the report of the whole
+    table after it is the report before it, plus these rows.
+
+    Row-local rules look at changed rows alone. A uniqueness rule looks at the rows that share a value with a changed row.
+    A foreign key looks up the values of changed rows, and the rows whose value a changed parent has: `parents` holds the
+    change sets of parent tables by rule name, and a rule without one takes its parent as unchanged. The table itself is
+    scanned for two narrow columns only; the values looked for are few, so the scan is filtered by a broadcast, or by the
+    Bloom filter that Spark makes of them when both sides are big, before anything is shuffled.
+    """
+    ident = F.col(table.id_col).cast("string").alias("id")
+    parts: list[DataFrame] = []
+
+    def put(rows: DataFrame, rule: str, sign: int) -> None:
+        parts.append(rows.select(F.lit(rule).alias("rule"), "id", F.lit(sign).alias("change")))
+
+    local = [r for r in rules if isinstance(r, (Check, NotNull))]
+    if local:
+        for rows, sign in ((table.new, 1), (table.old, -1)):
+            parts.append(violations(rows, table.id_col, local).withColumn("change", F.lit(sign)))
+    for r in rules:
+        if isinstance(r, Unique):
+            columns = list(r.columns)
+
+            def valued(rows: DataFrame, rule: Unique = r) -> DataFrame:
+                kept = rows if rule.where is None else rows.filter(rule.where)
+                return kept.dropna(subset=list(rule.columns)).select(table.id_col, *[c for c in rule.columns if c != table.id_col])
+
+            values = valued(table.old).unionByName(valued(table.new)).select(*columns).distinct()
+            was = valued(table.before).join(broadcast_if_small(values), columns, "left_semi")
+            now = table.unchanged(was).unionByName(valued(table.new))
+            for rows, sign in ((now, 1), (was, -1)):
+                repeated = rows.groupBy(*columns).count().filter("count > 1").drop("count")
+                put(rows.join(repeated, columns, "left_semi").select(ident), r.name, sign)
+        elif isinstance(r, Foreign):
+            parent = (parents or {}).get(r.name)
+
+            def pointing(rows: DataFrame, rule: Foreign = r) -> DataFrame:
+                return rows.filter(F.col(rule.column).isNotNull()).select(ident, F.col(rule.column).alias("_k"), F.col(table.id_col).alias("_id"))
+
+            def orphans(rows: DataFrame, known: DataFrame, rule: Foreign = r) -> DataFrame:
+                keys = known.select(F.col(rule.parent_column).alias("_k"))
+                # of the parent, only the values asked for
+                asked = keys.join(broadcast_if_small(rows.select("_k").distinct()), "_k", "left_semi")
+                return rows.join(asked, "_k", "left_anti")
+
+            put(orphans(pointing(table.new), parent.after if parent else r.parent), r.name, 1)
+            put(orphans(pointing(table.old), parent.before if parent else r.parent), r.name, -1)
+            if parent:  # children that stay as they are, of parents that come and go
+                moved = parent.old.unionByName(parent.new).select(F.col(r.parent_column).alias("_k")).distinct()
+                stay = pointing(table.before).join(broadcast_if_small(moved), "_k", "left_semi")
+                stay = stay.join(broadcast_if_small(table.ids.select(F.col(table.id_col).alias("_id"))), "_id", "left_anti")
+                put(orphans(stay, parent.after), r.name, 1)
+                put(orphans(stay, parent.before), r.name, -1)
+    both = reduce(DataFrame.unionByName, parts).groupBy("rule", "id").agg(F.sum("change").alias("change"))
+    return both.filter("change <> 0")
+
+
 def schema_rules(name: str, tables: dict[str, DataFrame], dim: int = EMBEDDING_DIM) -> list[Rule]:
     """The rules of one table of the data model; `tables` holds the tables that its foreign keys point to."""
 

@@ -339,8 +339,9 @@ _PLANTED = {
 _DIM = 64
 
 
-def _schema_sql() -> str:
-    """Each rule spelt out, apart from the rule objects of the operator."""
+def _schema_parts(tables: list[str], mark: str = "p_", parent: str = "") -> str:
+    """Each rule of these tables spelt out, apart from the rule objects of the operator; `mark` stands before the names of
+    the tables, `parent` before those that foreign keys point to."""
     lists = [
         ("orgs", "plan", "'free', 'team', 'enterprise'"), ("users", "role", "'Admin', 'Manager', 'User'"), ("users", "status", "'active', 'inactive', 'invited'"),
         ("api_keys", "scope", "'org', 'personal'"), ("policies", "action", "'redact', 'block', 'flag'"), ("policies", "route", "'cloud', 'selfhosted'"),
@@ -353,13 +354,20 @@ def _schema_sql() -> str:
         ("conversations", "org_id", "orgs"), ("conversations", "user_id", "users"), ("messages", "conv_id", "headers"), ("integrations", "org_id", "orgs"), ("rag_documents", "org_id", "orgs"),
         ("rag_chunks", "document_id", "rag_documents"), ("shadow_events", "org_id", "orgs"), ("invites", "user_id", "users"),
     ]
+    nulls = [("orgs", "name"), ("activity", "actor"), ("rag_documents", "title")]
     once = [("teams", "org_id,name", "true"), ("users", "org_id,email", "true"), ("api_keys", "key_hash", "true"), ("integrations", "org_id,slug", "true"), ("invites", "user_id", "accepted_at is null")]
-    parts = [f"select '{t}.{c}' as rule, cast({_PLANTED[t][0]} as varchar) as id from p_{t} where {c} not in ({v})" for t, c, v in lists]
-    parts += [f"select '{t}.{c}', cast({_PLANTED[t][0]} as varchar) from p_{t} where {c} is null" for t, c in (("orgs", "name"), ("activity", "actor"), ("rag_documents", "title"))]
-    parts += [f"select '{t}.{c}', cast({_PLANTED[t][0]} as varchar) from p_{t} where {c} is not null and {c} not in (select {c} from {p})" for t, c, p in parents]
-    parts += [f"select '{t}({c})', cast({_PLANTED[t][0]} as varchar) from (select *, count(*) over (partition by {c}) as n from p_{t} where {w}) where n > 1" for t, c, w in once]
-    parts.append(f"select 'embedding_dim', cast(chunk_id as varchar) from p_rag_chunks where len(embedding) <> {_DIM}")
-    return f"with {', '.join(f'p_{t} as ({sql})' for t, (_, sql) in _PLANTED.items())} " + " union all ".join(parts)
+    lists, nulls, parents, once = ([rule for rule in rules if rule[0] in tables] for rules in (lists, nulls, parents, once))
+    parts = [f"select '{t}.{c}' as rule, cast({_PLANTED[t][0]} as varchar) as id from {mark}{t} where {c} not in ({v})" for t, c, v in lists]
+    parts += [f"select '{t}.{c}', cast({_PLANTED[t][0]} as varchar) from {mark}{t} where {c} is null" for t, c in nulls]
+    parts += [f"select '{t}.{c}', cast({_PLANTED[t][0]} as varchar) from {mark}{t} where {c} is not null and {c} not in (select {c} from {parent}{p})" for t, c, p in parents]
+    parts += [f"select '{t}({c})', cast({_PLANTED[t][0]} as varchar) from (select *, count(*) over (partition by {c}) as n from {mark}{t} where {w}) where n > 1" for t, c, w in once]
+    if "rag_chunks" in tables:
+        parts.append(f"select 'embedding_dim', cast(chunk_id as varchar) from {mark}rag_chunks where len(embedding) <> {_DIM}")
+    return " union all ".join(parts)
+
+
+def _schema_sql() -> str:
+    return f"with {', '.join(f'p_{t} as ({sql})' for t, (_, sql) in _PLANTED.items())} " + _schema_parts(list(_PLANTED))
 
 
 @register("schema_violations", _schema_sql(), " ".join(["headers" if t == "conversations" else t for t in _PLANTED]))
@@ -373,3 +381,62 @@ def schema_violations(t: Inputs):
         planted = t.spark.sql(sql.replace(f" from {source}", f" from rules_{source}"))
         parts.append(K.violations(planted, ident, K.schema_rules(name, known, _DIM)))
     return reduce(DataFrame.unionByName, parts)
+
+
+# A change set per table: rows as they are with the planted ones in their place, some that come and some that go. The
+# columns of the rows as they are:
+_AS_THEY_ARE = {
+    "orgs": "org_id, name, plan",
+    "teams": "team_id, org_id, name",
+    "users": "user_id, org_id, team_id, role, status, email",
+    "api_keys": "key_id, org_id, user_id, scope, secret as key_hash",
+    "headers": "conv_id, org_id, user_id + 1 as user_id",
+    "messages": "message_id, conv_id, role",
+    "invites": "invite_id, user_id, accepted_at",
+}
+
+
+def _twice() -> dict[str, tuple[str, str, str]]:
+    """Table → (id, rows before, rows after), as SQL both engines run."""
+    made = {}
+    for name, columns in _AS_THEY_ARE.items():
+        ident, planted = _PLANTED["conversations" if name == "headers" else name]
+        made[name] = (ident, f"select {columns} from {name} where {ident} % 23 <> 1", f"select * from ({planted}) as planted where {ident} % 19 <> 2")
+    return made
+
+
+def _schema_changes_sql() -> str:
+    """The difference of two full runs."""
+    tables = ["conversations" if n == "headers" else n for n in _AS_THEY_ARE]
+    both = [f"{m}_{n} as ({sql})" for n, (_, was, now) in _twice().items() for m, sql in (("b", was), ("a", now))]
+    both += [f"{m}_conversations as (select * from {m}_headers)" for m in "ba"]
+    full = [f"{m} as ({_schema_parts(tables, f'{m}_', f'{m}_')})" for m in "ba"]
+    return (
+        f"with {', '.join(both)}, {', '.join(full)} select rule, id, cast(sum(change) as bigint) as change from "
+        "(select rule, id, 1 as change from a union all select rule, id, -1 from b) group by rule, id having sum(change) <> 0"
+    )
+
+
+@register("schema_violation_changes", _schema_changes_sql(), " ".join(_AS_THEY_ARE))
+def schema_violation_changes(t: Inputs):
+    """What change sets of tables and their parents add to the report of broken rules, and take from it. Tables and change
+    sets are written first, as they lie when changes arrive."""
+
+    def put(df: DataFrame) -> DataFrame:
+        path = fresh_path(t.spark, "rules")
+        df.write.parquet(path)
+        return t.spark.read.schema(df.schema).parquet(path)
+
+    sets, known = {}, {}
+    for name, (ident, was, now) in _twice().items():
+        base = put(t(name))
+        before, after = (put(t.spark.sql(sql.replace(f" from {name}", " from {base}"), base=base)) for sql in (was, now))
+        table = "conversations" if name == "headers" else name
+        sets[table] = K.changed(before, ident, put(after.exceptAll(before)), put(before.select(ident).join(after, ident, "left_anti")))
+        known[table] = before
+    parts = []
+    for name, change in sets.items():
+        rules = K.schema_rules(name, known)
+        parents = {r.name: sets[parent] for r in rules if isinstance(r, K.Foreign) for parent in sets if known[parent] is r.parent}
+        parts.append(K.violation_changes(change, rules, parents))
+    return reduce(DataFrame.unionByName, parts)

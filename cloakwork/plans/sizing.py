@@ -13,7 +13,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate; None where the session does not expose it."""
     try:
         return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # e.g. a remote session
+    except AttributeError:  # a remote session has no plan of the JVM at hand
         return None
 
 

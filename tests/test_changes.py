@@ -149,6 +149,48 @@ def test_rules(spark):
     assert rows(got) == sorted([("kind", "2"), ("named", "3"), ("uniq", "1"), ("uniq", "5"), ("fk", "3")], key=str)
 
 
+def test_violations_of_a_change_set_are_the_difference_of_two_full_runs(spark):
+    from collections import Counter
+
+    kid, mum = "id long, kind string, name string, ref long", "k long, org long"
+    rnd = random.Random(11)
+
+    def child(i):
+        return (i, rnd.choice(["a", "b", None]), rnd.choice(["x", "y", "z", None]), rnd.choice([*range(8), None]))
+
+    def check(kids, mums, kid_changes, mum_changes):
+        upserts, deletes = kid_changes
+        more, gone = mum_changes
+        parent = K.changed(spark.createDataFrame(mums, mum), "k", spark.createDataFrame(more, mum), spark.createDataFrame([(i,) for i in gone], "k long"))
+        table = K.changed(spark.createDataFrame(kids, kid), "id", spark.createDataFrame(upserts, kid), spark.createDataFrame([(i,) for i in deletes], "id long"))
+
+        def rules(of):
+            return [
+                K.one_of("kind", "kind", ("a",)), K.NotNull("named", ("name", "kind")), K.Unique("uniq", ("kind", "name")),
+                K.Unique("one_y", ("name",), F.col("kind") == "b"), K.Unique("id_too", ("id", "name")), K.Foreign("fk", "ref", of, "k"),
+            ]
+
+        def full(df, of):
+            return Counter(tuple(r) for r in K.violations(df, "id", rules(of)).collect())
+
+        after = {r[0]: r for r in kids if r[0] not in deletes} | {r[0]: r for r in upserts}
+        after_mums = {r[0]: r for r in mums if r[0] not in gone} | {r[0]: r for r in more}
+        was = full(spark.createDataFrame(kids, kid), spark.createDataFrame(mums, mum))
+        now = full(spark.createDataFrame(list(after.values()), kid), spark.createDataFrame(list(after_mums.values()), mum))
+        want = {key: now[key] - was[key] for key in now | was if now[key] != was[key]}
+        got = K.violation_changes(table, rules(parent.before), {"fk": parent})
+        assert {(r["rule"], r["id"]): r["change"] for r in got.collect()} == want
+        return want
+
+    kids, mums = [child(i) for i in range(25)], [(k, k) for k in range(0, 8, 2)]
+    some = check(kids, mums, ([child(i) for i in (1, 4, 9, 30, 31)], [9, 12, 13, 99]), ([(3, 3), (2, 9)], [0, 2, 77]))
+    assert {v for v in some.values()} == {1, -1}
+    assert check(kids, mums, ([], []), ([], [])) == {}
+    assert check(kids, mums, ([], []), ([(1, 1)], [4]))  # only the parent changes
+    check([], [], ([child(i) for i in range(6)], []), ([(1, 1)], []))
+    check(kids, mums, ([], [i for i in range(25)]), ([], [k for k, _ in mums]))
+
+
 def test_team_names_to_ids(spark):
     teams = spark.createDataFrame([(1, 10, "Core")], "org_id long, team_id long, name string")
     asked = spark.createDataFrame([(1, "Core"), (1, "New"), (1, " "), (2, "Core"), (1, "Core")], "org_id long, name string")
