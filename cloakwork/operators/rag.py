@@ -106,6 +106,8 @@ _HIT = "query_id bigint, chunk_id bigint, score double"
 BROADCAST_HITS = 500_000
 #: Rows of a block.
 BLOCK_ROWS = 1000
+#: How the number of a cell is kept in a block.
+_CELL = np.dtype("<u2")
 #: Best hits a task holds back before it hands them on.
 _HELD = 200_000
 
@@ -162,6 +164,24 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return rows[place < k], columns[place < k]
 
 
+def _top_near(asked: np.ndarray, given: np.ndarray, ids: np.ndarray, k: int, near: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, rows, columns) like `_top`, of the pairs alone whose cell is among those that the row looks into."""
+    looks = np.zeros((len(asked), int(max(near.max(), cells.max())) + 1), dtype=bool)
+    np.put_along_axis(looks, near.astype(np.int64), True, axis=1)
+    looked = looks[:, cells]
+    if looked.all():
+        scores = asked @ given.T
+        return scores, *_top(scores, ids, k)
+    scores = np.full(looked.shape, -np.inf)
+    for cell in np.unique(cells):
+        some, of = np.flatnonzero(looks[:, cell]), np.flatnonzero(cells == cell)
+        scores[np.ix_(some, of)] = asked[some] @ given[of].T
+    # a cosine that is not a number ranks behind all others, and before what was not looked into
+    rows, columns = _top(np.where(np.isnan(scores), -2.0, scores), ids, k)
+    found = looked[rows, columns]
+    return scores, rows[found], columns[found]
+
+
 def _best_pairs(frames: Iterator[pd.DataFrame], k: int, vectors: Callable | None = None) -> Iterator[pd.DataFrame]:
     """Per query the best k chunks a task has seen, over all its block pairs; `vectors` reads the vectors of a block."""
     held: list[pd.DataFrame] = []
@@ -176,8 +196,12 @@ def _best_pairs(frames: Iterator[pd.DataFrame], k: int, vectors: Callable | None
             if r.dim != r.q_dim:
                 continue
             ids, q_ids = np.asarray(r.ids), np.asarray(r.q_ids)
-            scores = _matrix(r.q_data, r.dim) @ (vectors(r) if vectors else _matrix(r.data, r.dim)).T
-            rows, columns = _top(scores, ids, k)
+            asked, given = _matrix(r.q_data, r.dim), vectors(r) if vectors else _matrix(r.data, r.dim)
+            if hasattr(r, "near"):
+                scores, rows, columns = _top_near(asked, given, ids, k, np.frombuffer(r.q_near, _CELL).reshape(len(q_ids), -1), np.frombuffer(r.near, _CELL))
+            else:
+                scores = asked @ given.T
+                rows, columns = _top(scores, ids, k)
             held.append(pd.DataFrame({"query_id": q_ids[rows], "chunk_id": ids[columns], "score": scores[rows, columns]}))
             size += len(rows)
             if size > _HELD:
@@ -191,8 +215,9 @@ def _best_pairs(frames: Iterator[pd.DataFrame], k: int, vectors: Callable | None
 
 
 def _top_pairs(chunk_blocks: DataFrame, query_blocks: DataFrame, keys: list[str], k: int, vectors: Callable | None = None) -> DataFrame:
-    q = query_blocks.select(*keys, F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"))
-    pairs = chunk_blocks.join(broadcast_if_small(q), keys).select("ids", "dim", "data", "q_ids", "q_dim", "q_data")
+    parts = [c for c in ("ids", "dim", "data", "near") if c in chunk_blocks.columns]
+    q = query_blocks.select(*keys, *[F.col(c).alias(f"q_{c}") for c in parts])
+    pairs = chunk_blocks.join(broadcast_if_small(q), keys).select(*parts, *[f"q_{c}" for c in parts])
     return pairs.mapInPandas(lambda frames: _best_pairs(frames, k, vectors), _HIT)
 
 
@@ -235,22 +260,19 @@ def centres(chunks: DataFrame) -> DataFrame:
 
 
 def _cells(blocks: DataFrame, around: DataFrame, share: float) -> DataFrame:
-    """Blocks dealt into cells: each vector goes to the `share` of its organisation's cells closest to it, one at least."""
-    schema = T.StructType([f for f in blocks.schema.fields if f.name == "org_id"] + [T.StructField("cell", T.IntegerType()), *_BLOCK])
-    joined = blocks.join(broadcast_if_small(around), ["org_id", "dim"]).select("org_id", "ids", "dim", "data", "centres")
+    """Blocks with `near`, the numbers of the cells each vector is dealt to: the `share` of its organisation's cells closest
+    to it, one at least. A vector stays in its block, however many its cells are."""
+    schema = T.StructType([*blocks.schema.fields, T.StructField("near", T.BinaryType())])
+    joined = blocks.join(broadcast_if_small(around), ["org_id", "dim"]).select(*blocks.columns, "centres")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                unit, ids = _matrix(r.data, r.dim), np.asarray(r.ids)
+            for at, r in enumerate(frame.itertuples(index=False)):
+                unit = _matrix(r.data, r.dim)
                 middle = np.nan_to_num(_unit(np.array([list(c) for c in r.centres], dtype=np.float64)))
                 near = max(1, int(np.ceil(share * len(middle))))
                 order = np.argsort(-np.nan_to_num(unit @ middle.T), axis=1, kind="stable")[:, :near]
-                for cell in np.unique(order):
-                    of = np.flatnonzero((order == cell).any(axis=1))
-                    rows.append((r.org_id, int(cell), ids[of].tolist(), r.dim, unit[of].tobytes()))
-            yield pd.DataFrame(rows, columns=schema.names)
+                yield frame.iloc[at : at + 1, :-1].assign(near=[order.astype(_CELL).tobytes()])
 
     return joined.mapInPandas(run, schema)
 
@@ -260,13 +282,14 @@ def approx_top_k(chunks: DataFrame, queries: DataFrame, k: int | None = TOP_K, s
     exact. With a share of 1 all cells are looked into, and the answer is the exact one.
 
     A query that finds fewer than k hits there is answered by the exact search instead, so k hits come wherever the
-    organisation has k. A crowded cell is many blocks, so it is no hot spot.
+    organisation has k. Blocks meet whole, and within a pair of blocks each cell is scored for the queries that look into
+    it: queries are not copied per cell, and a crowded cell is no hot spot.
     """
     k = bounded_k(k)
     around = centres(chunks)
     c = _cells(pack(chunks, "chunk_id", "embedding", ["org_id"]), around, 0.0)
     q = _cells(pack(queries, "query_id", "embedding", ["org_id"]), around, share)
-    found = _ranked(_top_pairs(c, q, ["org_id", "cell"], k), k)
+    found = _ranked(_top_pairs(c, q, ["org_id"], k), k)
     enough = found.groupBy("query_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= k).select("query_id")
     short = queries.join(enough, "query_id", "left_anti")
     return found.join(enough, "query_id", "left_semi").unionByName(cosine_top_k(chunks, short, k))

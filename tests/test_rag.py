@@ -142,6 +142,34 @@ def test_few_hits_are_made_up_for(spark):
     assert [count(q) for q in (1, 2, 3, 4)] == [5, 3, 0, 0]
 
 
+def test_questions_are_not_copied_per_cell(spark):
+    rnd = random.Random(8)
+    chunks, queries = (spark.createDataFrame(vectors(rnd, n), schema) for n, schema in ((400, CHUNK), (60, QUERY)))
+    around = G.centres(chunks)
+    asked = G.pack(queries, "query_id", "embedding", ["org_id"])
+    dealt = G._cells(asked, around, 1.0)
+    size = lambda df: sum(len(r["data"]) for r in df.collect())
+    assert max(len(r["centres"]) for r in around.collect()) > 10
+    assert size(dealt) == size(asked) == 60 * 8 * 8
+    hits = lambda df: sorted((r["query_id"], r["chunk_id"], round(r["score"], 9)) for r in df.collect())
+    assert hits(G.approx_top_k(chunks, queries, 7, share=1.0)) == hits(G.cosine_top_k(chunks, queries, 7))
+
+
+def test_best_of_the_cells_looked_into():
+    rng = np.random.default_rng(5)
+    for n_near in (1, 3, 6):
+        asked, given = (G._unit(np.round(rng.normal(size=(n, 4)), 0)) for n in (5, 40))  # some without direction
+        cells, ids = rng.integers(0, 6, 40).astype(G._CELL), rng.permutation(40)
+        near = np.array([rng.permutation(6)[:n_near] for _ in range(5)], dtype=G._CELL)
+        scores, rows, columns = G._top_near(asked, given, ids, 8, near, cells)
+        exact = np.round(asked @ given.T, 9)
+        for i in range(5):
+            seen = [c for c in range(40) if cells[c] in near[i]]
+            want = sorted(seen, key=lambda c: (np.isnan(exact[i, c]), -np.nan_to_num(exact[i, c]), ids[c]))[:8]
+            assert np.array_equal(np.round(scores[i, columns[rows == i]], 9), exact[i, want], equal_nan=True)
+            assert set(columns[rows == i]) <= set(seen)
+
+
 def test_best_of_a_matrix():
     rng = np.random.default_rng(3)
     for _ in range(50):
