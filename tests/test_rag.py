@@ -182,6 +182,19 @@ def test_best_of_a_matrix():
             assert columns[rows == i].tolist() == want
 
 
+def test_every_question_is_asked(spark, tmp_path):
+    """Every id divisible by 100, and those that asked before these came: no change of the set may make it smaller."""
+    rnd = random.Random(2)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)], i % 3) for i in range(320)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    docs = [(i, "web") for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i for i in range(320) if i % 100 == 0 or i % 20 == 3}
+    for name in ("cosine_top_k", "approx_top_k_all_cells", "hits_with_title"):
+        asked = [r["query_id"] for r in run(name, spark, str(tmp_path)).collect()]
+        assert set(asked) == want and len(asked) == 5 * len(want), name
+
+
 def test_texts_of_hits_are_not_shuffled(spark, sf_dir):
     plan = run("hits_with_title", spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
