@@ -49,6 +49,8 @@ SPLIT_RECORDS = 1 << 24
 MERGE_PAIRS = 1 << 21
 #: Characters encoded at a time, where a text can be cut.
 BLOCK_CHARS = 1 << 18
+#: Tokens of texts that are grouped together; a text is not cut for it.
+JOINED_TOKENS = 1 << 16
 #: Links of a group above which it is counted by distinct ids.
 WIDE_GROUP = 1 << 16
 
@@ -88,25 +90,35 @@ class Aligner:
         self.bytes_b = [bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(len(b))]
         self.size_a, self.size_b = (np.array([len(t) for t in side], dtype=np.int64) for side in (self.bytes_a, self.bytes_b))
         self.width = len(self.bytes_b)
-        # text of a token with the sign after it: another of its group, or none
-        self.more = [b"%d," % i for i in range(max(len(self.bytes_a), self.width))]
-        self.last_a = [b"%d|" % i for i in range(len(self.bytes_a))]
-        self.last_b = [b"%d;" % i for i in range(self.width)]
+        # the digits of each id, with room for the sign after them
+        shown = [str(i).encode() for i in range(max(len(self.bytes_a), self.width))]
+        self.n_digits = np.array([len(x) for x in shown], dtype=np.int64)
+        room = len(shown[-1]) + 1
+        self.digits = np.frombuffer(b"".join([x.ljust(room) for x in shown]), np.uint8).reshape(-1, room)
         probe = "ab  cd. ef"
         joins = any(" " in t.decode("utf-8", "replace").lstrip(" ") for t in self.bytes_b)
         self.can_cut = not joins and b"".join([self.bytes_b[i] for i in b.encode(probe)]) == b" " + probe.encode()
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both sides for a blank and the text; the second tokenizer puts the blank there itself."""
-        parts_a, parts_b = [], []
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides for a blank and the text; the second tokenizer puts the blank there itself. None if a side
+        does not say the text byte by byte, or there is no text."""
+        if not text:
+            return None
+        parts_a, ids_b, fast = [], [], self.fast is not None
         for block in self._blocks(text):
             spaced = " " + block
-            if self.fast is None or _NOT_PLAIN.search(block):
+            if self.fast is None or not block.isascii() and _NOT_PLAIN.search(block):
                 parts_a.append(np.array(self.exact.encode(spaced, add_special_tokens=False).ids, dtype=np.int64))
+                fast = False
             else:
                 parts_a.append(self.fast.encode_to_numpy(spaced, disallowed_special=()).astype(np.int64))
-            parts_b.append(np.array(self.pieces.encode(block, num_threads=1), dtype=np.int64))
-        return np.concatenate(parts_a), np.concatenate(parts_b)
+            ids_b += self.pieces.encode(block, num_threads=1)
+        a, said = np.concatenate(parts_a), b" " + text.encode()
+        if b"".join(map(self.bytes_b.__getitem__, ids_b)) != said:
+            return None
+        # the fast reader gives bytes of the text in their order: all of them, if they are as many
+        whole = int(self.size_a[a].sum()) == len(said) if fast else b"".join(map(self.bytes_a.__getitem__, a.tolist())) == said
+        return (a, np.array(ids_b, dtype=np.int64)) if whole else None
 
     def _blocks(self, text: str) -> Iterator[str]:
         """The text cut at blanks where no token of either side crosses; the blank itself is left out."""
@@ -117,25 +129,48 @@ class Aligner:
         yield text[at:]
 
     def groups(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """(ids, group of each id) of both sides; None if a side does not say the text byte by byte, or there is no text."""
-        if not text:
-            return None
-        a, b = self.encode(text)
-        said = b" " + text.encode()
-        if b"".join([self.bytes_a[i] for i in a.tolist()]) != said or b"".join([self.bytes_b[i] for i in b.tolist()]) != said:
-            return None
+        """(ids, group of each id) of both sides; None where `encode` gives none."""
+        found = self.encode(text)
+        return found and self.grouped(*found)
+
+    def grouped(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, group of each id) of both sides, which say the same bytes: of one text, or of several joined, as no group
+        goes over the end of a text. Every token has bytes."""
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        shared = np.intersect1d(ends_a, ends_b)
+        ends = np.zeros(int(ends_a[-1]) + 1 if len(a) else 1, dtype=bool)
+        ends[ends_a] = True
+        shared = ends_b[ends[ends_b]]
         return a, np.searchsorted(shared, ends_a), b, np.searchsorted(shared, ends_b)
 
-    def spell(self, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray) -> bytes:
-        """The groups as `a1,a2|b1;a3|b2,b3`."""
-        more, last_a, last_b = self.more, self.last_a, self.last_b
-        said_a = [(last_a if ends else more)[i] for i, ends in zip(a.tolist(), _ends(group_a))]
-        said_b = [(last_b if ends else more)[i] for i, ends in zip(b.tolist(), _ends(group_b))]
-        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable").tolist()
-        said = said_a + said_b
-        return b"".join([said[i] for i in order])[:-1]
+    def spell(self, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups as bytes of `a1,a2|b1;a3|b2,b3;`, and where each token of this order ends in them."""
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        at_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]
+        at_b = np.arange(len(b)) + np.cumsum(in_a)[group_b]
+        ids, signs = np.empty(len(a) + len(b), dtype=np.int64), np.empty(len(a) + len(b), dtype=np.uint8)
+        ids[at_a], ids[at_b] = a, b
+        signs[at_a], signs[at_b] = np.where(_ends(group_a), ord("|"), ord(",")), np.where(_ends(group_b), ord(";"), ord(","))
+        said, n = self.digits[ids], self.n_digits[ids]
+        said[np.arange(len(ids)), n] = signs
+        return said[np.arange(said.shape[1]) <= n[:, None]], np.cumsum(n + 1)
+
+    def links_of_texts(self, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, edges_a: np.ndarray, edges_b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What `links` gives for each of several texts joined; text i has the tokens edges[i] to edges[i + 1] of a side."""
+        if not len(a):
+            return [(a, a)] * (len(edges_a) - 1)
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        if (in_a * in_b > WIDE_GROUP).any():
+            sides = (zip(e, e[1:]) for e in (edges_a.tolist(), edges_b.tolist()))
+            return [self.links(a[i:j], group_a[i:j] - group_a[i], b[m:n], group_b[m:n] - group_b[m]) if i < j else (a[:0], a[:0]) for (i, j), (m, n) in zip(*sides)]
+        partners = in_b[group_a]
+        before = np.cumsum(partners) - partners
+        at = np.arange(partners.sum()) + np.repeat((np.cumsum(in_b) - in_b)[group_a] - before, partners)
+        span = len(self.bytes_a) * self.width
+        text = np.repeat(np.arange(len(edges_a) - 1), np.diff(edges_a))
+        found, times = np.unique(np.repeat(text * span + a * self.width, partners) + b[at], return_counts=True)
+        edges = np.searchsorted(found, np.arange(len(edges_a)) * span).tolist()
+        pairs = found % span
+        return [(pairs[i:j], times[i:j]) for i, j in zip(edges, edges[1:])]
 
     def links(self, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pairs, number of links of each): a pair is its first id times the width of the second side, plus its second id."""
@@ -159,9 +194,9 @@ class Aligner:
         return pairs, times
 
 
-def _ends(group: np.ndarray) -> list[bool]:
+def _ends(group: np.ndarray) -> np.ndarray:
     """Which tokens are the last of their group."""
-    return (np.diff(group, append=-1) != 0).tolist()
+    return np.diff(group, append=-1) != 0
 
 
 def _byte_symbols() -> list[str]:
@@ -235,6 +270,36 @@ def _run_blocks(held: list[tuple[int, np.ndarray, np.ndarray]], width: int) -> I
             yield r, len(mine), _pack(np.diff(own, prepend=0), documents, docs[mine], times[mine])
 
 
+def _joined(both: Aligner, batch: pa.RecordBatch) -> Iterator[Iterator[tuple]]:
+    """(doc_id, numbers of `_STATS`, groups as text, pairs, links of each) of the documents of a batch, in parts: numpy
+    takes the tokens of as many documents at once as have JOINED_TOKENS."""
+    none = np.empty(0, dtype=np.int64)
+    ids: list = []
+    tokens: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        ids.append(doc_id)
+        tokens.append(both.encode(text) or (none, none))
+        size += len(tokens[-1][0]) + len(tokens[-1][1])
+        if size >= JOINED_TOKENS:
+            yield _of_part(both, ids, tokens)
+            ids, tokens, size = [], [], 0
+    if ids:
+        yield _of_part(both, ids, tokens)
+
+
+def _of_part(both: Aligner, ids: list, tokens: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+    edges_a, edges_b = (np.cumsum([0, *(len(t[side]) for t in tokens)]) for side in (0, 1))
+    found = both.grouped(*(np.concatenate([t[side] for t in tokens]) for side in (0, 1)))
+    links = both.links_of_texts(*found, edges_a, edges_b)
+    said, ends = both.spell(*found)
+    places = np.concatenate([[0], ends])[edges_a + edges_b].tolist()
+    groups = np.concatenate([[0], found[1] + 1])[edges_a].tolist()  # groups up to each edge; texts end with a group
+    for i, (doc_id, (a, b), (pairs, times)) in enumerate(zip(ids, tokens, links)):
+        stats = len(a), len(b), groups[i + 1] - groups[i], int(times.sum())
+        yield doc_id, stats, said[places[i] : max(places[i + 1] - 1, places[i])], pairs, times
+
+
 def _spill(path_a: str, path_b: str, keep_groups: bool, run_records: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of documents and rows of runs, told apart by `radix`."""
@@ -254,22 +319,19 @@ def _spill(path_a: str, path_b: str, keep_groups: bool, run_records: int) -> Cal
             held.clear()
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = both.groups(text)
-                if found is None:
-                    rows.append((number, doc, doc_id, 0, 0, 0, 0, "", "" if keep_groups else None, None, None, None))
-                else:
-                    spelt = both.spell(*found)
-                    pairs, times = both.links(*found)
-                    held.append((doc, pairs, times))
-                    records += len(pairs)
-                    stats = len(found[0]), len(found[2]), int(found[1][-1]) + 1, int(times.sum())
-                    rows.append((number, doc, doc_id, *stats, hashlib.sha256(spelt).hexdigest(), spelt.decode() if keep_groups else None, None, None, None))
-                doc += 1
-                if records >= run_records:
-                    close_run()
-                    yield leave()
-                    number, doc, records = number + 1, 0, 0
+            for part in _joined(both, batch):
+                for doc_id, stats, said, pairs, times in part:
+                    spelt = said.tobytes()
+                    sha256 = hashlib.sha256(spelt).hexdigest() if stats[0] else ""
+                    rows.append((number, doc, doc_id, *stats, sha256, spelt.decode() if keep_groups else None, None, None, None))
+                    if stats[0]:
+                        held.append((doc, pairs, times))
+                        records += len(pairs)
+                    doc += 1
+                    if records >= run_records:
+                        close_run()
+                        yield leave()
+                        number, doc, records = number + 1, 0, 0
             yield leave()
         close_run()
         yield leave()

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -140,3 +141,25 @@ def test_runs_say_their_records():
 def test_whole_table(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
     assert rows_of(alignment.op12_alignment(spark, sf_dir)) == plain(docs)
+
+
+@pytest.mark.parametrize("wide", [1, alignment.WIDE_GROUP])
+def test_small_texts_are_grouped_together(monkeypatch, wide):
+    both = alignment.Aligner(public_tokenizers.path(alignment.SIDE_A), public_tokenizers.path(alignment.SIDE_B))
+    texts = ["one two  three", "", "a\tb", "...... the end ......", "naïve 漢字 \U0001f600", "ab cd. ef" * 30] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(alignment, "WIDE_GROUP", wide)
+    calls, grouped = [], alignment.Aligner.grouped
+    monkeypatch.setattr(alignment.Aligner, "grouped", lambda self, a, b: calls.append(len(a)) or grouped(self, a, b))
+    got = [row for part in alignment._joined(both, batch) for row in part]
+    assert len(calls) == 1 and [row[0] for row in got] == list(range(len(texts)))
+    for text, (_, stats, said, pairs, times) in zip(texts, got):
+        found = both.groups(text)
+        if found is None:
+            assert (stats, said.tobytes(), len(pairs)) == ((0, 0, 0, 0), b"", 0)
+            continue
+        a, in_a, b, in_b = found
+        of = lambda ids, group, g: ",".join(map(str, ids[group == g].tolist()))
+        assert said.tobytes().decode() == ";".join(f"{of(a, in_a, g)}|{of(b, in_b, g)}" for g in range(in_a[-1] + 1))
+        assert stats == (len(a), len(b), in_a[-1] + 1, times.sum())
+        assert all(np.array_equal(x, y) for x, y in zip((pairs, times), both.links(*found)))
