@@ -195,8 +195,13 @@ SPECS: dict[str, tuple[tuple[str, ...], str]] = {
         ("documents",),
         "select doc_id as document_id, doc_id % 10 as org_id, concat('Doc ', cast(doc_id as varchar(20))) as title, source from documents",
     ),
-    # every hundredth vector asks, and of each twenty the fourth; the question's organisation is its label
+    # every hundredth vector asks; the question's organisation is its label
     "rag_queries": (
+        ("embeddings",),
+        "select vec_id as query_id, cast(label as bigint) as org_id, embedding from embeddings where vec_id % 100 = 0",
+    ),
+    # these, and of each twenty the fourth
+    "rag_questions": (
         ("embeddings",),
         "select vec_id as query_id, cast(label as bigint) as org_id, embedding from embeddings where vec_id % 100 = 0 or vec_id % 20 = 3",
     ),

@@ -65,13 +65,13 @@ def embed_chunks(t: Inputs):
 _COS = "list_cosine_similarity(cast({a} as double[]), cast({b} as double[]))"
 _TOP = (
     "select query_id, chunk_id, round(score, 6) as score from (select q.query_id, c.chunk_id, " + _COS.format(a="c.embedding", b="q.embedding") + " as score "
-    "from rag_chunks c join rag_queries q using (org_id)) qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 5"
+    "from rag_chunks c join rag_questions q using (org_id)) qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 5"
 )
 
 
-@register("cosine_top_k", _TOP, "rag_chunks rag_queries")
+@register("cosine_top_k", _TOP, "rag_chunks rag_questions")
 def cosine_top_k(t: Inputs):
-    return G.cosine_top_k(t("rag_chunks"), t("rag_queries")).withColumn("score", F.round("score", 6))
+    return G.cosine_top_k(t("rag_chunks"), t("rag_questions")).withColumn("score", F.round("score", 6))
 
 
 # Cosine in column form, between each vector and the next.
@@ -84,15 +84,15 @@ def cosine_distance(t: Inputs):
     return t("embeddings").join(later, "vec_id").select("vec_id", F.round(1 - cosine(F.col("embedding"), F.col("b")), 6).alias("distance"))
 
 
-@register("approx_top_k_all_cells", _TOP, "rag_chunks rag_queries")
+@register("approx_top_k_all_cells", _TOP, "rag_chunks rag_questions")
 def approx_top_k_all_cells(t: Inputs):
     """Looking into every cell, the approximate search has to be the exact one."""
-    return G.approx_top_k(t("rag_chunks"), t("rag_queries"), share=1.0).withColumn("score", F.round("score", 6))
+    return G.approx_top_k(t("rag_chunks"), t("rag_questions"), share=1.0).withColumn("score", F.round("score", 6))
 
 
 @register("approx_top_k")
 def approx_top_k(t: Inputs):
-    return G.approx_top_k(t("rag_chunks"), t("rag_queries"))
+    return G.approx_top_k(t("rag_chunks"), t("rag_questions"))
 
 
 def _indexed(t: Inputs):
@@ -106,10 +106,11 @@ def _indexed(t: Inputs):
 
 @register("indexed_top_k")
 def indexed_top_k(t: Inputs):
-    return _indexed(t).search(t("rag_chunks"), t("rag_queries"))
+    return _indexed(t).search(t("rag_chunks"), t("rag_questions"))
 
 
-@register("indexed_top_k_all", _TOP, "rag_chunks rag_queries")
+# Every chunk is a candidate of every question, and its vector is read for it: every hundredth vector asks here.
+@register("indexed_top_k_all", _TOP.replace("rag_questions", "rag_queries"), "rag_chunks rag_queries")
 def indexed_top_k_all(t: Inputs):
     """With every chunk a candidate, the search by the index has to be the exact one."""
     chunks = t("rag_chunks")
@@ -120,11 +121,11 @@ def indexed_top_k_all(t: Inputs):
 @register(
     "hits_with_title",
     f"with h as ({_TOP}) select query_id, chunk_id, c.document_id, title, content, h.score from h join rag_chunks c using (chunk_id) join rag_documents d on d.document_id = c.document_id",
-    "rag_chunks rag_queries rag_documents",
+    "rag_chunks rag_questions rag_documents",
 )
 def hits_with_title(t: Inputs):
-    hits = G.cosine_top_k(t("rag_chunks"), t("rag_queries"))
-    n_hits = t("rag_queries").count() * G.TOP_K
+    hits = G.cosine_top_k(t("rag_chunks"), t("rag_questions"))
+    n_hits = t("rag_questions").count() * G.TOP_K
     return G.hits_with_title(hits, t("rag_chunks"), t("rag_documents"), n_hits).withColumn("score", F.round("score", 6))
 
 
