@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from math import floor, inf, nan
 
@@ -45,6 +46,71 @@ def test_bounds_hold_and_few_vectors_are_read():
     assert (corner <= exact).all() and (exact < corner + width).all()
 
 
+def test_search_sends_no_vector_through_the_driver(spark):
+    """No broadcast, and copies of the questions that follow the rows, not the number of shuffle partitions."""
+    rng = np.random.default_rng(2)
+    exact = rng.integers(-100, 100, (3000, 8))
+    df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(exact)], "vec_id long, embedding array<double>")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "600")
+        found = exact_search.exact_top_k(df, lambda i: i % 50 == 0)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+        tiles = re.findall(r"Exchange shufflepartitionidpassthrough\(.*, (\d+)\)", plan, re.I)
+        assert tiles and max(map(int, tiles)) <= 2 * spark.sparkContext.defaultParallelism + 3000 // (2 * 60)
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    scores = exact[::50] @ exact.T
+    want = {(50 * q, r + 1): (i, -s) for q in range(60) for r, (s, i) in enumerate(sorted((-int(s), i) for i, s in enumerate(scores[q]) if i != 50 * q)[:5])}
+    assert got == want
+
+
+@pytest.mark.parametrize(("size", "odd"), [(150, False), (150, True), (1 << 21, False), (1 << 28, True)])
+def test_groups_meet_blocks_by_brute_force(size, odd):
+    """Products in float32, float64 and beyond its whole numbers; repeated and common vectors, and one far off in its block."""
+    rng = np.random.default_rng(size + odd)
+    exact = rng.integers(-size, size, (9000, 12))
+    exact[4000:4300] = exact[7]
+    ids = np.arange(9000)
+    ids[8000:] = ids[:1000]  # ids that come twice
+    if odd:
+        exact[5000, 3] = 4 * size
+    asked = np.concatenate([np.arange(0, 600), np.arange(8000, 8100)])
+    group = exact_search.Group(ids[asked], asked, exact[asked], 5)
+    blocks = [(ids[at : at + 700], *exact_search.cut(exact[at : at + 700])) for at in range(0, 9000, 700)]
+    for i in range(0, len(blocks), 4):
+        group.search(blocks[i : i + 4])
+    got = {}
+    for columns in group.hits():
+        for q, key, vec_id, score in zip(*(c.tolist() for c in columns)):
+            got.setdefault((q, key), []).append((-score, vec_id))
+    scores = exact[asked] @ exact.T
+    for row, key in zip(scores, asked.tolist()):
+        other = np.flatnonzero(ids != ids[key])
+        best = other[np.lexsort((ids[other], -row[other]))[:5]]
+        assert got[int(ids[key]), key] == [(-int(row[i]), int(ids[i])) for i in best]
+
+
+def test_groups_with_few_candidates():
+    """Fewer than k others, all of one id, or none at all."""
+    exact = np.arange(12).reshape(4, 3)
+    group = exact_search.Group(np.array([1, 1, 2]), np.arange(3), exact[:3], 5)
+    assert all(len(c) == 0 for columns in group.hits() for c in columns)
+    group.search([(np.array([1, 1, 1, 2]), *exact_search.cut(exact))])
+    assert sorted(zip(*(c.tolist() for c in next(group.hits())))) == [(1, 0, 2, 32), (1, 1, 2, 122), (2, 2, 1, 23), (2, 2, 1, 86), (2, 2, 1, 149)]
+
+
+def test_blocks_keep_exact_vectors():
+    rng = np.random.default_rng(4)
+    far = np.array([[-(2**63), 0, 5], [2**63 - 1, 0, 5], [0, 1, 5]])
+    for exact in (far, rng.integers(-150, 150, (500, 16)), rng.integers(-(2**62), 2**62, (50, 3)), far[:1]):
+        cells, above, low, width = exact_search.cut(exact)
+        assert cells.dtype == np.uint8 and (low + cells.astype(np.int64) * width + above.astype(np.int64) == exact).all()
+    assert exact_search.cut(rng.integers(-150, 150, (500, 16)))[1].dtype == np.uint8
+
+
 # --- toxicity
 
 
