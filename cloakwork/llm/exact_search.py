@@ -31,8 +31,9 @@ CELL_BITS = 6
 #: Candidates and queries that are multiplied at a time, as soon as there are as many.
 CANDIDATE_ROWS = 4096
 QUERY_ROWS = 512
-#: Exact vectors read at a time.
+#: Exact vectors read at first, for each query; and components of pairs of exact vectors in memory at a time.
 READ = 32
+PAIR_COMPONENTS = 1 << 22
 #: Most cells of a block, unless one vector has more: blocks are rows, and many rows are in memory at once.
 BLOCK_CELLS = 1 << 15
 #: Components of a group of queries, about; each of the k best counts as BEST of them.
@@ -82,6 +83,14 @@ def _matrix(data: bytes | pa.Buffer, rows: int, dim: int, sign: str) -> np.ndarr
     return np.frombuffer(data, f"{sign}{len(memoryview(data)) // (rows * dim)}").reshape(rows, dim)
 
 
+def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The product of row i[n] of `a` with row j[n] of `b` for each n, whose rows are brought together for some n at a time."""
+    out, some = np.empty(len(i), np.int64), max(1, PAIR_COMPONENTS // a.shape[1])
+    for at in range(0, len(i), some):
+        out[at : at + some] = np.einsum("ij,ij->i", a[i[at : at + some]], b[j[at : at + some]])
+    return out
+
+
 class Group:
     """Queries of one length, and the k best candidates so far of each; equal scores to smaller ids."""
 
@@ -149,26 +158,32 @@ class Group:
         which, j = np.nonzero(reaches.reshape(-1, 8)[eights])
         i, j = np.divmod(eights[which] * 8 + j, reaches.shape[1])
         bound = score[i, j].astype(np.float64) + above[i, block[j]] + slip[i]
-        there = (bound >= kth[i]) & (bound > -np.inf)
+        there = (bound >= kth[i]) & (bound > -np.inf) & self._may_enter(at, i, ids[j], bound)
         i, j, bound = i[there], j[there], bound[there]
-        order = np.lexsort((-bound, i))
+        order = np.lexsort((ids[j], -bound, i))
         i, j, bound = i[order], j[order], bound[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)
-        sure = not slip.any()
+        exactly = (q, near_exact) if not slip.any() else (queries.astype(np.int64), exact)
         end = 0
         while len(i):
-            end += READ
+            end = 2 * end or READ  # by more each time: many may score alike
             now = place < end
             q_now, c_now = i[now], j[now]
-            products = np.einsum("ij,ij->i", q[q_now], near_exact[c_now]) if sure else np.einsum("ij,ij->i", queries[q_now].astype(np.int64), exact[c_now])
-            self._take(at, q_now, ids[c_now], products.astype(np.int64))
-            left = ~now & (bound >= self._kth(at, len(q))[i])
+            self._take(at, q_now, ids[c_now], _products(*exactly, q_now, c_now))
+            left = ~now
+            left[left] = self._may_enter(at, i[left], ids[j[left]], bound[left])
             i, j, bound, place = i[left], j[left], bound[left], place[left]
 
     def _kth(self, at: int, n: int) -> np.ndarray:
         """The kth best scores so far; -inf where fewer are found."""
         return np.where(self.found[at : at + n] == self.k, self.scores[at : at + n, self.k - 1], -np.inf)
 
+    def _may_enter(self, at: int, i: np.ndarray, ids: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Whether candidates with these bounds can be among the best so far of the queries `at + i`."""
+        i = i + at
+        kth = self.scores[i, -1]
+        return (self.found[i] < self.k) | (bound > kth) | (bound == kth) & (ids < self.best_ids[i, -1])
+
     def _take(self, at: int, i: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Merge scored candidates of the queries `at + i` into their best."""
         who = np.unique(i) + at

@@ -93,6 +93,18 @@ def test_groups_meet_blocks_by_brute_force(size, odd):
         assert got[int(ids[key]), key] == [(-int(row[i]), int(ids[i])) for i in best]
 
 
+def test_groups_of_one_common_vector():
+    """All scores are alike: the smallest ids, over several calls."""
+    exact = np.full((9000, 8), 3)
+    ids = np.random.default_rng(5).permutation(9000)
+    group = exact_search.Group(np.arange(20), np.arange(20), exact[:20], 5)
+    for at in range(0, 9000, 3000):
+        group.search([(ids[at : at + 3000], *exact_search.cut(exact[at : at + 3000]))])
+    (queries, _, found, scores), = group.hits()
+    assert found.reshape(20, 5).tolist() == [[i for i in range(6) if i != q][:5] for q in range(20)] and set(scores.tolist()) == {72}
+    assert queries.tolist() == np.repeat(np.arange(20), 5).tolist()
+
+
 def test_groups_with_few_candidates():
     """Fewer than k others, all of one id, or none at all."""
     exact = np.arange(12).reshape(4, 3)
